@@ -19,6 +19,8 @@ _PLACE = [np.ones(1, np.uint64)]
 _BASE = 0x9E3779B97F4A7C15 | 1
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
+#: As separators all bytes but ASCII letters and those of other scripts: for words without punctuation.
+UNLETTERED = np.array([not (65 <= b <= 90 or 97 <= b <= 122 or b >= 128) for b in range(256)])
 _SHIFT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
 
@@ -50,6 +52,11 @@ def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     return column.cast(kind).to_pylist()
 
 
+def lowered(texts: list[bytes | None]) -> list[bytes]:
+    """The texts in lower case of all scripts; null as empty."""
+    return [t.decode("utf-8", "replace").lower().encode() if t else b"" for t in texts]
+
+
 def slices(texts: list, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Index ranges of consecutive texts of at most ``limit`` in sum, or one longer text."""
     at, size = 0, 0
@@ -66,10 +73,10 @@ def slices(texts: list, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
 class Words:
     """``start``/``end`` byte offsets in ``buf`` and ``doc``, the index of the text, of each word."""
 
-    def __init__(self, texts: list[bytes | None]):
+    def __init__(self, texts: list[bytes | None], white: np.ndarray = _WHITE):
         self.raw = b"\n".join(t or b"" for t in texts) + b"\n"
         self.buf = np.frombuffer(self.raw, np.uint8)
-        white = _WHITE[self.buf]
+        white = white[self.buf]
         before = np.empty_like(white)
         before[0], before[1:] = True, white[:-1]
         self.start = np.flatnonzero(before & ~white)
