@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from findloom.llm import exact_dedup, line_dedup, mixing, packing, pii, pseudo_likelihood, setsketch, toxicity
+from findloom.llm import exact_dedup, html_template, line_dedup, mixing, nn_descent, packing, pii, pseudo_likelihood, setsketch, toxicity
 from findloom.llm.tokenizer_files import TOKENIZER
 
 
@@ -26,6 +26,14 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
+def op3_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.nearest(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_template.main_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op5_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -60,7 +68,7 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_toxicity, op2_line_dedup, op5_setsketch_dedup, op6_pii, op7_exact_dedup, op8_mixing, op9_packing, op10_pseudo_likelihood]
+    own = [op1_toxicity, op2_line_dedup, op3_nn_descent, op4_html_text, op5_setsketch_dedup, op6_pii, op7_exact_dedup, op8_mixing, op9_packing, op10_pseudo_likelihood]
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
