@@ -14,18 +14,60 @@ logarithm of the longest text in blocks; a document leaves the recursion once it
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import hashlib
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from findloom.llm.arrays import SLICE_BYTES, as_bytes
 from findloom.llm.scratch import Scratch
 
 BLOCK_BYTES = 4096
-WHITE = r"[\x20\x09-\x0D]+"
+_WHITE = b"\x20\x09\x0a\x0b\x0c\x0d"
 
 
-def normalised(text: Column) -> Column:
+def normalised(text: bytes | None) -> bytes:
     """The text with each run of white space as one space; null counts as empty."""
-    return F.coalesce(F.regexp_replace(text, WHITE, " "), F.lit(""))
+    if not text:
+        return b""
+    words = text.split()
+    if not words:
+        return b" "
+    return b" " * (text[0] in _WHITE) + b" ".join(words) + b" " * (text[-1] in _WHITE)
+
+
+def _blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
+    """Every block of every normalised text."""
+
+    def run(batches):
+        for batch in batches:
+            out, size = [], 0
+            for text in as_bytes(batch.column("text")):
+                data = normalised(text)
+                out.extend(data[i : i + block_bytes] for i in range(0, len(data), block_bytes))
+                size += len(data)
+                if size > SLICE_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["block"])
+                    out, size = [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["block"])
+
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "block binary")
+
+
+def _rows(docs: DataFrame, block_bytes: int) -> DataFrame:
+    """doc_id, the hash of the normalised text and its blocks' routing keys."""
+
+    def run(batches):
+        for batch in batches:
+            sha, keys = [], []
+            for text in as_bytes(batch.column("text")):
+                data = normalised(text)
+                sha.append(hashlib.sha256(data).hexdigest())
+                keys.append([hashlib.sha256(data[i : i + block_bytes]).digest()[:16] for i in range(0, len(data), block_bytes)])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sha, pa.string()), pa.array(keys, pa.list_(pa.binary()))], names=["doc_id", "text_sha256", "keys"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, text_sha256 string, keys array<binary>")
 
 
 def _named(keys: DataFrame, *cols: str) -> DataFrame:
@@ -40,16 +82,11 @@ def block_names(docs: DataFrame, block_bytes: int = BLOCK_BYTES, scratch: Scratc
     block and share the identity (0, -1).
     """
     scratch = scratch or Scratch(docs.sparkSession, "naming")
-    norm = docs.select(F.col("doc_id"), normalised(F.col("text")).alias("norm"))
-    data = norm.select("doc_id", F.col("norm").cast("binary").alias("data"))
-    cut = F.expr(f"transform(sequence(0L, (octet_length(data) - 1) div {block_bytes}), i -> substring(data, cast(i * {block_bytes} + 1 as int), {block_bytes}))")
-    blocks = data.select("doc_id", F.sha2("data", 256).alias("text_sha256"), F.when(F.octet_length("data") > 0, cut).otherwise(F.array().cast("array<binary>")).alias("blocks"))
-    key = lambda b: F.substring(F.unhex(F.sha2(b, 256)), 1, 16)
-
-    table = scratch.keep(_named(blocks.select(F.explode("blocks").alias("block")), "block").select(key(F.col("block")).alias("key"), "name"), "blocks")
+    key = F.substring(F.unhex(F.sha2("block", 256)), 1, 16)
+    table = scratch.keep(_named(_blocks(docs, block_bytes), "block").select(key.alias("key"), "name"), "blocks")
     if table.groupBy("key").count().filter("count > 1").limit(1).count():
         raise ValueError("two different blocks have one routing key")
-    rows = scratch.keep(blocks.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text_sha256", F.transform("blocks", key).alias("keys")), "rows")
+    rows = scratch.keep(_rows(docs, block_bytes).select(F.monotonically_increasing_id().alias("row"), "*"), "rows")
 
     named = rows.select("row", F.posexplode("keys").alias("pos", "key")).join(table, "key").select("row", "pos", "name")
     longest = rows.agg(F.max(F.size("keys"))).first()[0] or 0
