@@ -19,13 +19,13 @@ vector once to each such partition, where exact inner products in double precisi
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from findloom.llm.arrays import groups
 from findloom.llm.scratch import Scratch
 
 #: Neighbours kept per node, and the best of them that take part in a local join.
@@ -38,29 +38,6 @@ EXPAND, HOPS, POOL = 50, 3, 200
 HELD = 50_000
 
 
-def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Rows of equal integer keys together; rows must come sorted by the keys."""
-    held: list[pa.RecordBatch] = []
-    last: tuple | None = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
-        change = np.zeros(batch.num_rows, bool)
-        for c in cols:
-            change[1:] |= c[1:] != c[:-1]
-        cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            key = tuple(c[a] for c in cols)
-            if key != last and held:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(a, b - a))
-            last = key
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _matrix(column: pa.ChunkedArray, kind: str) -> np.ndarray:
     parts = column.to_pylist()
     return np.frombuffer(b"".join(parts), kind).reshape(len(parts), -1)

@@ -8,11 +8,15 @@ leaves hardly any register empty are drawn, so the work is in proportion to the
 set times the registers; a set that leaves a register empty is drawn anew without the bound.
 
 Search. Equal sets are first folded into one representative. Bands of registers give buckets. In a
-bucket members are compared with a leader (the one that meets most others), which resolves a group
-of near copies in as many comparisons as it has members; only members of a bucket that are still
-in different components after that are compared with one another, in blocks of bounded size. Each
-comparison is first estimated from the two sketches by maximum likelihood and then confirmed on
-the full shingle sets. No pair is dropped by a cap.
+bucket all members are compared with a leader (the one that meets most others), which links nearly
+all of a group of near copies in as many comparisons as it has members. Buckets whose members are
+then still in different components stay open: their documents meet by leader, and those outside the
+commonest component are compared with all others there, in blocks of bounded size, by the sizes of
+their intersections at once. A block gives the best partner in each other component, which is enough
+to join components. No step has a cap.
+
+A pair found by sketches is likely by the maximum-likelihood estimate; every link is confirmed on the
+full shingle sets of both texts.
 
 With 32 bands of 5 registers two sets of similarity 0.8 share a bucket with probability
 1 - (1 - 0.8^5)^32 > 0.99999.
@@ -29,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from findloom.llm.arrays import as_bytes, mix, shingle_sets, slices
+from findloom.llm.arrays import as_bytes, groups, mix, shingle_sets, slices
 from findloom.llm.components import components
 from findloom.llm.scratch import Scratch
 
@@ -38,10 +42,9 @@ REGISTERS = BANDS * ROWS
 BASE, RATE, TOP = 1.02, 20.0, 2046
 #: A pair goes on to the exact test if its estimated similarity is at least this; the standard
 #: error of the estimate at 0.8 is about 0.03.
-LEAST_ESTIMATE = 0.6
+LEAST_ESTIMATE = 0.65
 #: Members of one bucket that a task compares with one another at a time.
 BLOCK = 256
-LEADER_ROUNDS = 2
 
 _LOG = math.log(BASE)
 _STRIDES = np.array([x for x in range(1, REGISTERS) if math.gcd(x, REGISTERS) == 1], np.int64)
@@ -172,51 +175,76 @@ def _confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def _across(members: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Likely pairs of one bucket that are in different components, each from its first common band."""
+def _sets(open_: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """(rep, n, hashes) of the documents in ``open_``: their shingles as 32-bit hashes."""
+
+    def run(batches):
+        for t in batches:
+            low = [x and x.lower() for x in as_bytes(t.column("text"))]
+            for lo, hi in slices(low):
+                values, first = shingle_sets(low[lo:hi], k)
+                short = (values >> np.uint64(32)).astype("<u4")
+                yield pa.RecordBatch.from_arrays([t.column("rep").slice(lo, hi - lo), pa.array(np.diff(first), pa.int64()), pa.array([short[first[i] : first[i + 1]].tobytes() for i in range(hi - lo)], pa.binary())], names=["rep", "n", "hashes"])
+
+    return open_.select("rep").distinct().join(texts, F.col("rep") == F.col("doc_id")).select("rep", "text").mapInArrow(run, "rep long, n long, hashes binary").dropDuplicates(["rep"])
+
+
+def _across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of ``members(key, rep, comp)`` of one key, in different components, that look linked."""
     size = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    own = members.join(size, "key").join(reps, "rep").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    own = members.join(size, "key").join(sets, "rep").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "key", "band", "rep", "comp", "n_shingles", "regs", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
+        "key", "rep", "comp", "n", "hashes", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
     )
     dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
 
-    def pairs(g: list) -> tuple[list, list]:
-        regs = np.stack([x[6] for x in g])
-        rep, comp, n, block = (np.array([x[y] for x in g], np.int64) for y in (3, 4, 5, 7))
-        band, (i, j) = g[0][8], g[0][1:3]
-        out = ([], [])
-        for x in range(len(g)):
-            y = np.flatnonzero((rep > rep[x]) & (comp != comp[x]) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x])))
-            if i != j:
-                y = y[block[y] != block[x]]
-            if len(y):
-                agree = (regs[y] == regs[x]).reshape(len(y), BANDS, ROWS).all(axis=2)
-                y = y[agree.argmax(axis=1) == band]
-            if len(y):
-                y = y[estimate(regs[x][None, :], regs[y], np.full(len(y), float(n[x])), n[y].astype(float)) >= LEAST_ESTIMATE]
-                out[0].extend([int(rep[x])] * len(y))
-                out[1].extend(rep[y].tolist())
+    def pairs(g: pa.Table) -> tuple[list, list]:
+        rep, comp, n, block = (g.column(c).to_numpy() for c in ("rep", "comp", "n", "block"))
+        kinds, counts = np.unique(comp, return_counts=True)
+        few = np.flatnonzero(comp != kinds[counts.argmax()])
+        out: tuple[list, list] = ([], [])
+        if not len(few):
+            return out
+        parts = [np.frombuffer(x, "<u4") for x in g.column("hashes").to_pylist()]
+        row = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+        _, at, times = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+        again = times > 1
+        column = np.cumsum(again) - 1
+        keep = again[at]
+        row, at = row[keep], column[at[keep]]
+        common = np.zeros((len(few), len(parts)), np.float32)
+        for lo in range(0, int(again.sum()), 8192):
+            inside = (at >= lo) & (at < lo + 8192)
+            has = np.zeros((len(parts), 8192), np.float32)
+            has[row[inside], at[inside] - lo] = 1
+            common += has[few] @ has.T
+        common += 1  # a shortened hash may merge two shingles of one set
+        linked = 100 * common >= percent * (n[few][:, None] + n[None, :] - common)
+        linked &= comp[few][:, None] != comp[None, :]
+        if g.column("i")[0] != g.column("j")[0]:
+            linked &= block[few][:, None] != block[None, :]
+        for x in np.flatnonzero(linked.any(axis=1)).tolist():
+            y = np.flatnonzero(linked[x])
+            y = y[np.argsort(-(common[x, y] / (n[few[x]] + n[y] - common[x, y])), kind="stable")]
+            for z in y[np.unique(comp[y], return_index=True)[1]].tolist():
+                a, b = sorted((int(rep[few[x]]), int(rep[z])))
+                out[0].append(a)
+                out[1].append(b)
         return out
 
     def run(batches):
-        group, key = [], None
-        for t in batches:
-            cols = [t.column(c).to_pylist() for c in ("key", "i", "j", "rep", "comp", "n_shingles")]
-            regs, blocks, bands = _regs(t.column("regs")), t.column("block").to_pylist(), t.column("band").to_pylist()
-            for r in range(t.num_rows):
-                row = (*[c[r] for c in cols], regs[r], blocks[r], bands[r])
-                if row[:3] != key:
-                    if len(group) > 1:
-                        a, b = pairs(group)
-                        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-                    group, key = [], row[:3]
-                group.append(row)
-        if len(group) > 1:
-            a, b = pairs(group)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        for g in groups(batches, ["key", "i", "j"]):
+            if g.num_rows > 1:
+                a, b = pairs(g)
+                if a:
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def _mixed(members: DataFrame) -> DataFrame:
+    """Keys whose members are in different components."""
+    return members.groupBy("key").agg((F.min("comp") != F.max("comp")).alias("open")).filter("open").select("key")
 
 
 def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame:
@@ -239,28 +267,16 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame
     bands = reps.select("rep", F.posexplode(F.expr(f"transform(sequence(0, {BANDS - 1}), i -> substring(regs, cast(i * {width} + 1 as int), {width}))")).alias("band", "part")).select("rep", "band", F.xxhash64("band", "part").alias("key"))
     shared = bands.groupBy("key").count().filter("count > 1")
     members = scratch.keep(bands.join(shared, "key").select("key", "band", "rep", "count"), "members")
-    links, comps, tried = None, None, None
-    for _ in range(LEADER_ROUNDS):
-        own = members if comps is None else members.join(comps, members.rep == comps.id, "left").select("key", "band", "rep", "count", F.coalesce("component", "rep").alias("comp"))
-        if comps is not None:
-            mixed = own.groupBy("key").agg((F.min("comp") != F.max("comp")).alias("open")).filter("open").select("key")
-            own = scratch.keep(own.join(mixed, "key", "left_semi"), "open")
-        else:
-            own = own.withColumn("comp", F.col("rep"))
-        score = own.groupBy("rep").agg(F.sum("count").alias("score"))
-        lead = own.join(score, "rep").groupBy("key").agg(F.max(F.struct("score", -F.col("rep"), F.col("comp"))).alias("l")).select("key", (-F.col("l.col2")).alias("lead"), F.col("l.comp").alias("lead_comp"))
-        pairs = own.join(lead, "key").filter("comp != lead_comp").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = scratch.keep(pairs, "pairs")
-        tried = pairs if tried is None else tried.union(pairs)
-        good = scratch.keep(_confirm(scratch.keep(_likely(pairs, reps, percent), "likely"), texts, k, percent), "links")
-        links = good if links is None else links.union(good)
-        comps = scratch.keep(components(links, scratch), "comps")
-    own = members.join(comps, members.rep == comps.id, "left").select("key", "band", "rep", F.coalesce("component", "rep").alias("comp"))
-    mixed = own.groupBy("key").agg((F.min("comp") != F.max("comp")).alias("open")).filter("open").select("key")
-    rest = scratch.keep(own.join(mixed, "key", "left_semi"), "open")
-    left = scratch.keep(_across(rest, reps, percent).distinct(), "left")
+    score = members.groupBy("rep").agg(F.sum("count").alias("score"))
+    lead = scratch.keep(members.join(score, "rep").groupBy("key").agg(F.max(F.struct("score", -F.col("rep"))).alias("l")).select("key", (-F.col("l.col2")).alias("a")), "lead")
+    pairs = scratch.keep(members.join(lead, "key").filter("rep != a").select("a", F.col("rep").alias("b")).distinct(), "pairs")
+    links = scratch.keep(_confirm(scratch.keep(_likely(pairs, reps, percent), "likely"), texts, k, percent), "links")
+    comps = scratch.keep(components(links, scratch), "comps")
+    own = members.join(comps, members.rep == comps.id, "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
+    open_ = own.join(_mixed(own), "key", "left_semi").join(lead, "key").select(F.col("a").alias("key"), "rep", "comp").distinct()
+    open_ = scratch.keep(open_, "open")
+    shingles = scratch.keep(_sets(open_, texts, k), "shingles")
+    left = scratch.keep(_across(open_, shingles, percent), "left")
     links = links.union(scratch.keep(_confirm(left, texts, k, percent), "links"))
     comps = scratch.keep(components(links, scratch), "comps")
 
