@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from findloom.functions.text import normalize_name
@@ -45,6 +45,13 @@ def parse_target(target: Column) -> Column:
     )
 
 
+def with_target(rows: DataFrame, target: Column, prefix: str = "_t_") -> tuple[DataFrame, dict[str, Column]]:
+    """The parts of a target as columns of their own, so that later expressions don't repeat the parsing."""
+    t = parse_target(target)
+    parts = ("host", "port", "scheme", "path", "query")
+    return rows.withColumns({prefix + f: t[f] for f in parts}), {f: F.col(prefix + f) for f in parts}
+
+
 def canonical_path(path: Column) -> Column:
     """No trailing slash but for the root, no doubled slashes, lower case."""
     p = F.coalesce(path, F.lit(""))
@@ -75,14 +82,21 @@ def is_loopback(target: Column) -> Column:
     return F.coalesce(F.lower(parse_target(F.trim(target))["host"]).isin(*_LOOPBACK), F.lit(False))
 
 
+def _base(target: Column) -> Column:
+    """scheme://authority in lower case, without default port; loopback hosts as one."""
+    base = F.lower(F.regexp_extract(target, r"^([^:/?#]+://[^/?#]*)", 1))
+    plain = F.regexp_replace(base, r"^(http://.*):80$|^(https://.*):443$", "$1$2")
+    return F.regexp_replace(plain, r"://(localhost|127\.0\.0\.1|\[::1\])(?=:|$)", "://loopback")
+
+
 def remap_origin(value: Column, scanned: Column, origin: Column) -> Column:
-    """The origin's scheme and authority in place of the scanned base that the value belongs to."""
-    s, v = parse_target(web_target(scanned)), parse_target(value)
-    port = lambda x: F.coalesce(x["port"], default_port(x["scheme"]))
-    loop = v["host"].isin(*_LOOPBACK) & s["host"].isin(*_LOOPBACK)
-    same = (v["scheme"] == s["scheme"]) & ((v["host"] == s["host"]) | loop) & port(v).eqNullSafe(port(s))
+    """The origin's scheme and authority in place of the scanned base that the value belongs to.
+
+    Loopback names are the same host, and a scheme's default port may be left out.
+    """
     base = F.regexp_extract(web_target(origin), r"^([^:/?#]+://[^/?#]*)", 1)
-    return F.when(F.contains(value, F.lit("://")) & same & (base != ""), F.concat(base, F.regexp_extract(value, r"^[^:/?#]+://[^/?#]*(.*)$", 1))).otherwise(value)
+    rest = F.regexp_extract(value, r"^[^:/?#]+://[^/?#]*(.*)$", 1)
+    return F.when(F.contains(value, F.lit("://")) & (base != "") & (_base(value) == _base(web_target(scanned))), F.concat(base, rest)).otherwise(value)
 
 
 def endpoint_segment(segment: Column) -> Column:
@@ -97,9 +111,12 @@ def endpoint_family(path: Column) -> Column:
     return F.concat(F.lit("/"), F.array_join(F.transform(F.slice(parts, 1, 2), endpoint_segment), "/"))
 
 
-def fingerprints(name: Column, asset_id: Column, meta: Column | None = None) -> Column:
-    """Struct strict, general, host_only: what the asset id says comes before the metadata."""
-    a = parse_target(asset_id)
+def fingerprints(name: Column, asset_id: Column, meta: Column | None = None, parsed: dict[str, Column] | None = None, norm: Column | None = None) -> Column:
+    """Struct strict, general, host_only: what the asset id says comes before the metadata.
+
+    ``parsed`` and ``norm`` are the target's parts and the normalised name, where they exist already.
+    """
+    a = parsed or parse_target(asset_id)
     get = lambda f, kind="string": meta[f] if meta is not None else F.lit(None).cast(kind)
     web = F.contains(asset_id, F.lit("://"))
     simple = asset_id.rlike(r"^[^:\[]+:[0-9]+$") | (asset_id.startswith("[") & a["port"].isNotNull())
@@ -110,7 +127,7 @@ def fingerprints(name: Column, asset_id: Column, meta: Column | None = None) ->
     port_text = fingerprint_port(port, scheme).cast("string")
     own_keys = query_keys(a["query"])
     keys = F.when(F.size(own_keys) > 0, own_keys).otherwise(F.array_sort(F.coalesce(get("query_keys", "array<string>"), F.array().cast("array<string>"))))
-    norm = none_if_empty(normalize_name(name))
+    norm = none_if_empty(normalize_name(name) if norm is None else norm)
     join = lambda *parts: F.concat_ws("::", *[none_if_empty(p) for p in parts])
     return F.struct(
         join(norm, host, port_text, path, F.array_join(keys, "&"), F.lower(get("parameter")), F.upper(get("method"))).alias("strict"),

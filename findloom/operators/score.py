@@ -151,8 +151,9 @@ def score(findings: DataFrame, previous: DataFrame | None = None, keys: tuple[st
     all_degraded = F.when(F.size(sources) > 0, F.forall(sources, lambda s: F.coalesce(s["degraded"], F.lit(False)))).otherwise(own)
     text = text_blob(F.col("vulnerability_name"), F.col("description"), m["raw_id"], m["cwe"], F.array_join(F.coalesce(m["references"], F.array().cast("array<string>")), " "))
     cwes = to_ints(F.concat_ws(" ", m["cwe"], m["cwe_ids"]))
-    out = out.withColumns({"_class": vulnerability_class(text, cwes), "_cvss": F.coalesce(m["cvss_v4_score"], m["cvss_score"]), "_known": known_exploit(m["known_exploit"], m["references"]), "_any": any_degraded, "_all": all_degraded})
-    out = out.withColumn("_exposed", F.coalesce(b["internet_exposed"], internet_exposed(F.coalesce(F.nullif(F.col("asset_id"), F.lit("")), m["host"])))).withColumn("_signal", F.when(F.col("_cvss").isNull() & (F.col("_class.id") == "generic_issue"), low_signal(text)))
+    out = out.withColumns({"_text": text, "_cwes": cwes})
+    out = out.withColumns({"_class": vulnerability_class(F.col("_text"), F.col("_cwes")), "_cvss": F.coalesce(m["cvss_v4_score"], m["cvss_score"]), "_known": known_exploit(m["known_exploit"], m["references"]), "_any": any_degraded, "_all": all_degraded})
+    out = out.withColumn("_exposed", F.coalesce(b["internet_exposed"], internet_exposed(F.coalesce(F.nullif(F.col("asset_id"), F.lit("")), m["host"])))).withColumn("_signal", F.when(F.col("_cvss").isNull() & (F.col("_class.id") == "generic_issue"), low_signal(F.col("_text"))))
     kev = F.coalesce(m["kev_listed"], F.lit(False))
     sensitive = F.coalesce(b["sensitive_data"], F.lit(False))
     business = business_points(F.col("_exposed"), requires_auth(b["requires_auth"], F.col("description")), b["asset_criticality"], b["environment"], sensitive)
