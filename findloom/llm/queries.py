@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,14 @@ from findloom.llm import exact_dedup, html_template, line_dedup, mixing, nn_desc
 from findloom.llm.tokenizer_files import TOKENIZER
 
 
+ROOT = str(Path(__file__).resolve().parents[2])
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table; Python workers are told where this package is, wherever the driver was started."""
+    had = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if ROOT not in had.split(":"):
+        spark.sparkContext.environment["PYTHONPATH"] = f"{ROOT}:{had}".rstrip(":")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -58,6 +66,11 @@ def op10_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudo_likelihood.score(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _table(spark, sf_dir, "documents")
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 OP7_SQL = r"""
 WITH d AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents
@@ -69,7 +82,7 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [op1_toxicity, op2_line_dedup, op3_nn_descent, op4_html_text, op5_setsketch_dedup, op6_pii, op7_exact_dedup, op8_mixing, op9_packing, op10_pseudo_likelihood]
-    return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in own} | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
