@@ -44,7 +44,7 @@ BASE, RATE, TOP = 1.02, 20.0, 2046
 #: error of the estimate at 0.8 is about 0.03.
 LEAST_ESTIMATE = 0.65
 #: Members of one bucket that a task compares with one another at a time.
-BLOCK = 256
+BLOCK = 1024
 
 _LOG = math.log(BASE)
 _STRIDES = np.array([x for x in range(1, REGISTERS) if math.gcd(x, REGISTERS) == 1], np.int64)
@@ -191,9 +191,14 @@ def _sets(open_: DataFrame, texts: DataFrame, k: int) -> DataFrame:
 
 def _across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs of ``members(key, rep, comp)`` of one key, in different components, that look linked."""
-    size = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    own = members.join(size, "key").join(sets, "rep").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
-    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+    by = members.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    size = by.groupBy("key").agg(F.max_by("comp", "n").alias("usual"), F.max("n").alias("most"), F.sum("n").alias("all"))
+    size = size.select("key", "usual", F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("few"), F.ceil(F.col("most") / BLOCK).cast("int").alias("rest"))
+    own = members.join(size, "key").join(sets, "rep").withColumn("common", F.col("comp") == F.col("usual"))
+    nth = F.xxhash64("rep")
+    own = own.withColumn("block", F.when(F.col("common"), F.col("few") + F.pmod(nth, "rest")).otherwise(F.pmod(nth, "few")).cast("int"))
+    meets = F.when(F.col("common"), F.col("few")).otherwise(F.col("few") + F.col("rest"))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), meets - 1))).select(
         "key", "rep", "comp", "n", "hashes", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
     )
     dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
