@@ -289,6 +289,8 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     """
     scratch = Scratch(vectors.sparkSession, "nnd")
     table = nodes(vectors, k, scratch)
+    if not table.limit(1).count():
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     graph = build(table, scratch)
     rows = vectors.filter(F.col("vec_id") % every == 0).select("vec_id", "embedding")
     asked = _asked(rows, table, scratch)

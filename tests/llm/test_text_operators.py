@@ -111,12 +111,25 @@ def test_classes_find_the_slot(spark):
     assert [tuple(r) for r in html_template.templates(table).collect()] == [("h.org", "/html/body/div[id=main]")]
 
 
-def test_pseudo_likelihood_learns_both_sides(spark):
+def test_pseudo_likelihood_learns_both_sides():
     rng = np.random.default_rng(2)
-    rows = [(i, " ".join(x for _ in range(60) for x in (("a", "b", "c") if rng.random() < 0.5 else ("d", "e", "f")))) for i in range(60)]
-    shuffled = [(1000 + i, " ".join(rng.permutation(t.split()))) for i, t in rows[:10]]
-    docs = spark.createDataFrame([*rows, *shuffled, (2000, None), (2001, "a")], "doc_id long, text string")
-    got = {r.doc_id: r for r in pseudo_likelihood.score(docs, rounds=4, share=1).collect()}
-    ordered, mixed = (np.mean([got[k].mean_log_prob for k in ids]) for ids in (range(10), range(1000, 1010)))
-    assert ordered > mixed + 0.5
-    assert got[2000].n_tokens == 0 and got[2000].mean_log_prob is None and got[2001].n_tokens == 1
+    texts = [" ".join(x for _ in range(60) for x in (("a", "b", "c") if rng.random() < 0.5 else ("d", "e", "f"))).encode() for _ in range(60)]
+    slots, first = pseudo_likelihood.token_slots(texts)
+    vocabulary = pseudo_likelihood.Vocabulary(np.bincount(slots, minlength=pseudo_likelihood.SLOTS).astype(float))
+    p = pseudo_likelihood.initial(vocabulary)
+    seen = int(first[40])
+    ctx, klass = pseudo_likelihood.contexts(vocabulary.input[slots[:seen]], first[:41]), vocabulary.klass[slots[:seen]]
+    for _ in range(12):
+        p = pseudo_likelihood.train_local(p, ctx, klass)
+    scorer = pseudo_likelihood.Scorer(p, vocabulary)
+    held = slots[seen:]
+    ordered = scorer.tokens(held, np.array([0, len(held)])).mean()
+    mixed = scorer.tokens(rng.permutation(held), np.array([0, len(held)])).mean()
+    assert ordered > vocabulary.unigram[held].mean() + 0.5 and ordered > mixed + 1
+
+
+def test_pseudo_likelihood_rows(spark):
+    docs = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (2000, None), (2001, "a"), (None, "b")], "doc_id long, text string")
+    got = {r.doc_id: r for r in pseudo_likelihood.score(docs).collect()}
+    assert got[2000].n_tokens == 0 and got[2000].mean_log_prob is None and got[2001].n_tokens == 1 and got[1].log_prob < 0
+    assert pseudo_likelihood.score(docs.limit(0)).count() == 0
