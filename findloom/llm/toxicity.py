@@ -67,6 +67,10 @@ def _descend(doc: np.ndarray, at: np.ndarray, m: int, grade: np.ndarray, levels:
     return w, theta
 
 
+def _usable(share: np.ndarray, rows: int) -> np.ndarray:
+    return (share >= 3) & (share <= MAX_SHARE * rows)
+
+
 def fit(doc: np.ndarray, slot: np.ndarray, grade: np.ndarray, l1_rows: float = L1_ROWS, l2_rows: float = L2_ROWS, epochs: tuple[int, int] = EPOCHS) -> Model:
     """Choose slots with the L1 penalty, then fit those again with a slight L2 penalty alone.
 
@@ -78,9 +82,9 @@ def fit(doc: np.ndarray, slot: np.ndarray, grade: np.ndarray, l1_rows: float = L
     if levels < 2 or len(np.unique(grade)) < 2:
         return Model(np.zeros(SLOTS, np.float32), np.full(max(levels - 1, 1), 50.0))
     share = np.bincount(slot, minlength=SLOTS)
-    use = (share >= 3) & (share <= MAX_SHARE * n)
+    use = _usable(share, n)
     for l1, ridge, rounds in ((l1_rows / n, 0.0, epochs[0]), (0.0, l2_rows / n, epochs[1])):
-        col, keep = np.cumsum(use) - 1, use[slot]
+        col, keep = (np.cumsum(use) - 1).astype(np.int32), use[slot]
         w, theta = _descend(doc[keep], col[slot[keep]], int(use.sum()), grade, levels, l1, ridge, rounds)
         weights = np.zeros(SLOTS, np.float32)
         weights[np.flatnonzero(use)] = w
@@ -102,9 +106,17 @@ def train(docs: DataFrame, grades: DataFrame, rows: int = TRAIN_ROWS) -> Model:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), batch.column("grade").slice(lo, hi - lo), pa.array([x.tobytes() for x in parts], pa.binary())], names=["doc_id", "grade", "slots"])
 
     got = sample.mapInArrow(run, "doc_id long, grade int, slots binary").toPandas().sort_values("doc_id", ignore_index=True)
+    grade = got["grade"].to_numpy(np.int64)
     parts = [np.frombuffer(x, "<i4") for x in got["slots"]]
-    doc = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
-    return fit(doc, np.concatenate(parts or [np.zeros(0, np.int64)]).astype(np.int64), got["grade"].to_numpy(np.int64))
+    del got
+    share = np.zeros(SLOTS, np.int32)
+    for x in parts:  # slots are distinct within a text
+        share[x] += 1
+    use = _usable(share, len(grade))
+    for i, x in enumerate(parts):  # what fit() leaves out isn't gathered
+        parts[i] = x[use[x]]
+    doc = np.repeat(np.arange(len(parts), dtype=np.int32), [len(x) for x in parts])
+    return fit(doc, np.concatenate(parts or [np.zeros(0, np.int32)]), grade)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
