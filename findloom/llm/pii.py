@@ -39,19 +39,17 @@ DIGIT_WORDS = {
 }
 _FOLD = str.maketrans(LOOKALIKES)
 _STRANGE = frozenset(LOOKALIKES) | frozenset(INVISIBLE)
-_DIGIT_SET = frozenset(DIGIT_WORDS)
 _WORD = "(?:" + "|".join(sorted(DIGIT_WORDS, key=len, reverse=True)) + ")"
 _NUM = rf"(?<![^\W_]){_WORD}(?![^\W_])"
-_SPELLED = re.compile(rf"{_NUM}(?:[\s.,-]+(?:(?:dot|point)\s+)?(?:{_NUM}|[0-9]+)){{2}}", re.I)
+# A rewrite starts at the beginning of a run of spaces only, so long runs are read once.
 _REWRITE = re.compile(
     rf"""(?P<gone>[{INVISIBLE}]+)
-    |(?P<at>\s*[\[({{<]\s*(?:at|@)\s*[\])}}>]\s*|\s+@\s+|\s+at\s+(?=[a-z0-9-]+(?:\s+dot\s+|\s*[\[({{<]\s*(?:dot|\.)\s*[\])}}>])))
-    |(?P<dot>\s*[\[({{<]\s*(?:dot|punkt|punto|point|\.)\s*[\])}}>]\s*|(?<=[^\W_])\s+dot\s+(?=[^\W_]))
+    |(?P<at>(?<!\s)\s*[\[({{<]\s*(?:at|@)\s*[\])}}>]\s*|(?<!\s)\s+@\s+|(?<!\s)\s+at\s+(?=[a-z0-9-]+(?:\s+dot\s+|\s*[\[({{<]\s*(?:dot|\.)\s*[\])}}>])))
+    |(?P<dot>(?<!\s)\s*[\[({{<]\s*(?:dot|punkt|punto|point|\.)\s*[\])}}>]\s*|(?<=[^\W_])\s+dot\s+(?=[^\W_]))
     |(?P<plus>(?<![^\W_])plus\s+(?={_WORD}|[0-9]))
     |(?P<num>{_NUM})(?:[\s-]+(?={_NUM}))?""",
     re.I | re.X,
 )
-_HINTS = ("dot", "at]", "at)", "at}", "at>", "[.", "(.", "{.", " @", "@ ", "@]", "@)", "punkt", "punto", "point")
 
 
 def _luhn(digits: str) -> bool:
@@ -111,13 +109,10 @@ def normalise(text: str) -> tuple[str, list[int], list[tuple[int, int, bool]]]:
 
 
 def _disguised(text: str) -> bool:
+    """Whether ``normalise`` would change the text at all."""
     if not text.isascii() and not _STRANGE.isdisjoint(text):
         return True
-    low = text.lower()
-    if any(h in low for h in _HINTS):
-        return True
-    words = low.replace(",", " ").replace("-", " ").replace(".", " ").split()
-    return not _DIGIT_SET.isdisjoint(words) and bool(_SPELLED.search(low))
+    return bool(_REWRITE.search(text))
 
 
 def find(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
