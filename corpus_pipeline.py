@@ -34,8 +34,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each connected group of similar texts."""
-    return _only(docs, setsketch.near_duplicates(docs), spark)
+    """The document with the smallest doc_id of each connected group of similar texts (five-word shingles)."""
+    return _only(docs, setsketch.near_duplicates(docs, k=5), spark)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
