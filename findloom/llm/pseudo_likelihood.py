@@ -9,7 +9,8 @@ sum of the conditional log-probabilities of its tokens.
 Training is in numpy on the executors: in each round every task takes local steps from the same
 parameters on its share of the round's documents, and the results are averaged, weighted by the
 tokens seen. The averages are formed chunk by chunk in groups, so the driver gets one parameter set
-per round whatever the number of tasks. A fixed share of all documents takes part in each round.
+per round whatever the number of tasks. The rounds together
+take every document once, and every token of it is predicted.
 """
 
 from __future__ import annotations
@@ -25,9 +26,9 @@ from findloom.llm.scratch import Scratch
 SLOTS = 1 << 16
 INPUTS, SINGLE, CLASSES = 4096, 96, 128
 EMBED, HIDDEN, SIDE = 16, 16, 2
-ROUNDS, SHARE = 3, 16
-#: Within a training document every STRIDE-th token is predicted.
-STRIDE, BATCH, RATE = 2, 1024, 0.02
+#: Rounds of training; each takes the documents whose id hashes to its number.
+ROUNDS = 4
+BATCH, RATE = 1024, 0.02
 CHUNKS = 16
 
 _SHAPES = (("embed", (INPUTS + 2, EMBED)), ("mix", (2 * SIDE * EMBED, HIDDEN)), ("bias", (HIDDEN,)), ("out", (HIDDEN, CLASSES)), ("prior", (CLASSES,)))
@@ -39,6 +40,12 @@ def token_slots(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     return (words.hashes() >> np.uint64(48)).astype(np.int64) % SLOTS, words.first
 
 
+def windows(vocabulary: Vocabulary, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The context and the class of every token of the texts."""
+    slots, first = token_slots(texts)
+    return contexts(vocabulary.input[slots], first), vocabulary.klass[slots]
+
+
 class Vocabulary:
     """Slots by falling count: input number, class, and log-probability within the class."""
 
@@ -153,8 +160,8 @@ def _unflat(flat: np.ndarray) -> dict:
     return p
 
 
-def train(docs: DataFrame, vocabulary: Vocabulary, scratch: Scratch, rounds: int = ROUNDS, share: int = SHARE) -> dict:
-    """Averaged local training; round r takes the documents whose id hashes to r of ``share``."""
+def train(docs: DataFrame, vocabulary: Vocabulary, scratch: Scratch, rounds: int = ROUNDS) -> dict:
+    """Averaged local training; round r takes the documents whose id hashes to r of ``rounds``."""
     p = initial(vocabulary)
     for r in range(rounds):
         start = p
@@ -164,8 +171,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary, scratch: Scratch, rounds: int
             for batch in batches:
                 texts = as_bytes(batch.column("text"))
                 for lo, hi in slices(texts):
-                    slots, first = token_slots(texts[lo:hi])
-                    ctx, y = contexts(vocabulary.input[slots], first)[::STRIDE], vocabulary.klass[slots][::STRIDE]
+                    ctx, y = windows(vocabulary, texts[lo:hi])
                     if len(y):
                         q, seen = train_local(q, ctx, y), seen + len(y)
             if seen:
@@ -178,14 +184,14 @@ def train(docs: DataFrame, vocabulary: Vocabulary, scratch: Scratch, rounds: int
             total = sum(np.frombuffer(parts[i], np.float32) * (seen[i] / sum(seen)) for i in order)
             return pa.table({"chunk": key[0:1], "part": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
-        own = docs.select(F.xxhash64("doc_id", F.lit(29)).alias("h"), "text").filter(F.pmod("h", F.lit(share)) == r).select("text")
+        own = docs.select(F.xxhash64("doc_id", F.lit(29)).alias("h"), "text").filter(F.pmod("h", F.lit(rounds)) == r).select("text")
         got = own.mapInArrow(local, "chunk int, seen long, part binary").groupBy("chunk").applyInArrow(average, "chunk int, part binary").collect()
         if len(got) == CHUNKS:
             p = _unflat(np.concatenate([np.frombuffer(x.part, np.float32) for x in sorted(got, key=lambda x: x.chunk)]))
     return p
 
 
-def score(docs: DataFrame, rounds: int = ROUNDS, share: int = SHARE) -> DataFrame:
+def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, n_tokens, log_prob (sum) and mean_log_prob of each row.
 
     Texts without words, and null texts, have no tokens, a sum of 0 and a null mean. Repeated rows get
@@ -193,7 +199,7 @@ def score(docs: DataFrame, rounds: int = ROUNDS, share: int = SHARE) -> DataFram
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     vocabulary = Vocabulary(slot_counts(texts))
-    p = train(texts, vocabulary, Scratch(docs.sparkSession, "lm"), rounds, share)
+    p = train(texts, vocabulary, Scratch(docs.sparkSession, "lm"), rounds)
 
     def run(batches):
         scorer = Scorer(p, vocabulary)
