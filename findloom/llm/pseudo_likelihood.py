@@ -1,20 +1,23 @@
 """Masked pseudo-likelihood: a bidirectional window network predicts every token from both sides.
 
 Words are hashed to slots; the counts of all slots over all documents are gathered with map-side
-sums. The commonest slots are the network's input vocabulary. The output is factored: the network
-predicts a token's class from the two words before and the two after it (embedding, one hidden
-layer, softmax), and the corpus counts give the slot within the class. A document's score is the
-sum of the conditional log-probabilities of its tokens.
+sums. The commonest slots are the network's input vocabulary. The output is a hierarchical softmax
+over all slots: from the two words before and the two after a token (embedding, one hidden layer)
+the network takes each branch of the token's way down the Huffman tree of the counts. The branches
+start at the corpus frequencies, so that an untrained network gives the unigram model. A document's
+score is the sum of the conditional log-probabilities of its tokens.
 
 Training is in numpy on the executors: in each round every task takes local steps from the same
 parameters on its share of the round's documents, and the results are averaged, weighted by the
 tokens seen. The averages are formed chunk by chunk in groups, so the driver gets one parameter set
-per round whatever the number of tasks. The rounds together
-take every document once, and every token of it is predicted.
+per round whatever the number of tasks. The rounds together take every document once, and every
+token of it is predicted.
 """
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,14 +27,15 @@ from findloom.llm.arrays import Words, as_bytes, slices
 from findloom.llm.scratch import Scratch
 
 SLOTS = 1 << 16
-INPUTS, SINGLE, CLASSES = 4096, 96, 128
+INPUTS = 4096
 EMBED, HIDDEN, SIDE = 16, 16, 2
 #: Rounds of training; each takes the documents whose id hashes to its number.
 ROUNDS = 4
 BATCH, RATE = 1024, 0.02
 CHUNKS = 16
 
-_SHAPES = (("embed", (INPUTS + 2, EMBED)), ("mix", (2 * SIDE * EMBED, HIDDEN)), ("bias", (HIDDEN,)), ("out", (HIDDEN, CLASSES)), ("prior", (CLASSES,)))
+_SHAPES = (("embed", (INPUTS + 2, EMBED)), ("mix", (2 * SIDE * EMBED, HIDDEN)), ("bias", (HIDDEN,)), ("out", (SLOTS - 1, HIDDEN)), ("prior", (SLOTS - 1,)))
+_DENSE = ("embed", "mix", "bias")
 
 
 def token_slots(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -40,34 +44,66 @@ def token_slots(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     return (words.hashes() >> np.uint64(48)).astype(np.int64) % SLOTS, words.first
 
 
-def windows(vocabulary: Vocabulary, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-    """The context and the class of every token of the texts."""
-    slots, first = token_slots(texts)
-    return contexts(vocabulary.input[slots], first), vocabulary.klass[slots]
+class Tree:
+    """Huffman tree of the slots: the branches of slot s are ``first[s]`` to ``first[s + 1]`` of ``node`` and ``sign``."""
+
+    def __init__(self, weight: np.ndarray):
+        n = len(weight)
+        heap = [(w, i) for i, w in enumerate(weight.tolist())]
+        heapq.heapify(heap)
+        above, side = np.zeros(2 * n - 1, np.int64), np.zeros(2 * n - 1, np.float32)
+        self.prior = np.zeros(n - 1, np.float32)
+        for at in range(n, 2 * n - 1):
+            (w, a), (x, b) = heapq.heappop(heap), heapq.heappop(heap)
+            above[a] = above[b] = at
+            side[a], side[b] = 1, -1
+            self.prior[at - n] = np.log(w / x)
+            heapq.heappush(heap, (w + x, at))
+        now, way = np.arange(n), []
+        while (now < 2 * n - 2).any():
+            inner = now < 2 * n - 2
+            way.append((np.where(inner, above[now] - n, -1), side[now]))
+            now = np.where(inner, above[now], now)
+        nodes, signs = np.stack([x for x, _ in way], 1), np.stack([x for _, x in way], 1)
+        self.node, self.sign = nodes[nodes >= 0].astype(np.uint16), signs[nodes >= 0].astype(np.int8)
+        self.first = np.concatenate([[0], np.cumsum((nodes >= 0).sum(1))]).astype(np.int32)
+
+    def ways(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Nodes and signs of the branches to each slot, which of ``slots`` each is for, and where each begins."""
+        size = self.first[slots + 1] - self.first[slots]
+        begin = np.cumsum(size) - size
+        row = np.repeat(np.arange(len(slots)), size)
+        at = np.arange(len(row)) + (self.first[slots] - begin)[row]
+        return self.node[at], self.sign[at].astype(np.float32), row, begin
 
 
 class Vocabulary:
-    """Slots by falling count: input number, class, and log-probability within the class."""
+    """Slots by falling count: input number, predicted class (the slot itself), tree and unigram log-probability."""
 
     def __init__(self, counts: np.ndarray):
         order = np.lexsort((np.arange(SLOTS), -counts))
         rank = np.empty(SLOTS, np.int64)
         rank[order] = np.arange(SLOTS)
         self.input = np.minimum(rank, INPUTS).astype(np.int32)
-        self.klass = np.where(rank < SINGLE, rank, SINGLE + rank % (CLASSES - SINGLE)).astype(np.int32)
+        self.klass = np.arange(SLOTS)
         weight = counts + 1.0
-        total = np.bincount(self.klass, weight, CLASSES)
-        self.within = np.log(weight / total[self.klass]).astype(np.float32)
-        self.prior = np.log(total / total.sum()).astype(np.float32)
+        self.tree = Tree(weight)
         self.unigram = np.log(weight / weight.sum())
 
 
-def initial(vocabulary: Vocabulary) -> dict[str, np.ndarray]:
+def initial(vocabulary: Vocabulary) -> dict:
+    """The first parameters, and the tree they are for."""
     rng = np.random.Generator(np.random.PCG64(5))
-    p = {k: (rng.standard_normal(s) * 0.1).astype(np.float32) for k, s in _SHAPES}
-    p["out"] *= 0.5
-    p["prior"], p["bias"] = vocabulary.prior.copy(), np.zeros(HIDDEN, np.float32)
-    return p
+    p = {k: (rng.standard_normal(s) * 0.1).astype(np.float32) for k, s in _SHAPES if k in _DENSE}
+    p["out"], p["prior"] = np.zeros((SLOTS - 1, HIDDEN), np.float32), vocabulary.tree.prior.copy()
+    p["bias"] = np.zeros(HIDDEN, np.float32)
+    return p | {"tree": vocabulary.tree}
+
+
+def windows(vocabulary: Vocabulary, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The context and the class of every token of the texts."""
+    slots, first = token_slots(texts)
+    return contexts(vocabulary.input[slots], first), vocabulary.klass[slots]
 
 
 def contexts(inputs: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -83,28 +119,32 @@ def contexts(inputs: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def train_local(p: dict, ctx: np.ndarray, target: np.ndarray) -> dict:
-    """Adam steps over the windows in their order; returns new parameters."""
-    p = {k: v.copy() for k, v in p.items()}
+    """Adam steps over the windows in their order, for tree nodes where they are met; returns new parameters."""
+    tree = p["tree"]
+    p = {k: v.copy() for k, v in p.items() if k != "tree"}
     m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
     for step, lo in enumerate(range(0, len(target), BATCH), 1):
         c, y = ctx[lo : lo + BATCH], target[lo : lo + BATCH]
         x = p["embed"][c].reshape(len(c), -1)
         h = np.tanh(x @ p["mix"] + p["bias"])
-        z = h @ p["out"] + p["prior"]
-        z -= z.max(1, keepdims=True)
-        e = np.exp(z)
-        e /= e.sum(1, keepdims=True)
-        e[np.arange(len(y)), y] -= 1
-        e /= len(y)
-        dh = (e @ p["out"].T) * (1 - h * h)
+        node, sign, row, begin = tree.ways(y)
+        w, hr = p["out"][node], h[row]
+        z = sign * (np.einsum("ij,ij->i", w, hr) + p["prior"][node])
+        e = -sign / (1 + np.exp(np.clip(z, -60, 60))) / np.float32(len(y))
+        dh = np.add.reduceat(e[:, None] * w, begin) * (1 - h * h)
         dx = (dh @ p["mix"].T).reshape(len(c), 2 * SIDE, EMBED)
-        g = {"out": h.T @ e, "prior": e.sum(0), "mix": x.T @ dh, "bias": dh.sum(0), "embed": np.zeros_like(p["embed"])}
+        order = np.argsort(node, kind="stable")
+        met = node[order]
+        start = np.flatnonzero(np.concatenate([[True], met[1:] != met[:-1]]))
+        met = met[start]
+        g = {"out": np.add.reduceat(e[order, None] * hr[order], start), "prior": np.add.reduceat(e[order], start), "mix": x.T @ dh, "bias": dh.sum(0), "embed": np.zeros_like(p["embed"])}
         np.add.at(g["embed"], c, dx)
         for k in p:
-            m[k] += 0.1 * (g[k] - m[k])
-            v[k] += 0.01 * (g[k] * g[k] - v[k])
-            p[k] -= RATE * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-6)
-    return p
+            at = slice(None) if k in _DENSE else met
+            m[k][at] += 0.1 * (g[k] - m[k][at])
+            v[k][at] += 0.01 * (g[k] * g[k] - v[k][at])
+            p[k][at] -= RATE * (m[k][at] / (1 - 0.9**step)) / (np.sqrt(v[k][at] / (1 - 0.99**step)) + 1e-6)
+    return p | {"tree": tree}
 
 
 class Scorer:
@@ -122,11 +162,10 @@ class Scorer:
             h = self.p["bias"] + self.tables[0][c[:, 0]]
             for j in range(1, 2 * SIDE):
                 h += self.tables[j][c[:, j]]
-            z = np.tanh(h) @ self.p["out"] + self.p["prior"]
-            own = z[np.arange(len(y)), y]
-            np.exp(z, out=z)
-            out[lo : lo + 8192] = own - np.log(z.sum(1))
-        return out + self.vocabulary.within[slots]
+            node, sign, row, begin = self.p["tree"].ways(y)
+            z = sign * (np.einsum("ij,ij->i", self.p["out"][node], np.tanh(h)[row]) + self.p["prior"][node])
+            out[lo : lo + 8192] = -np.add.reduceat(np.logaddexp(0, -z), begin)
+        return out
 
 
 def slot_counts(docs: DataFrame) -> np.ndarray:
@@ -151,8 +190,8 @@ def _flat(p: dict) -> np.ndarray:
     return np.concatenate([p[k].ravel() for k, _ in _SHAPES])
 
 
-def _unflat(flat: np.ndarray) -> dict:
-    p, at = {}, 0
+def _unflat(flat: np.ndarray, tree: Tree) -> dict:
+    p, at = {"tree": tree}, 0
     for k, s in _SHAPES:
         n = int(np.prod(s))
         p[k] = flat[at : at + n].reshape(s).astype(np.float32)
@@ -187,7 +226,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary, scratch: Scratch, rounds: int
         own = docs.select(F.xxhash64("doc_id", F.lit(29)).alias("h"), "text").filter(F.pmod("h", F.lit(rounds)) == r).select("text")
         got = own.mapInArrow(local, "chunk int, seen long, part binary").groupBy("chunk").applyInArrow(average, "chunk int, part binary").collect()
         if len(got) == CHUNKS:
-            p = _unflat(np.concatenate([np.frombuffer(x.part, np.float32) for x in sorted(got, key=lambda x: x.chunk)]))
+            p = _unflat(np.concatenate([np.frombuffer(x.part, np.float32) for x in sorted(got, key=lambda x: x.chunk)]), vocabulary.tree)
     return p
 
 

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from findloom.llm import pseudo_likelihood as lm
@@ -17,3 +18,22 @@ def test_every_document_trains(spark):
 def test_every_token_is_predicted():
     vocabulary = lm.Vocabulary(np.zeros(lm.SLOTS))
     assert len(lm.windows(vocabulary, [b"a b c d e", None, b"f g"])[1]) == 7
+
+
+def test_rare_words_depend_on_context():
+    """Two words far down the frequency list are told apart by their context, and all words sum to one."""
+    slots, _ = lm.token_slots([" ".join(f"w{i}" for i in range(160)).encode()])
+    counts = np.zeros(lm.SLOTS)
+    counts[slots] = 1000 - np.arange(160)
+    vocabulary = lm.Vocabulary(counts)
+    p = lm.initial(vocabulary)
+    texts = [b"w0 w100 w1", b"w2 w132 w3"] * 400
+    words, first = lm.token_slots(texts)
+    ctx, target = lm.contexts(vocabulary.input[words], first), vocabulary.klass[words]
+    for _ in range(12):
+        p = lm.train_local(p, ctx, target)
+    scorer = lm.Scorer(p, vocabulary)
+    said = lambda text: scorer.tokens(*lm.token_slots([text]))[1]
+    assert said(b"w0 w100 w1") > said(b"w0 w132 w1") + 2 and said(b"w2 w132 w3") > said(b"w2 w100 w3") + 2
+    start = lm.Scorer(lm.initial(vocabulary), vocabulary).tokens(slots, np.array([0, len(slots)]))
+    assert start == pytest.approx(vocabulary.unigram[slots], abs=1e-3)
