@@ -5,8 +5,10 @@ routes the words of each pattern to the quotas of its sources: every further rep
 costs more than the one before (convex costs), so the flow of least cost repeats as little as the
 quotas allow. The network has one node per pattern and source and is solved on the driver; it grows
 with the number of patterns, not of documents. Then documents are selected in a seeded order until
-a pattern's flow would be passed, and the gap is closed by those of the documents next in order
-whose sizes fit it best.
+a pattern's flow would be passed. While the documents next in order can't fill the gap, it is cut
+again over all unchosen documents of at most half its size; then those whose sizes fit it best close
+it. Each such step takes at least a quarter of the gap, and they end when no document left over
+fits into it.
 
 The seeded order is cut by running sums over 4096 ranges of the hash; only the one range where a
 pattern's flow ends is summed document by document, so a source with most of all rows is spread
@@ -27,7 +29,7 @@ SHARE, MOST = 1.5, 2
 WEIGHTS = (5, 2, 1)
 RANGES = 4096
 SEED = 17
-#: Documents after the cut, in the seeded order, that may fill the gap left by the last whole document.
+#: Documents in the seeded order, of at most half the gap and above it each, that one best subset is taken of.
 FILLERS = 256
 
 
@@ -128,7 +130,48 @@ def _closest(group: pd.DataFrame) -> pd.DataFrame:
         if not before >> at & 1:
             rows.append(row)
             at -= int(size)
-    return pd.DataFrame({"r": rows}, dtype="int64")
+    size = group.set_index("row")["size"]
+    return pd.DataFrame({"pattern": [group["pattern"].iloc[0]] * len(rows), "r": rows, "size": [int(size[r]) for r in rows]}).astype({"r": "int64", "size": "int64"})
+
+
+def _cut(keyed: DataFrame, need: DataFrame, scratch: Scratch) -> DataFrame:
+    """``keyed(row, doc_id, size, pattern, key)`` with ``chosen``: in the order of key, while the sum is within ``need(p, need)``."""
+    keyed = keyed.withColumn("span", F.shiftrightunsigned("key", 52))
+    spans = keyed.groupBy("pattern", "span").agg(F.sum("size").alias("words"))
+    running = Window.partitionBy("pattern").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = scratch.keep(spans.join(F.broadcast(need), F.col("pattern").eqNullSafe(F.col("p"))).select("pattern", "span", "words", "need", F.coalesce(F.sum("words").over(running), F.lit(0)).alias("before")), "spans")
+    both = keyed.alias("k").join(spans.alias("s"), F.col("k.pattern").eqNullSafe(F.col("s.pattern")) & (F.col("k.span") == F.col("s.span"))).select("row", "doc_id", "size", F.col("k.pattern").alias("pattern"), "key", "need", "before", "words")
+    inner = Window.partitionBy("pattern").orderBy("key", "doc_id", "row")
+    border = scratch.keep(both.filter("before < need AND before + words > need").withColumn("sum", F.sum("size").over(inner.rowsBetween(Window.unboundedPreceding, 0)) + F.col("before")), "border")
+    in_border = border.select(F.col("row").alias("r"), (F.col("sum") <= F.col("need")).alias("in"))
+    return both.join(in_border, F.col("row") == F.col("r"), "left").withColumn("chosen", F.coalesce("in", F.col("before") + F.col("words") <= F.col("need"))).select("row", "doc_id", "size", "pattern", "key", "chosen")
+
+
+def _fill(left: DataFrame, gaps: dict, scratch: Scratch) -> list[DataFrame]:
+    """Rows (r) of the unchosen documents ``left`` that close the gap of each pattern as far as they can."""
+    added: list[DataFrame] = []
+    spark = left.sparkSession
+    while gaps:
+        need = F.broadcast(spark.createDataFrame(list(gaps.items()), "p string, gap long"))
+        near = left.join(need, F.col("pattern").eqNullSafe(F.col("p"))).filter("size < 2 * gap").withColumn("small", F.expr("2 * size <= gap"))
+        nth = F.row_number().over(Window.partitionBy("pattern", "small").orderBy("key", "doc_id", "row"))
+        spare = scratch.keep(near.withColumn("nth", nth).filter(f"nth <= {FILLERS}").select("pattern", "row", "size", "gap", "small", "nth"), "spare")
+        stats = spare.filter("small").groupBy("pattern").agg(F.count("*").alias("n"), F.sum("size").alias("words")).collect()
+        # the cut leaves a quarter of what a subset can take, for the exact fit
+        short = {r.pattern: gaps[r.pattern] - r.words // 4 for r in stats if r.n == FILLERS and r.words < gaps[r.pattern]}
+        got = spare.join(F.broadcast(spark.createDataFrame([(p,) for p in short], "p string")), F.col("pattern").eqNullSafe(F.col("p")), "left_anti")
+        got = got.groupBy("pattern").applyInPandas(_closest, "pattern string, r long, size long")
+        if short:
+            again = near.filter("small").join(F.broadcast(spark.createDataFrame([(p,) for p in short], "q string")), F.col("pattern").eqNullSafe(F.col("q")), "left_semi").select("row", "doc_id", "size", "pattern", "key")
+            more = _cut(again, spark.createDataFrame(list(short.items()), "p string, need long"), scratch).filter("chosen")
+            got = got.union(more.select("pattern", F.col("row").alias("r"), "size"))
+        got = scratch.keep(got, "added")
+        words = {r.pattern: r.words for r in got.groupBy("pattern").agg(F.sum("size").alias("words")).collect()}
+        gaps = {p: gap - words[p] for p, gap in gaps.items() if words.get(p, 0) and gap > words[p]}
+        added.append(got.select("r"))
+        if gaps:
+            left = scratch.keep(left.join(got.select("r"), F.col("row") == F.col("r"), "left_anti"), "left")
+    return added
 
 
 def select(table: DataFrame, flows: DataFrame, scratch: Scratch, seed: int = SEED) -> DataFrame:
@@ -138,22 +181,16 @@ def select(table: DataFrame, flows: DataFrame, scratch: Scratch, seed: int = SEE
     """
     key = F.xxhash64(F.lit(seed), "doc_id")
     need = flows.select(F.col("pattern").alias("p"), F.expr("CASE WHEN words > 0 THEN flow div words ELSE 0 END").alias("times"), F.expr("CASE WHEN words > 0 THEN flow % words ELSE 0 END").alias("need"))
-    keyed = table.select("*", key.alias("key")).withColumn("span", F.shiftrightunsigned("key", 52))
-    spans = keyed.groupBy("pattern", "span").agg(F.sum("size").alias("words"))
-    running = Window.partitionBy("pattern").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
-    spans = scratch.keep(spans.join(F.broadcast(need), F.col("pattern").eqNullSafe(F.col("p"))).select("pattern", "span", "words", "times", "need", F.coalesce(F.sum("words").over(running), F.lit(0)).alias("before")), "spans")
-    both = keyed.alias("k").join(spans.alias("s"), F.col("k.pattern").eqNullSafe(F.col("s.pattern")) & (F.col("k.span") == F.col("s.span"))).select("row", "doc_id", "size", F.col("k.pattern").alias("pattern"), "key", "times", "need", "before", "words")
-    inner = Window.partitionBy("pattern").orderBy("key", "doc_id", "row")
-    border = scratch.keep(both.filter("before < need AND before + words > need").withColumn("sum", F.sum("size").over(inner.rowsBetween(Window.unboundedPreceding, 0)) + F.col("before")), "border")
-    reach = border.groupBy("pattern").agg(F.max(F.when(F.col("sum") <= F.col("need"), F.col("sum"))).alias("got"), F.first("before").alias("b"), F.first("need").alias("need"))
-    gaps = reach.select("pattern", (F.col("need") - F.coalesce("got", "b")).alias("gap"))
-    in_border = border.select(F.col("row").alias("r"), (F.col("sum") <= F.col("need")).alias("in"))
-    marked = both.join(in_border, F.col("row") == F.col("r"), "left").withColumn("chosen", F.coalesce("in", F.col("before") + F.col("words") <= F.col("need"))).select("row", "doc_id", "size", "pattern", "key", "times", "chosen")
-    marked = scratch.keep(marked, "marked")
-    first = F.row_number().over(Window.partitionBy("m.pattern").orderBy("key", "row"))
-    spare = marked.filter("NOT chosen AND size > 0").alias("m").join(gaps.alias("g"), F.col("m.pattern").eqNullSafe(F.col("g.pattern"))).filter("gap > 0").select(F.col("m.pattern").alias("pattern"), "row", "size", "gap", first.alias("nth")).filter(f"nth <= {FILLERS}")
-    best = spare.groupBy("pattern").applyInPandas(_closest, "r long")
-    out = marked.join(best, F.col("row") == F.col("r"), "left")
+    marked = scratch.keep(_cut(table.select("*", key.alias("key")), need.select("p", "need"), scratch), "marked")
+    got = marked.filter("chosen").groupBy("pattern").agg(F.sum("size").alias("words")).collect()
+    got = {r.pattern: r.words for r in got}
+    gaps = {r.p: r.need - got.get(r.p, 0) for r in need.collect()}
+    gaps = {p: gap for p, gap in gaps.items() if gap > 0}
+    added = _fill(marked.filter("NOT chosen AND size > 0").select("row", "doc_id", "size", "pattern", "key"), gaps, scratch)
+    best = added[0] if added else table.sparkSession.createDataFrame([], "r long")
+    for more in added[1:]:
+        best = best.union(more)
+    out = marked.join(best, F.col("row") == F.col("r"), "left").join(F.broadcast(need.select("p", "times")), F.col("pattern").eqNullSafe(F.col("p")))
     return out.select("row", "doc_id", "size", "pattern", (F.col("size") * (F.col("times") + F.when(F.col("chosen") | F.col("r").isNotNull(), 1).otherwise(0))).alias("taken"))
 
 
