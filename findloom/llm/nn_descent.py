@@ -9,10 +9,10 @@ Graph. Random-projection buckets give each node a first list of neighbours; thei
 and medians come from a bounded sample. Then NN-descent: every node sends its best neighbours, and
 the nodes that list it, to a common place, where all of these are compared with one another, and
 those that beat a node's worst neighbour go to that node's list. In a bucket or join the work for
-one node is bounded by the list length, whatever the input.
+one node is bounded by the list length, whatever the input. Rounds go on until hardly an entry changes.
 
 Search. A query starts at its own node's neighbours and repeatedly expands the best nodes not yet
-expanded. Candidates travel as ids to the partition that holds their vectors, and each query's
+expanded, until that changes none of its best candidates. Candidates travel as ids to the partition that holds their vectors, and each query's
 vector once to each such partition, where exact inner products in double precision are taken.
 """
 
@@ -31,9 +31,10 @@ from findloom.llm.scratch import Scratch
 #: Neighbours kept per node, and the best of them that take part in a local join.
 LIST, JOIN = 40, 28
 TREES, BUCKET, SAMPLE = 4, 3000, 20_000
-ROUNDS = 2
-#: Nodes a query expands per hop, hops, and candidates it holds on to.
-EXPAND, HOPS, POOL = 50, 3, 200
+#: Rounds end when at most this share of all list entries is new.
+SETTLED = 0.001
+#: Nodes a query expands per hop, and candidates it holds on to.
+EXPAND, POOL = 50, 200
 #: Vectors in one partition of the search at most, about.
 HELD = 50_000
 
@@ -168,7 +169,15 @@ def _descend(graph: DataFrame, points: DataFrame) -> DataFrame:
     return _merged(graph.union(fresh))
 
 
-def build(table: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> DataFrame:
+def _changed(graph: DataFrame, before: DataFrame) -> float:
+    """Share of the list entries of ``graph`` that ``before`` didn't have."""
+    both = graph.select("node", "near").join(before.select("node", F.col("near").alias("had")), "node", "left")
+    fresh = F.size(F.array_except("near", F.coalesce("had", F.array().cast("array<long>"))))
+    r = both.agg(F.sum(fresh).alias("fresh"), F.sum(F.size("near")).alias("all")).first()
+    return (r.fresh or 0) / max(1, r.all or 0)
+
+
+def build(table: DataFrame, scratch: Scratch) -> DataFrame:
     """The graph over ``table(node, vec)``: node, near and sims (in the lengthened space), best first."""
     stats = table.mapInArrow(_squares, "n long, most double").agg(F.sum("n").alias("n"), F.max("most").alias("most")).first()
     count, most = stats.n or 0, stats.most or 0.0
@@ -184,8 +193,10 @@ def build(table: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> DataFrame
     some = points.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("point").toPandas()["point"]
     sample = np.frombuffer(b"".join(map(bytes, some)), np.float16).reshape(len(some), -1).astype(np.float64)
     graph = scratch.keep(_merged(_first_lists(points, count, sample)), "graph")
-    for _ in range(rounds if count > BUCKET else 0):
-        graph = scratch.keep(_descend(graph, points), "graph")
+    share = 1.0 if count > BUCKET else 0.0
+    while share > SETTLED:
+        before, graph = graph, scratch.keep(_descend(graph, points), "graph")
+        share = _changed(graph, before)
     return graph
 
 
@@ -242,19 +253,27 @@ def _spread(rows: DataFrame, parts_of: DataFrame) -> DataFrame:
     return with_p.repartition("query").sortWithinPartitions("query", "p").mapInArrow(run, "query long, p int, ys binary")
 
 
-def _pooled(state: DataFrame | None, scored: DataFrame) -> DataFrame:
-    """Per query the best ``POOL`` candidates of all so far, and those to expand next."""
+def _pooled(state: DataFrame | None, scored: DataFrame, best: int) -> DataFrame:
+    """Per query the best ``POOL`` candidates of all so far, and those to expand next.
+
+    A query whose ``best`` first candidates stay as they were has none to expand.
+    """
     rows = scored.select("query", "ids", "sims", F.lit(None).cast("binary").alias("done"))
     rows = rows if state is None else rows.union(state.select("query", "ids", "sims", "done"))
+    pool = max(POOL, 2 * best)
 
     def run(batches):
         out: list[list] = [[] for _ in range(5)]
         for g in groups(batches, ["query"]):
             ids = [np.frombuffer(x, "<i8") for x in g.column("ids").to_pylist()]
             sims = [np.frombuffer(x, "<f8") for x in g.column("sims").to_pylist()]
-            done = np.concatenate([np.frombuffer(x or b"", "<i8") for x in g.column("done").to_pylist()])
-            i, s = _lists(ids, sims, POOL, -(1 << 62))
+            marks = g.column("done").to_pylist()
+            done = np.concatenate([np.frombuffer(x or b"", "<i8") for x in marks])
+            had = [x[:best] for x, mark in zip(ids, marks, strict=True) if mark is not None]
+            i, s = _lists(ids, sims, pool, -(1 << 62))
             ahead = i[~np.isin(i, done)][:EXPAND]
+            if had and np.array_equal(had[0], i[:best]):
+                ahead = ahead[:0]
             for to, v in zip(out, (g.column("query")[0].as_py(), i.astype("<i8").tobytes(), s.astype("<f8").tobytes(), np.concatenate([done, ahead]).astype("<i8").tobytes(), ahead), strict=True):
                 to.append(v)
         kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
@@ -263,19 +282,23 @@ def _pooled(state: DataFrame | None, scored: DataFrame) -> DataFrame:
     return rows.repartition("query").sortWithinPartitions("query").mapInArrow(run, "query long, ids binary, sims binary, done binary, ahead array<long>")
 
 
-def search(table: DataFrame, graph: DataFrame, starts: DataFrame, scratch: Scratch, hops: int = HOPS) -> DataFrame:
-    """(query, ids, sims): the best candidates of each node in ``starts(query)``, itself included."""
+def search(table: DataFrame, graph: DataFrame, starts: DataFrame, scratch: Scratch, best: int = 21) -> DataFrame:
+    """(query, ids, sims): the best candidates of each node in ``starts(query)``, itself included.
+
+    Each query expands until its ``best`` first candidates no longer change.
+    """
     count = table.count()
     parts = max(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(count / HELD))
     queries = starts.join(table.select(F.col("node").alias("query"), "vec"), "query")
     back = _reverse(graph, LIST).groupBy("node").agg(F.collect_list("other").alias("back"))
     links = scratch.keep(graph.join(back, "node", "left").select(F.col("node").alias("x"), F.array_union("near", F.coalesce("back", F.array().cast("array<long>"))).alias("near")), "links")
     own = queries.select("query", F.array("query").alias("near")).union(queries.join(links, F.col("query") == F.col("x")).select("query", "near"))
-    state = None
-    for hop in range(hops + 1):
-        rows = own if hop == 0 else state.select("query", F.explode("ahead").alias("x")).join(links, "x").select("query", "near")
+    state, ahead = None, True
+    while ahead:
+        rows = own if state is None else state.select("query", F.explode("ahead").alias("x")).join(links, "x").select("query", "near")
         wanted = scratch.keep(_spread(rows, parts), "wanted")
-        state = scratch.keep(_pooled(state, _scored(wanted, queries, table, parts)), "state")
+        state = scratch.keep(_pooled(state, _scored(wanted, queries, table, parts), best), "state")
+        ahead = state.filter("size(ahead) > 0").limit(1).count() > 0
     return state.select("query", "ids", "sims")
 
 
@@ -294,7 +317,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     graph = build(table, scratch)
     rows = vectors.filter(F.col("vec_id") % every == 0).select("vec_id", "embedding")
     asked = _asked(rows, table, scratch)
-    found = search(table, graph, asked.select(F.col("node").alias("query")).distinct(), scratch)
+    found = search(table, graph, asked.select(F.col("node").alias("query")).distinct(), scratch, k + 1)
 
     def best(batches):
         out: list[list] = [[], [], []]
