@@ -17,10 +17,11 @@ from __future__ import annotations
 import hashlib
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from findloom.llm.arrays import SLICE_BYTES, as_bytes
+from findloom.llm.keep import rows_of, text_key
 from findloom.llm.scratch import Scratch
 
 BLOCK_BYTES = 4096
@@ -56,7 +57,7 @@ def _blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
 
 
 def _rows(docs: DataFrame, block_bytes: int) -> DataFrame:
-    """doc_id, the hash of the normalised text and its blocks' routing keys."""
+    """doc_id, text key, the hash of the normalised text and its blocks' routing keys."""
 
     def run(batches):
         for batch in batches:
@@ -65,9 +66,9 @@ def _rows(docs: DataFrame, block_bytes: int) -> DataFrame:
                 data = normalised(text)
                 sha.append(hashlib.sha256(data).hexdigest())
                 keys.append([hashlib.sha256(data[i : i + block_bytes]).digest()[:16] for i in range(0, len(data), block_bytes)])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sha, pa.string()), pa.array(keys, pa.list_(pa.binary()))], names=["doc_id", "text_sha256", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(sha, pa.string()), pa.array(keys, pa.list_(pa.binary()))], names=["doc_id", "h", "text_sha256", "keys"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, text_sha256 string, keys array<binary>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_key(F.col("text").cast("string")).alias("h")).mapInArrow(run, "doc_id long, h long, text_sha256 string, keys array<binary>")
 
 
 def _named(keys: DataFrame, *cols: str) -> DataFrame:
@@ -76,7 +77,7 @@ def _named(keys: DataFrame, *cols: str) -> DataFrame:
 
 
 def block_names(docs: DataFrame, block_bytes: int = BLOCK_BYTES, scratch: Scratch | None = None) -> DataFrame:
-    """Each row's ``doc_id``, ``text_sha256`` and identity ``(n_blocks, name)``.
+    """Each row's ``row`` number, ``doc_id``, text key ``h``, ``text_sha256`` and identity ``(n_blocks, name)``.
 
     ``docs`` needs ``doc_id`` and ``text``; other columns don't matter. Empty and null texts have no
     block and share the identity (0, -1).
@@ -104,7 +105,7 @@ def block_names(docs: DataFrame, block_bytes: int = BLOCK_BYTES, scratch: Scratc
     last = done[0]
     for more in done[1:]:
         last = last.union(more)
-    return rows.select("row", "doc_id", "text_sha256", F.size("keys").alias("n_blocks")).join(last, "row", "left").withColumn("name", F.coalesce("name", F.lit(-1))).drop("row")
+    return rows.select("row", "doc_id", "h", "text_sha256", F.size("keys").alias("n_blocks")).join(last, "row", "left").withColumn("name", F.coalesce("name", F.lit(-1)))
 
 
 def exact_duplicates(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -114,10 +115,21 @@ def exact_duplicates(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFra
     and empty texts form one group. Of a group the row with the smallest doc_id stays (null ids
     last); of rows that repeat both doc_id and text exactly one is kept. An empty table gives none.
     """
+    return _answers(docs, block_bytes).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def _answers(docs: DataFrame, block_bytes: int) -> DataFrame:
+    """``exact_duplicates`` with ``h``, the key of the row's text."""
     scratch = Scratch(docs.sparkSession, "exact")
     ids = scratch.keep(block_names(docs, block_bytes, scratch), "ids")
-    groups = ids.groupBy("n_blocks", "name").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    nth = F.row_number().over(Window.partitionBy("doc_id", "n_blocks", "name").orderBy("text_sha256"))
-    out = ids.withColumn("nth", nth).join(groups, ["n_blocks", "name"])
-    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1)
-    return out.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+    # written, so that the join below has exchanges of its own and a large group can be split
+    groups = scratch.keep(ids.groupBy("n_blocks", "name").agg(first, F.count("*").alias("group_size")).select("n_blocks", "name", F.col("first.doc_id").alias("keep_id"), F.col("first.row").alias("keep_row"), "group_size"), "groups")
+    out = ids.join(groups, ["n_blocks", "name"])
+    return out.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256", "h")
+
+
+def without_copies(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that ``exact_duplicates`` keeps."""
+    scratch = Scratch(docs.sparkSession, "exact")
+    return rows_of(docs, scratch.keep(_answers(docs, block_bytes).filter("kept").select("doc_id", "h"), "kept"))

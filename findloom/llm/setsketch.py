@@ -7,19 +7,23 @@ register with about the probability of the Jaccard similarity. Only points below
 leaves hardly any register empty are drawn, so the work is in proportion to the set, not to the
 set times the registers; a set that leaves a register empty is drawn anew without the bound.
 
-Search. Equal sets are first folded into one representative. Bands of registers give buckets. In a
-bucket all members are compared with a leader (the one that meets most others), which links nearly
-all of a group of near copies in as many comparisons as it has members. Buckets whose members are
-then still in different components stay open: their documents meet by leader, and those outside the
-commonest component are compared with all others there, in blocks of bounded size, by the sizes of
-their intersections at once. A block gives the best partner in each other component, which is enough
-to join components. No step has a cap.
+Search. Equal sets are first folded into one node. Bands of registers give buckets. In a bucket all
+members are compared with a leader (the one that meets most others), which links nearly all of a
+group of near copies in as many comparisons as it has members. Buckets whose members are then still
+in different components stay open: their nodes meet by leader, and those outside the commonest
+component are compared with all others there, in blocks of bounded size, by the sizes of their
+intersections at once. A block gives the best partner in each other component, which is enough to
+join components. No step has a cap.
 
 A pair found by sketches is likely by the maximum-likelihood estimate; every link is confirmed on the
 full shingle sets of both texts.
 
-With 32 bands of 5 registers two sets of similarity 0.8 share a bucket with probability
-1 - (1 - 0.8^5)^32 > 0.99999.
+Traffic. Texts move once, to those nodes that share a bucket with another; from there on only the
+shingle sets of these nodes move. That join never turns into a broadcast, as its list of nodes grows
+with the corpus.
+
+Bands are as wide as they can be while two sets at the threshold share a bucket but for 1 in
+100,000: 32 bands of 5 registers at 0.8.
 """
 
 from __future__ import annotations
@@ -35,14 +39,14 @@ from pyspark.sql import functions as F
 
 from findloom.llm.arrays import as_bytes, groups, mix, shingle_sets, slices
 from findloom.llm.components import components
+from findloom.llm.keep import rows_of, text_key
 from findloom.llm.scratch import Scratch
 
-BANDS, ROWS = 32, 5
-REGISTERS = BANDS * ROWS
+REGISTERS = 160
 BASE, RATE, TOP = 1.02, 20.0, 2046
-#: A pair goes on to the exact test if its estimated similarity is at least this; the standard
-#: error of the estimate at 0.8 is about 0.03.
-LEAST_ESTIMATE = 0.65
+#: Share of the pairs at the threshold that may share no bucket, and standard errors of the estimate
+#: below the threshold from which a pair goes on to the exact test.
+MISSED, ERRORS = 1e-5, 5
 #: Members of one bucket that a task compares with one another at a time.
 BLOCK = 1024
 
@@ -110,6 +114,22 @@ def estimate(ku: np.ndarray, kv: np.ndarray, nu: np.ndarray, nv: np.ndarray) ->
     return (lo + hi) / 2
 
 
+def band_rows(percent: int) -> int:
+    """Registers in a band: the most of which two sets at the threshold still share a bucket."""
+    s = percent / 100
+    fit = [r for r in range(1, REGISTERS) if REGISTERS % r == 0 and (1 - s**r) ** (REGISTERS / r) <= MISSED]
+    return max(fit, default=1)
+
+
+def least_estimate(percent: int) -> float:
+    s = percent / 100
+    return s - ERRORS * math.sqrt(s * (1 - s) / REGISTERS)
+
+
+def _digest(values: np.ndarray) -> bytes:
+    return hashlib.blake2b(values.tobytes(), digest_size=16).digest()
+
+
 def _sketch_table(docs: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,99 +138,98 @@ def _sketch_table(docs: DataFrame, k: int) -> DataFrame:
                 values, first = shingle_sets(texts[lo:hi], k)
                 regs = sketches(values, first)
                 n = np.diff(first)
-                digest = [hashlib.blake2b(values[first[i] : first[i + 1]].tobytes(), digest_size=16).digest() if n[i] else None for i in range(hi - lo)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array([r.tobytes() for r in regs], pa.binary())], names=["doc_id", "n_shingles", "set_id", "regs"])
+                ids = [_digest(values[first[i] : first[i + 1]]) if n[i] else None for i in range(hi - lo)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "h")), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array([r.tobytes() for r in regs], pa.binary())], names=["doc_id", "h", "n_shingles", "set_id", "regs"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_id binary, regs binary")
+    return docs.mapInArrow(run, "doc_id long, h long, n_shingles long, set_id binary, regs binary")
 
 
-def _regs(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, REGISTERS)
-
-
-def _likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Of ``pairs(a, b)`` those that the sketches don't rule out."""
-    side = lambda x: reps.select(F.col("rep").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("regs").alias(f"r{x}"))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b").filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+def _full_sets(nodes: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """``nodes(node, rep, set_id, n, regs)`` with their sorted shingles, from the text of the row they stand for."""
 
     def run(batches):
         for t in batches:
-            if t.num_rows:
-                n = [t.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("na", "nb")]
-                yield t.filter(pa.array(estimate(_regs(t.column("ra")), _regs(t.column("rb")), *n) >= LEAST_ESTIMATE)).select(["a", "b"])
+            low = [x and x.lower() for x in as_bytes(t.column("text"))]
+            want = t.column("set_id").to_pylist()
+            for lo, hi in slices(low):
+                values, first = shingle_sets(low[lo:hi], k)
+                own = [values[first[i] : first[i + 1]] for i in range(hi - lo)]
+                same = np.array([_digest(x) == y for x, y in zip(own, want[lo:hi], strict=True)], bool)  # a repeated id has other texts
+                part = pa.RecordBatch.from_arrays([*(t.column(c).slice(lo, hi - lo) for c in ("node", "n", "regs")), pa.array([x.tobytes() for x in own], pa.binary())], names=["node", "n", "regs", "hashes"])
+                yield part.filter(pa.array(same))
+
+    joined = texts.join(nodes.hint("merge"), texts.doc_id == nodes.rep).select("node", "n", "regs", "set_id", "text")
+    return joined.mapInArrow(run, "node long, n long, regs binary, hashes binary").dropDuplicates(["node"])
 
-    return joined.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long")
+
+def _regs(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, REGISTERS)
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of ``pairs(a, b)`` those whose full shingle sets are similar enough.
+def _linked(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Of ``pairs(a, b)`` those that the sketches don't rule out and the full shingle sets confirm.
 
-    The texts of all b are sent to their a; an a with many b is dealt to several groups, each of
-    which gets the text of a once, so that neither one task nor the traffic grows with its square.
+    The sets of all b are sent to their a; an a with many b is dealt to several groups, each of which
+    gets the set of a once, so that neither one task nor the traffic grows with its square.
     """
-    per = 512
+    per, least = 512, least_estimate(percent)
+    own = full.select(F.col("node").alias("id"), "n", "regs", "hashes")
     count = pairs.groupBy("a").agg(F.ceil(F.count("*") / per).cast("int").alias("parts"))
-    text = texts.select(F.col("doc_id").alias("id"), "text")
-    heads = count.join(text, F.col("a") == F.col("id")).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "text")
-    tails = pairs.join(count, "a").join(text, F.col("b") == F.col("id")).select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b", "text")
-    dealt = heads.unionByName(tails).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    heads = count.join(own, F.col("a") == F.col("id")).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "n", "regs", "hashes")
+    dealt = pairs.join(count, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b")
+    tails = dealt.join(own, F.col("b") == F.col("id")).select("a", "part", "b", "n", "regs", "hashes")
+    together = heads.unionByName(tails).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
 
     def run(batches):
-        head = np.zeros(0, np.uint64)
+        head: tuple = ()
         for t in batches:
-            ids, bs, texts_ = t.column("a").to_pylist(), t.column("b").to_pylist(), [x and x.lower() for x in as_bytes(t.column("text"))]
-            found = []
-            for lo, hi in slices(texts_):
-                values, first = shingle_sets(texts_[lo:hi], k)
-                for i in range(lo, hi):
-                    own = values[first[i - lo] : first[i - lo + 1]]
-                    if bs[i] is None:
-                        head = own
-                        continue
-                    common = len(np.intersect1d(head, own, assume_unique=True))
-                    if 100 * common >= percent * (len(head) + len(own) - common):
-                        found.append((ids[i], bs[i]))
-            yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in found], pa.int64()) for j in (0, 1)], names=["a", "b"])
-
-    return dealt.mapInArrow(run, "a long, b long")
-
-
-def _sets(open_: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    """(rep, n, hashes) of the documents in ``open_``: their shingles as 32-bit hashes."""
-
-    def run(batches):
-        for t in batches:
-            low = [x and x.lower() for x in as_bytes(t.column("text"))]
-            for lo, hi in slices(low):
-                values, first = shingle_sets(low[lo:hi], k)
-                short = (values >> np.uint64(32)).astype("<u4")
-                yield pa.RecordBatch.from_arrays([t.column("rep").slice(lo, hi - lo), pa.array(np.diff(first), pa.int64()), pa.array([short[first[i] : first[i + 1]].tobytes() for i in range(hi - lo)], pa.binary())], names=["rep", "n", "hashes"])
-
-    return open_.select("rep").distinct().join(texts, F.col("rep") == F.col("doc_id")).select("rep", "text").mapInArrow(run, "rep long, n long, hashes binary").dropDuplicates(["rep"])
+            a, b, n = t.column("a").to_pylist(), t.column("b").to_pylist(), t.column("n").to_numpy().astype(float)
+            sets, regs = t.column("hashes").to_pylist(), _regs(t.column("regs"))
+            heads, tails = [], []
+            for i in range(len(a)):
+                if b[i] is None:
+                    head = (np.frombuffer(sets[i], np.uint64), n[i], regs[i])
+                else:
+                    heads.append(head)
+                    tails.append(i)
+            found: tuple[list, list] = ([], [])
+            if tails:
+                size = np.array([h[1] for h in heads])
+                likely = estimate(np.stack([h[2] for h in heads]), regs[tails], size, n[tails]) >= least
+                likely &= 100 * np.minimum(size, n[tails]) >= percent * np.maximum(size, n[tails])
+                for j in np.flatnonzero(likely).tolist():
+                    i = tails[j]
+                    common = len(np.intersect1d(heads[j][0], np.frombuffer(sets[i], np.uint64), assume_unique=True))
+                    if 100 * common >= percent * (size[j] + n[i] - common):
+                        found[0].append(a[i])
+                        found[1].append(b[i])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["a", "b"])
+
+    return together.mapInArrow(run, "a long, b long")
 
 
 def _across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs of ``members(key, rep, comp)`` of one key, in different components, that look linked."""
+    """Pairs of ``members(key, node, comp)`` of one key, in different components, that look linked."""
     by = members.groupBy("key", "comp").agg(F.count("*").alias("n"))
     size = by.groupBy("key").agg(F.max_by("comp", "n").alias("usual"), F.max("n").alias("most"), F.sum("n").alias("all"))
     size = size.select("key", "usual", F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("few"), F.ceil(F.col("most") / BLOCK).cast("int").alias("rest"))
-    own = members.join(size, "key").join(sets, "rep").withColumn("common", F.col("comp") == F.col("usual"))
-    nth = F.xxhash64("rep")
+    own = members.join(size, "key").join(sets.select("node", "n", "hashes"), "node").withColumn("common", F.col("comp") == F.col("usual"))
+    nth = F.xxhash64("node")
     own = own.withColumn("block", F.when(F.col("common"), F.col("few") + F.pmod(nth, "rest")).otherwise(F.pmod(nth, "few")).cast("int"))
     meets = F.when(F.col("common"), F.col("few")).otherwise(F.col("few") + F.col("rest"))
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), meets - 1))).select(
-        "key", "rep", "comp", "n", "hashes", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
+        "key", "node", "comp", "n", "hashes", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
     )
-    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
+    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
 
     def pairs(g: pa.Table) -> tuple[list, list]:
-        rep, comp, n, block = (g.column(c).to_numpy() for c in ("rep", "comp", "n", "block"))
+        node, comp, n, block = (g.column(c).to_numpy() for c in ("node", "comp", "n", "block"))
         kinds, counts = np.unique(comp, return_counts=True)
         few = np.flatnonzero(comp != kinds[counts.argmax()])
         out: tuple[list, list] = ([], [])
         if not len(few):
             return out
-        parts = [np.frombuffer(x, "<u4") for x in g.column("hashes").to_pylist()]
+        parts = [np.frombuffer(x, "<u4")[::2] for x in g.column("hashes").to_pylist()]
         row = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
         _, at, times = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
         again = times > 1
@@ -232,7 +251,7 @@ def _across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             y = np.flatnonzero(linked[x])
             y = y[np.argsort(-(common[x, y] / (n[few[x]] + n[y] - common[x, y])), kind="stable")]
             for z in y[np.unique(comp[y], return_index=True)[1]].tolist():
-                a, b = sorted((int(rep[few[x]]), int(rep[z])))
+                a, b = sorted((int(node[few[x]]), int(node[z])))
                 out[0].append(a)
                 out[1].append(b)
         return out
@@ -258,33 +277,62 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame
     Texts are linked when 100 * |intersection| >= percent * |union| of their sets of distinct
     k-word shingles (words lower-cased in A-Z; a shorter text is one shingle of all its words).
     Texts without words, and null texts, have an empty set and link with nothing; component_id is
-    then the own doc_id. Rows with equal sets are one class; repeated doc_ids get equal answers.
-    Rows with a null doc_id take no part in linking, have a null component_id and are kept.
+    then the own doc_id. Rows with equal sets are one class. Rows of different texts under one doc_id
+    are one document: all they link with is one component. Rows with a null doc_id take no part in
+    linking, have a null component_id and are kept. An empty table gives no rows.
     """
+    return _answers(docs, k, percent).drop("h")
+
+
+def _answers(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """``near_duplicates`` with ``h``, the key of the row's text."""
     scratch = Scratch(docs.sparkSession, "near")
-    table = scratch.keep(_sketch_table(docs, k), "sketch")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_key(F.col("text").cast("string")).alias("h"))
+    table = scratch.keep(_sketch_table(texts, k), "sketch")
     real = table.filter("n_shingles > 0 and doc_id is not null")
-    sets = scratch.keep(real.groupBy("set_id").agg(F.min("doc_id").alias("rep")), "sets")
-    reps = scratch.keep(real.join(sets.select("rep"), real.doc_id == sets.rep, "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "n_shingles", "regs"), "reps")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    sets = real.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs"))
+    sets = scratch.keep(sets.select(F.monotonically_increasing_id().alias("node"), "*"), "sets")
 
-    width = 2 * ROWS
-    bands = reps.select("rep", F.posexplode(F.expr(f"transform(sequence(0, {BANDS - 1}), i -> substring(regs, cast(i * {width} + 1 as int), {width}))")).alias("band", "part")).select("rep", "band", F.xxhash64("band", "part").alias("key"))
+    rows = band_rows(percent)
+    width = 2 * rows
+    parts = F.expr(f"transform(sequence(0, {REGISTERS // rows - 1}), i -> xxhash64(i, substring(regs, cast(i * {width} + 1 as int), {width})))")
+    bands = sets.select("node", F.explode(parts).alias("key"))
     shared = bands.groupBy("key").count().filter("count > 1")
-    members = scratch.keep(bands.join(shared, "key").select("key", "band", "rep", "count"), "members")
-    score = members.groupBy("rep").agg(F.sum("count").alias("score"))
-    lead = scratch.keep(members.join(score, "rep").groupBy("key").agg(F.max(F.struct("score", -F.col("rep"))).alias("l")).select("key", (-F.col("l.col2")).alias("a")), "lead")
-    pairs = scratch.keep(members.join(lead, "key").filter("rep != a").select("a", F.col("rep").alias("b")).distinct(), "pairs")
-    links = scratch.keep(_confirm(scratch.keep(_likely(pairs, reps, percent), "likely"), texts, k, percent), "links")
-    comps = scratch.keep(components(links, scratch), "comps")
-    own = members.join(comps, members.rep == comps.id, "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
-    open_ = own.join(_mixed(own), "key", "left_semi").join(lead, "key").select(F.col("a").alias("key"), "rep", "comp").distinct()
-    open_ = scratch.keep(open_, "open")
-    shingles = scratch.keep(_sets(open_, texts, k), "shingles")
-    left = scratch.keep(_across(open_, shingles, percent), "left")
-    links = links.union(scratch.keep(_confirm(left, texts, k, percent), "links"))
+    members = scratch.keep(bands.join(shared, "key").select("key", "node", "count"), "members")
+    score = members.groupBy("node").agg(F.sum("count").alias("score"))
+    lead = scratch.keep(members.join(score, "node").groupBy("key").agg(F.max(F.struct("score", -F.col("node"))).alias("l")).select("key", (-F.col("l.col2")).alias("a")), "lead")
+    pairs = scratch.keep(members.join(lead, "key").filter("node != a").select("a", F.col("node").alias("b")).distinct(), "pairs")
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    full = scratch.keep(_full_sets(sets.join(wanted, "node").select("node", "rep", "set_id", "n", "regs"), texts, k), "full")
+    same = sets.join(scratch.keep(_shared_ids(real), "ids"), "set_id").groupBy("doc_id").agg(F.min("node").alias("a"), F.collect_set("node").alias("all")).select("a", F.explode("all").alias("b")).filter("a != b")
+    links = scratch.keep(_linked(pairs, full, percent).union(same), "links")
     comps = scratch.keep(components(links, scratch), "comps")
+    own = members.join(comps, members.node == comps.id, "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
+    open_ = scratch.keep(own.join(_mixed(own), "key", "left_semi").join(lead, "key").select(F.col("a").alias("key"), "node", "comp").distinct(), "open")
+    scratch.drop(members, lead, pairs, comps)
+    left = scratch.keep(_across(open_, full, percent), "left")
+    more = scratch.keep(_linked(left, full, percent), "links")
+    comps = scratch.keep(components(links.union(more), scratch), "comps")
+    scratch.drop(full, open_, left, links, more)
+
+    named = sets.select("set_id", "node", "rep").join(comps, F.col("node") == F.col("id"), "left").select("set_id", "rep", F.coalesce("component", "node").alias("comp"))
+    first = named.groupBy("comp").agg(F.min("rep").alias("least"))
+    least = scratch.keep(named.join(first, "comp").select("set_id", "least"), "least")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
+    return table.select("doc_id", "h", "n_shingles", "set_id").join(least, "set_id", "left").select("doc_id", "h", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
 
-    classed = table.join(sets, "set_id", "left").join(comps, F.col("rep") == F.col("id"), "left")
-    component = F.coalesce("component", "rep", "doc_id")
-    return classed.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+def _shared_ids(real: DataFrame) -> DataFrame:
+    """(doc_id, set_id) of the ids that stand for several different sets."""
+    each = real.groupBy("doc_id").agg(F.min("set_id").alias("least"), F.max("set_id").alias("most")).filter("least != most").select("doc_id")
+    return real.join(each, "doc_id").select("doc_id", "set_id").distinct()
+
+
+def without_near_copies(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose document is the least of its component.
+
+    Rows that repeat both doc_id and text stay once; rows with a null doc_id all stay but for such
+    repeats.
+    """
+    answer = Scratch(docs.sparkSession, "near").keep(_answers(docs, k, percent).filter("kept").select("doc_id", "h"), "kept")
+    return rows_of(docs, answer)
