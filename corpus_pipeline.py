@@ -20,22 +20,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.without_toxic(docs, model)
 
 
-def _only(docs: DataFrame, answer: DataFrame, spark: SparkSession) -> DataFrame:
-    """Rows of ``docs`` whose doc_id ``answer`` keeps; of rows repeated in full one, with a null id all."""
-    answer = Scratch(spark, "kept").keep(answer.filter("doc_id IS NOT NULL").select("doc_id", "kept"), "kept")
-    repeated = answer.groupBy("doc_id").count().filter("count > 1").limit(1).count() > 0
-    chosen = docs.filter("doc_id IS NOT NULL").join(answer.filter("kept").select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
-    return (chosen.dropDuplicates(["doc_id", "text"]) if repeated else chosen).unionByName(docs.filter("doc_id IS NULL"))
-
-
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row with the smallest doc_id of each group of equal texts."""
-    return _only(docs, exact_dedup.exact_duplicates(docs), spark)
+    return exact_dedup.without_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each connected group of similar texts (five-word shingles)."""
-    return _only(docs, setsketch.near_duplicates(docs, k=5), spark)
+    return setsketch.without_near_copies(docs, k=5)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
