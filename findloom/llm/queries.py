@@ -55,7 +55,7 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(_table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("row")
+    return mixing.mix_sources(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,32 +5,11 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from findloom.llm import mixing, nn_descent, packing
+from findloom.llm import nn_descent, packing
 from findloom.llm.tokenizer_files import TOKENIZER
 from tests.conftest import DATA
 
 
-def test_water_fill_and_route():
-    targets = mixing.water_fill([10, 1000, 500], [5, 2, 1])
-    assert targets[0] == 20 and sum(targets) == pytest.approx(1.5 * 1510)
-    flows = mixing.route([(("a",), 100), (("a", "b"), 100), (("b",), 100)], {"a": 150, "b": 150})
-    assert sum(flows) == 300 and max(flows) == 100
-    assert mixing.route([(("a",), 100)], {"a": 500}) == [200]
-
-
-def test_mix(spark):
-    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "source")
-    odd = spark.createDataFrame([(10_000, None, "a"), (10_001, "x y", None), (10_001, "x y", None), (None, "z", "a")], "doc_id long, text string, source string")
-    one, two = (mixing.mix_sources(docs.unionByName(odd)).toPandas().sort_values("row", ignore_index=True) for _ in range(2))
-    assert one[["doc_id", "taken"]].equals(two[["doc_id", "taken"]]) and len(one) == docs.count() + 4
-    assert (one.taken <= 2 * one["size"]).all() and (one.taken >= 0).all()
-    took = one.groupby(["source_size", "target"]).agg(taken=("taken", "sum"), largest=("size", "max")).reset_index()
-    assert (abs(took.taken - took.target) <= took.largest).all()
-    assert mixing.mix_sources(docs.limit(0)).count() == 0
-    again = mixing.mixed_documents(docs)
-    assert again.columns == docs.columns
-
-
 def test_fill_is_best():
     rng = np.random.default_rng(4)
     for _ in range(60):
