@@ -102,7 +102,7 @@ def brute_lines(docs, least):
         for x, (a, b) in enumerate(places):
             for c, e in places[:x]:
                 n = 0
-                while b + n < len(seqs[a][1]) and e + n < len(seqs[c][1]) and seqs[a][1][b + n] == seqs[c][1][e + n]:
+                while b + n < len(seqs[a][1]) and e + n < len(seqs[c][1]) and (a != c or e + n < b) and seqs[a][1][b + n] == seqs[c][1][e + n]:
                     n += 1
                 if sum(len(W.findall(y)) for y in seqs[a][1][b : b + n]) >= least:
                     gone[a].update(range(b, b + n))
@@ -120,6 +120,32 @@ def test_lines_equal_brute_force(spark):
     assert line_dedup.delete_repeated_lines(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_lines_of_few_kinds_equal_brute_force(spark, seed):
+    """Periodic documents, copies of copies and long common prefixes, dealt to several pieces."""
+    rng = np.random.default_rng(seed)
+    docs = [(i, "\n".join(rng.choice(["a", "b b", "c"], rng.integers(1, 30), p=[0.7, 0.2, 0.1]).tolist())) for i in range(40)]
+    docs += [(50, "x y z\n" * 4), (51, "p q\n" * 31), (52, docs[7][1] + "\n" + docs[9][1]), (53, docs[52 - 10][1] if len(docs) > 52 else docs[8][1])]
+    got = {r.doc_id: r.n_removed for r in line_dedup.delete_repeated_lines(frame(spark, docs), min_words=6).collect()}
+    assert got == brute_lines(docs, 6)
+
+
+def test_first_copy_stays_whole(spark):
+    rows = [(1, "one two three\n" * 4)]
+    got = line_dedup.delete_repeated_lines(frame(spark, rows), min_words=6).collect()[0]
+    assert got.removed == [2, 3]
+
+
+def test_line_edges(spark):
+    text = "\n".join(f"line {i} has some words" for i in range(20))
+    rows = [(None, text, "k", 1), (None, text, "k", 1), (3, text, "k", 2), (3, text, "k", 2), (3, "other", "k", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string, h long")
+    got = sorted((r.doc_id or 0, r.n_removed) for r in line_dedup.delete_repeated_lines(docs).collect())
+    assert got == [(0, 0), (0, 0), (3, 0), (3, 20), (3, 20)]
+    long = frame(spark, [(1, "\n".join(f"w{i % 700} v" for i in range(6000)))])
+    assert line_dedup.delete_repeated_lines(long).collect()[0].n_removed == 6000 - 700
+
+
 def test_whole_table_has_planted_copies(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
