@@ -1,45 +1,61 @@
 """Main text of web pages by equivalence-class template deduction.
 
-Pages are read as token sequences: tags with their class and id, each in its place in the tree, and
-pieces of text. Over the pages of one host the occurrence vector of a token is how often it occurs on
-each page. Tokens with the same vector form an equivalence class; the vector is never stored, but as
-a sum of page hashes weighted with the counts, which pre-aggregates on the map side, so a host with
-a third of all pages is spread over all tasks. The class of tokens that occur exactly once on nearly
-all pages is the template. Valid classes nest: an element of the template lies inside another. The
-slots between template tokens hold what differs from page to page, and the main slot is the deepest
-template element that holds nearly all the running text of the host's pages.
-
-Which template elements can't hold the article (menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, styles, comments) is told by tag and by the words of class, id and role. On a host
-with too few pages for classes the page's own article or main element, or else the whole body, is
-the main slot. Inside the slot nothing else is dropped: a passage that all articles share stays.
+Tokens. A page is read as elements, each told by its place in the tree with its class and id, and
+blocks of text, each told by its place and its words. The occurrence vector of a token is how often
+it occurs on each page of a host. Tokens with the same vector form an equivalence class; the vector
+is never stored, but as a sum of page hashes weighted with the counts, which pre-aggregates on the
+map side, so a host with a third of all pages is spread over all tasks.
+
+Classes. Those on nearly all pages, once on each, of more than one token, make up the template. A
+second pass tests them on every page: a token stays if it keeps its place in the order of its class,
+and if it lies on nearly all pages in the same slot, that is after the same element of the template.
+Valid classes nest this way: text in slots between elements, elements in the slots of others.
+
+Slots. Text tokens of the template are boilerplate and are taken out; what is left differs from page
+to page and is what the slots hold. The main slot is the innermost element of the template that holds
+nearly all of that text. Where the template's text outweighs what differs, the host's pages are
+copies of one another and there is no template.
+
+Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments that differ
+from page to page are told by tag and by class, id and role if these say nothing else. A name that
+also says something else (share-price, share-links) only raises a doubt, which a text of mostly links
+settles. A page's own article or main element is taken before the main slot; on a host with too few
+pages for classes, and without such an element, the whole body. Nothing else is dropped.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
 from collections import Counter
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from findloom.llm.scratch import Scratch
 
-#: A host needs this many pages for classes, and a template token must be on this share of them.
-LEAST_PAGES, SUPPORT = 4, 0.9
-#: The main slot is the deepest template element with at least this share of the running text.
+#: A host needs this many pages for classes, a template token must be on this share of them, and a class has so many tokens.
+LEAST_PAGES, SUPPORT, LEAST_TOKENS = 4, 0.9, 2
+#: The main slot is the innermost template element with at least this share of the text that differs.
 HOLDS = 0.9
-#: Templates are broadcast up to this many hosts (a host is a name and a path); beyond, joined.
-BROADCAST_HOSTS = 20_000
+#: Share of link text from which a doubtful element is a list of links.
+LINKS = 0.6
+#: Templates are broadcast up to this many tokens of all hosts; beyond, joined.
+BROADCAST_TOKENS = 50_000
 
 # Tags by their role in HTML.
 RAW = frozenset({"script", "style", "noscript", "template", "iframe", "svg", "math", "canvas", "object", "video", "audio", "textarea", "select", "title", "noembed", "noframes", "xmp"})
-ASIDE = frozenset({"nav", "header", "footer", "aside", "form", "head", "button", "menu", "dialog", "fieldset", "label", "input"})
+ASIDE = frozenset({"nav", "footer", "aside", "form", "head", "button", "menu", "dialog", "fieldset", "label", "input"})
 VOID = frozenset({"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"})
 BLOCK = frozenset({"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "search", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"})
 NOT_ARTICLE = frozenset({"ad", "ads", "advert", "adverts", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "complementary", "consent", "contentinfo", "cookie", "cookies", "disqus", "footer", "gdpr", "header", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "popup", "promo", "promoted", "related", "replies", "respond", "search", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget"})
+#: Of these, names that a page's own article may give to its own parts.
+OWN_PARTS = frozenset({"header", "banner", "notice"})
+#: Words that say nothing of what an element holds.
+GENERIC = frozenset({"area", "bar", "block", "bottom", "box", "column", "container", "global", "group", "inner", "left", "list", "main", "outer", "page", "panel", "right", "section", "site", "slot", "top", "wrap", "wrapper"})
 #: Elements that end an open paragraph, and items that end an open item of their kind.
 _ITEMS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
@@ -55,46 +71,75 @@ _HOLD = frozenset({"table", "ul", "ol", "dl", "div", "article", "section", "body
 
 
 class Node:
-    """An open element: its tag and path, whether it is set aside, whether an article holds it."""
+    """An open element: its tag and path, whether it is set aside, in an article or a link, and where a doubtful one's blocks begin."""
 
-    __slots__ = ("tag", "path", "skip", "own")
+    __slots__ = ("tag", "path", "skip", "own", "link", "doubt")
 
-    def __init__(self, tag: str, path: str, skip: bool, own: bool):
-        self.tag, self.path, self.skip, self.own = tag, path, skip, own
+    def __init__(self, tag: str, path: str, skip: bool, own: bool, link: bool, doubt: int):
+        self.tag, self.path, self.skip, self.own, self.link, self.doubt = tag, path, skip, own, link, doubt
 
 
-def parse(page: str) -> list[tuple[str, bool, str]]:
-    """Blocks of the page in order that aren't set aside: element path, if in an article, and text.
+def named_aside(marks: list[tuple[str, str]], own: bool) -> tuple[bool, bool]:
+    """Whether class, id or role set an element aside: surely, or perhaps."""
+    perhaps = False
+    for _, value in marks:
+        for name in value.split():
+            parts = [p.lower() for p in _PART.findall(name)]
+            listed = [p for p in parts if p in NOT_ARTICLE and not (own and p in OWN_PARTS)]
+            if listed:
+                if all(p in NOT_ARTICLE or p in GENERIC for p in parts):
+                    return True, False
+                perhaps = True
+    return False, perhaps
+
+
+def parse(page: str) -> tuple[list[tuple[str, bool, str]], list[tuple[str, int]]]:
+    """What isn't set aside, in page order: blocks (element path, if in an article, text) and elements (path, blocks before).
 
     Elements needn't be closed or nested: an end tag closes up to its element, if that is open, and a
     block element closes an open paragraph.
     """
-    stack = [Node("", "", False, False)]
+    stack = [Node("", "", False, False, False, -1)]
     blocks: list = []
+    links: list[int] = []
+    elements: list[tuple[str, int]] = []
     words: list[str] = []
+    linked = 0
     at, size = 0, len(page)
 
     def flush() -> None:
+        nonlocal linked
         top = stack[-1]
         if words and not top.skip:
             raw = "".join(words)
             text = " ".join((entities.unescape(raw) if "&" in raw else raw).split())
             if text:
                 blocks.append((top.path, top.own, text))
+                links.append(linked)
         words.clear()
+        linked = 0
 
     def close(i: int) -> None:
-        if any(x.tag in BLOCK or x.skip != stack[i - 1].skip for x in stack[i:]):
+        if any(x.tag in BLOCK or x.skip != stack[i - 1].skip or x.doubt >= 0 for x in stack[i:]):
             flush()
+        for x in reversed(stack[i:]):
+            if x.doubt >= 0 and sum(links[x.doubt :]) >= LINKS * sum(len(b[2]) for b in blocks[x.doubt :]):
+                del blocks[x.doubt :], links[x.doubt :]
         del stack[i:]
 
+    def put(text: str) -> None:
+        nonlocal linked
+        words.append(text)
+        if stack[-1].link:
+            linked += len(text)
+
     while at < size:
         m = _TAG.search(page, at)
         if not m:
-            words.append(page[at:])
+            put(page[at:])
             break
         if m.start() > at:
-            words.append(page[at : m.start()])
+            put(page[at : m.start()])
         at = m.end()
         if m["note"] is not None:
             end = page.find("-->", at)
@@ -132,16 +177,19 @@ def parse(page: str) -> list[tuple[str, bool, str]]:
                     break
         top = stack[-1]
         marks = [(k.lower(), a or b or c) for k, a, b, c in _ATTR.findall(rest)] if "=" in rest else ()
-        skip = top.skip or tag in ASIDE
+        skip, doubt = top.skip or tag in ASIDE or (tag == "header" and not top.own), False
         if marks and not skip and tag not in ("html", "body", "article", "main"):
-            skip = any(p.lower() in NOT_ARTICLE for _, v in marks for p in _PART.findall(v))
+            skip, doubt = named_aside(marks, top.own)
         skip = skip or bool(rest and _HIDDEN.search(rest))
-        if block or skip != top.skip:
+        if block or skip != top.skip or doubt:
             flush()
         name = tag + "".join(f"[{k}={v}]" for k, v in sorted(marks) if not any(ch.isdigit() for ch in v)).replace("/", "|")
-        stack.append(Node(tag, f"{top.path}/{name}", skip, top.own or tag in ("article", "main") or ("role", "main") in marks))
+        stack.append(Node(tag, f"{top.path}/{name}", skip, top.own or tag in ("article", "main") or ("role", "main") in marks, top.link or tag == "a", len(blocks) if doubt else -1))
+        if block and not skip:
+            elements.append((stack[-1].path, len(blocks)))
     flush()
-    return blocks
+    close(1)
+    return blocks, elements
 
 
 def host_of(url: str | None) -> str:
@@ -149,69 +197,127 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def element_counts(blocks: list[tuple[str, bool, str]]) -> tuple[Counter, Counter]:
-    """Per element path: how many such elements hold blocks, and the running text in them."""
-    opened: Counter = Counter()
-    chars: Counter = Counter()
-    previous = ""
-    for path, _, text in blocks:
-        at = path.find("/", 1)
-        while at > 0:
-            if previous != path[:at] and not previous.startswith(path[: at + 1]):
-                opened[path[:at]] += 1
-            chars[path[:at]] += len(text)
-            at = path.find("/", at + 1)
-        if path:
-            opened[path] += 1
-            chars[path] += len(text)
-        previous = path
-    return opened, chars
+def token_of(path: str, text: str | None = None) -> int:
+    """The number of an element, or of a block of text in it."""
+    return xxhash.xxh3_64_intdigest(path if text is None else f"{path}\0{text}", 1 + (text is None)) >> 1
+
+
+_BLOCKS = "array<struct<path:string,own:boolean,text:string,token:long>>"
+_TOKENS = "array<struct<token:long,n:int,place:int,path:string>>"
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """Each page with its host, blocks (path, own, text) and element counts (token, n, chars)."""
+    """Each page with its host, blocks and tokens: how often each occurs, where first, and the path if an element."""
 
     def run(batches):
         for batch in batches:
             host, blocks, tokens = [], [], []
             for url, page in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                own = parse(page or "")
-                opened, chars = element_counts(own)
+                own, elements = parse(page or "")
+                rows = [{"path": p, "own": o, "text": t, "token": token_of(p, t)} for p, o, t in own]
+                order = sorted([(at, 0, i, token_of(p), p) for i, (p, at) in enumerate(elements)] + [(i, 1, 0, b["token"], None) for i, b in enumerate(rows)], key=lambda x: x[:3])
+                count = Counter(x[3] for x in order)
+                first = {x[3]: (i, x[4]) for i, x in reversed(list(enumerate(order)))}
                 host.append(host_of(url))
-                blocks.append([{"path": p, "own": o, "text": t} for p, o, t in own])
-                tokens.append([{"token": k, "n": n, "chars": chars[k]} for k, n in opened.items()] + [{"token": "", "n": 1, "chars": sum(len(t) for _, _, t in own)}])
-            block = pa.struct([("path", pa.string()), ("own", pa.bool_()), ("text", pa.string())])
-            token = pa.struct([("token", pa.string()), ("n", pa.int64()), ("chars", pa.int64())])
+                blocks.append(rows)
+                tokens.append([{"token": k, "n": count[k], "place": i, "path": p} for k, (i, p) in sorted(first.items(), key=lambda x: x[1][0])])
+            block = pa.struct([("path", pa.string()), ("own", pa.bool_()), ("text", pa.string()), ("token", pa.int64())])
+            token = pa.struct([("token", pa.int64()), ("n", pa.int32()), ("place", pa.int32()), ("path", pa.string())])
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(host, pa.string()), pa.array(blocks, pa.list_(block)), pa.array(tokens, pa.list_(token))], names=["page_id", "url", "host", "blocks", "tokens"])
 
-    return pages.mapInArrow(run, "page_id long, url string, host string, blocks array<struct<path:string,own:boolean,text:string>>, tokens array<struct<token:string,n:long,chars:long>>")
+    return pages.mapInArrow(run, f"page_id long, url string, host string, blocks {_BLOCKS}, tokens {_TOKENS}")
 
 
-def templates(table: DataFrame) -> DataFrame:
-    """(host, slot): the path of the main slot of each host with pages enough for a template.
+def classes(table: DataFrame) -> DataFrame:
+    """(host, total, tokens): the equivalence classes on nearly all pages of each host, once on each, of several tokens.
 
-    Tokens of one host with the same occurrence vector (told by the number of pages and a sum of page
-    hashes weighted with the counts, which combines on the map side) form an equivalence class. A
-    class is valid if its tokens occur once a page, on nearly all pages. Valid classes nest by their
-    elements; the main slot is the innermost that still holds nearly all running text.
+    ``tokens`` has token, path (null for text) and class of each, in the mean order of their places.
+    """
+    page = F.pmod(F.xxhash64("page_id", "url"), F.lit((1 << 31) - 1))
+    tokens = table.select("host", page.alias("page"), F.explode("tokens").alias("t")).select("host", "page", "t.*")
+    stats = tokens.groupBy("host", "token").agg(F.count("*").alias("pages"), F.sum((F.col("n") == 1).cast("long")).alias("once"), F.sum(F.col("n") * F.col("page")).alias("vector"), F.avg("place").alias("place"), F.max("path").alias("path"))
+    total = table.groupBy(F.col("host").alias("h")).agg(F.count("*").alias("total")).filter(f"total >= {LEAST_PAGES}")
+    frequent = stats.join(total, F.col("host") == F.col("h")).filter(f"pages >= {SUPPORT} * total AND once = pages")
+    token = F.struct("place", "token", "path")
+    grouped = frequent.groupBy("host", "total", "pages", "vector").agg(F.collect_list(token).alias("all")).filter(F.size("all") >= LEAST_TOKENS)
+    each = grouped.select("host", "total", F.xxhash64("pages", "vector").alias("class"), F.explode("all").alias("t")).select("host", "total", F.struct("t.place", "t.token", "t.path", "class").alias("t"))
+    return each.groupBy("host", "total").agg(F.array_sort(F.collect_list("t")).alias("tokens"))
+
+
+def in_order(places: list[int]) -> list[bool]:
+    """Which of the places belong to a longest rising sequence."""
+    least: list[int] = []  # the least last place of a rising sequence of each length, and whose it is
+    ends: list[int] = []
+    before = [-1] * len(places)
+    for i, p in enumerate(places):
+        k = bisect_left(least, p)
+        before[i] = ends[k - 1] if k else -1
+        least[k : k + 1], ends[k : k + 1] = [p], [i]
+    keep, i = [False] * len(places), ends[-1] if ends else -1
+    while i >= 0:
+        keep[i] = True
+        i = before[i]
+    return keep
+
+
+def tested(table: DataFrame, found: DataFrame) -> DataFrame:
+    """(host, token, path, slot, ordered, chars, all): every class token of every page, and the text that differs in it.
+
+    ``slot`` is the element of the template before it; ``chars`` of an element is the page's text in it
+    that is no token of a class, of a text its own length; ``all`` is the page's text that differs.
     """
-    tokens = table.select("host", F.pmod(F.xxhash64("page_id", "url"), F.lit((1 << 31) - 1)).alias("page"), F.explode("tokens").alias("t")).select("host", "page", "t.*")
-    stats = tokens.groupBy("host", "token").agg(F.count("*").alias("pages"), F.sum((F.col("n") == 1).cast("long")).alias("once"), F.sum(F.col("n") * F.col("page")).alias("vector"), F.sum("chars").alias("chars"))
-    whole = stats.filter("token = ''").select(F.col("host").alias("h"), F.col("pages").alias("total"), F.col("chars").alias("all"))
-    template = stats.filter("token != ''").join(whole, F.col("host") == F.col("h")).filter(f"total >= {LEAST_PAGES} AND once >= {SUPPORT} * total")
-    element = F.struct(F.size(F.split("token", "/")).alias("depth"), "token")
-    classes = template.groupBy("host", "pages", "vector").agg(F.max(F.when(F.expr(f"chars >= {HOLDS} * all"), element)).alias("inner"))
-    return classes.filter("inner IS NOT NULL").groupBy("host").agg(F.max("inner").alias("best")).select("host", F.col("best.token").alias("slot"))
-
 
-def in_slot(blocks: list[tuple[str, bool, str]], slot: str | None) -> str:
-    """Blocks of the main slot, or of the page's article or main element, or else of the body."""
+    def run(batches):
+        for batch in batches:
+            out: list[list] = [[] for _ in range(7)]
+            for host, blocks, tokens, known in zip(*(batch.column(c).to_pylist() for c in ("host", "blocks", "tokens", "known")), strict=True):
+                place = {t["token"]: t["place"] for t in tokens}
+                own = [t for t in known if t["token"] in place]
+                by_class: dict = {}
+                for t in own:
+                    by_class.setdefault(t["class"], []).append(t["token"])
+                ordered = {x: ok for xs in by_class.values() for x, ok in zip(xs, in_order([place[x] for x in xs]), strict=True)}
+                texts = {t["token"] for t in own if t["path"] is None}
+                length = {b["token"]: len(b["text"]) for b in blocks}
+                differs = [(b["path"], len(b["text"])) for b in blocks if b["token"] not in texts]
+                total, last = sum(n for _, n in differs), 0
+                for t in sorted(own, key=lambda t: place[t["token"]]):
+                    inside = length[t["token"]] if t["path"] is None else sum(n for p, n in differs if p == t["path"] or p.startswith(t["path"] + "/"))
+                    for to, x in zip(out, (host, t["token"], t["path"], last, ordered[t["token"]], inside, total), strict=True):
+                        to.append(x)
+                    if t["path"] is not None and ordered[t["token"]]:
+                        last = t["token"]
+            kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["host", "token", "path", "slot", "ordered", "chars", "all"])
+
+    joined = table.join(found.select(F.col("host").alias("h"), F.col("tokens").alias("known")), F.col("host") == F.col("h")).select("host", "blocks", "tokens", "known")
+    return joined.mapInArrow(run, "host string, token long, path string, slot long, ordered boolean, chars long, all long")
+
+
+def templates(table: DataFrame, scratch: Scratch) -> DataFrame:
+    """(host, gone, slot): the text tokens of each host's template, and the path of its main slot."""
+    found = scratch.keep(classes(table), "classes")
+    each = tested(table, F.broadcast(found) if _few(found, "tokens") else found)
+    slots = each.groupBy("host", "token", "path", "slot").agg(F.sum(F.col("ordered").cast("long")).alias("good"), F.sum("chars").alias("chars"), F.sum("all").alias("all"))
+    sums = slots.groupBy("host", "token", "path").agg(F.max("good").alias("good"), F.sum("chars").alias("chars"), F.sum("all").alias("all"))
+    valid = sums.join(found.select(F.col("host").alias("h"), "total"), F.col("host") == F.col("h")).filter(f"good >= {SUPPORT} * total")
+    text = F.col("path").isNull()
+    inner = F.when(~text & (F.col("chars") >= HOLDS * F.col("all")), F.struct(F.size(F.split("path", "/")).alias("depth"), "path"))
+    by_host = valid.groupBy("host").agg(F.collect_set(F.when(text, F.col("token"))).alias("gone"), F.sum(F.when(text, F.col("chars")).otherwise(0)).alias("fixed"), F.max("all").alias("all"), F.max(inner).alias("inner"))
+    return by_host.filter("fixed <= all").select("host", "gone", F.col("inner.path").alias("slot"))
+
+
+def _few(hosts: DataFrame, tokens: str) -> bool:
+    """Whether the templates of all hosts are small enough to be broadcast."""
+    return (hosts.agg(F.sum(F.size(tokens) + 1).alias("n")).first().n or 0) <= BROADCAST_TOKENS
+
+
+def extract(page: str | None, slot: str | None = None, gone: frozenset = frozenset()) -> str:
+    """The text of one page, given its host's main slot and text tokens."""
+    blocks = [b for b in parse(page or "")[0] if token_of(b[0], b[2]) not in gone]
+    own = [t for _, o, t in blocks if o]
     inside = [t for p, _, t in blocks if p == slot or p.startswith(f"{slot}/")] if slot else []
-    return "\n".join(inside or [t for _, own, t in blocks if own] or [t for _, _, t in blocks])
-
-
-def extract(page: str | None, slot: str | None = None) -> str:
-    return in_slot(parse(page or ""), slot)
+    return "\n".join(own or inside or [t for _, _, t in blocks])
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -222,12 +328,13 @@ def main_text(pages: DataFrame) -> DataFrame:
     """
     scratch = Scratch(pages.sparkSession, "html")
     table = scratch.keep(parsed(pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))), "parsed")
-    slots = scratch.keep(templates(table), "slots").withColumnRenamed("host", "h")
-    few = slots.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
-    joined = table.select("page_id", "url", "host", "blocks").join(F.broadcast(slots) if few else slots, F.col("host") == F.col("h"), "left")
+    known = scratch.keep(templates(table, scratch), "templates").withColumnRenamed("host", "h")
+    joined = table.select("page_id", "url", "host", "blocks").join(F.broadcast(known) if _few(known, "gone") else known, F.col("host") == F.col("h"), "left")
+    blocks = "filter(blocks, b -> NOT coalesce(array_contains(gone, b.token), false))"
+    left = joined.withColumn("blocks", F.expr(blocks))
     texts = lambda keep: F.expr(f"transform({keep}, b -> b.text)")
     inside = texts("filter(blocks, b -> coalesce(b.path = slot OR startswith(b.path, concat(slot, '/')), false))")
     own = texts("filter(blocks, b -> b.own)")
-    chosen = F.when(F.size(inside) > 0, inside).when(F.size(own) > 0, own).otherwise(texts("blocks"))
-    out = joined.select("page_id", "url", F.array_join(chosen, "\n").alias("text"))
+    chosen = F.when(F.size(own) > 0, own).when(F.size(inside) > 0, inside).otherwise(texts("blocks"))
+    out = left.select("page_id", "url", F.array_join(chosen, "\n").alias("text"))
     return out.withColumn("n_chars", F.length("text").cast("long"))

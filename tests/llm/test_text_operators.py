@@ -105,10 +105,85 @@ def test_html_template(spark):
     assert got[90].text == "" == got[92].text and got[91].text == "x < y" and got[91].n_chars == 5
 
 
-def test_classes_find_the_slot(spark):
-    pages = [(i, "https://h.org/p", PAGE.format(f"n{i} " + "word " * 30)) for i in range(6)]
-    table = html_template.parsed(spark.createDataFrame(pages, "page_id long, url string, html string"))
-    assert [tuple(r) for r in html_template.templates(table).collect()] == [("h.org", "/html/body/div[id=main]")]
+def pages_of(spark, bodies, host="h.org"):
+    rows = [(i, f"https://{host}/p{i}", f"<html><body>{x}</body></html>") for i, x in enumerate(bodies)]
+    return spark.createDataFrame(rows, "page_id long, url string, html string")
+
+
+def texts_of(df):
+    return {r.page_id: r.text for r in html_template.main_text(df).collect()}
+
+
+def story(i, n=3):
+    return "".join(f"<p>Paragraph {j} of story {i} tells {i * j + 1} things</p>" for j in range(n))
+
+
+def test_the_template_is_taken_out(spark):
+    """Unlabelled boilerplate in the slot goes; what only shares a word with a name stays."""
+    body = '<div class="page"><p>All rights of {0}</p><div id="body">{1}<p class="legal">Terms apply to this text.</p><div class="related-work"><p>See {0} too</p></div><p class="share-price">Price {0}</p></div><div><a href="/x">Home</a> <a href="/y">Shop</a></div></div>'
+    got = texts_of(pages_of(spark, [body.format(f"n{i}", story(i, 9)) for i in range(8)]))
+    for i in range(8):
+        assert got[i] == "\n".join([*(f"Paragraph {j} of story {i} tells {i * j + 1} things" for j in range(9)), f"See n{i} too", f"Price n{i}"])
+    few = texts_of(pages_of(spark, [body.format(f"n{i}", story(i)) for i in range(3)]))
+    assert "Terms apply" in few[0]  # too few pages for classes
+
+
+def test_parts_of_the_own_article_stay(spark):
+    page = '<nav>menu</nav><article><header class="article-header"><h1>Title {0}</h1></header>{1}<div class="share-links"><a href="/a">Post it {0}</a> <a href="/b">Mail it {0}</a></div><footer>by {0}</footer><div class="comment-list"><p>first! {0}</p></div></article><aside>side {0}</aside><div class="cookie-bar">ok {0}</div>'
+    for n in (2, 8):
+        got = texts_of(pages_of(spark, [page.format(f"n{i}", story(i, 2)) for i in range(n)]))
+        assert got[1] == "Title n1\nParagraph 0 of story 1 tells 1 things\nParagraph 1 of story 1 tells 2 things"
+
+
+def test_copies_on_a_host_stay_whole(spark):
+    got = texts_of(pages_of(spark, [f"<article>{story(7)}</article>"] * 6))
+    assert len(set(got.values())) == 1 and got[0].count("\n") == 2
+
+
+def test_classes_equal_brute_force(spark):
+    """Tokens, vectors and classes told by dictionaries of whole vectors; order and slot from the pages themselves."""
+    rng = random.Random(5)
+    bodies = []
+    for i in range(12):
+        parts = [f"<p>own {i} {j} text</p>" for j in range(rng.randint(2, 5))]
+        parts.insert(rng.randrange(len(parts)), "<p>wanders</p>")  # once on each page, but in no fixed place among repeated elements
+        if i % 2:
+            parts.append("<p>half of the pages</p>")
+        bodies.append("<div id=top><p>fixed head</p></div><div id=mid>" + "".join(parts) + "<b>fixed foot</b></div>")
+    df = pages_of(spark, bodies)
+    table = html_template.parsed(df)
+    found = {r.host: r for r in html_template.classes(table).collect()}["h.org"]
+    vectors = {}
+    for i, x in enumerate(bodies):
+        blocks, elements = html_template.parse(f"<html><body>{x}</body></html>")
+        for t in [html_template.token_of(p) for p, _ in elements] + [html_template.token_of(p, t) for p, _, t in blocks]:
+            vectors.setdefault(t, [0] * 12)[i] += 1
+    by = {}
+    for t, v in vectors.items():
+        by.setdefault(tuple(v), set()).add(t)
+    expected = {frozenset(x) for v, x in by.items() if set(v) == {1} and len(x) >= 2}
+    got = {}
+    for t in found.tokens:
+        got.setdefault(t["class"], set()).add(t.token)
+    assert {frozenset(x) for x in got.values()} == expected
+    out = texts_of(df)
+    assert all("fixed" not in out[i] and f"own {i} 0 text" in out[i] and ("half" in out[i]) == bool(i % 2) for i in range(12))
+
+
+@pytest.mark.parametrize("places", [[], [3], [1, 2, 3], [3, 1, 2], [5, 1, 6, 2, 7, 3]])
+def test_in_order(places):
+    keep = html_template.in_order(places)
+    kept = [p for p, ok in zip(places, keep, strict=True) if ok]
+    best = max((sum(m) for m in __import__("itertools").product((0, 1), repeat=len(places)) if (own := [p for p, x in zip(places, m, strict=True) if x]) == sorted(own)), default=0)
+    assert kept == sorted(kept) and len(kept) == best
+
+
+def test_html_edges(spark):
+    rows = [(1, "https://a.org/", "<p>" + "long words " * 200_000), (1, "https://a.org/", "<p>x"), (None, "https://a.org/", None), (2, None, "plain")]
+    df = spark.createDataFrame([(*r, "c", 1) for r in rows], "page_id long, url string, html string, blocks string, host long")
+    got = html_template.main_text(df).collect()
+    assert sorted(r.n_chars for r in got) == [0, 1, 5, 200_000 * 11 - 1]
+    assert html_template.main_text(df.limit(0)).count() == 0
 
 
 def test_pseudo_likelihood_learns_both_sides():
