@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from findloom.llm.scratch import bounded_batches
+
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -145,6 +147,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     Offsets are code points, ends exclusive. Null and empty texts have no spans (the hash is that of
     the empty string). Repeated rows get equal answers; an empty table gives none.
     """
+    bounded_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:

@@ -7,6 +7,7 @@ every executor sees the files, and a result that is used twice is the same both
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -28,6 +29,18 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN_DIR[app]
 
 
+#: Bytes of an Arrow batch; a batch of long texts must not outweigh the slices that are worked on.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Batches that go to Python hold at most ``BATCH_BYTES`` (or one row) from now on."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    had = int(re.sub("[^0-9-]", "", spark.conf.get(key)) or -1)
+    if not 0 < had <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 class Scratch:
     """Tables of one operator call. ``drop`` frees one early; the rest go when the driver exits."""
 
@@ -36,6 +49,7 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self._n = 0
         atexit.register(self._clean)
+        bounded_batches(spark)
 
     def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
         """Write ``df`` and return it as read back."""

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from findloom.llm.arrays import UNLETTERED, Words, as_bytes, lowered, slices
+from findloom.llm.scratch import bounded_batches
 
 SLOTS = 1 << 20
 #: Labelled rows that the model is fitted on at most, chosen by a hash of doc_id.
@@ -24,6 +25,11 @@ TRAIN_ROWS = 20_000
 MAX_SHARE = 0.25
 #: The L1 penalty in rows: a word whose excess of severe rows is below it keeps weight zero.
 L1_ROWS, L2_ROWS, EPOCHS, STEP = 3.0, 0.02, (120, 400), 0.05
+#: Features that a step of the fit works on at a time, which bounds what it holds besides them.
+PART = 1 << 19
+#: Distinct words of one labelled row that the fit takes at most, the first by their hash: a bound on
+#: the sample, next to ``TRAIN_ROWS``.
+TRAIN_WORDS = 4096
 
 
 def _slots(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -51,14 +57,17 @@ def _descend(doc: np.ndarray, at: np.ndarray, m: int, grade: np.ndarray, levels:
     theta = -np.log(above / (1 - above))
     t_mean, t_var, rows = np.zeros(levels - 1), np.zeros(levels - 1), np.arange(n)
     for t in range(1, epochs + 1):
-        score = np.bincount(doc, w[at], n)
+        score = np.zeros(n)
+        for lo in range(0, len(at), PART):
+            score += np.bincount(doc[lo : lo + PART], w[at[lo : lo + PART]], n)
         cdf = np.concatenate([np.zeros((n, 1)), 1 / (1 + np.exp(np.clip(score[:, None] - theta[None, :], -50, 50))), np.ones((n, 1))], 1)
         slope = cdf * (1 - cdf)
         p = np.maximum(cdf[rows, grade + 1] - cdf[rows, grade], 1e-9)
         up, low = slope[rows, grade + 1] / p, slope[rows, grade] / p
         g_theta = np.array([(-(up * (grade == k)).sum() + (low * (grade == k + 1)).sum()) / n for k in range(levels - 1)])
-        g = np.bincount(at, ((up - low) / n)[doc], m) + l2 * w
-        g = g + l1
+        g, push = l2 * w + l1, (up - low) / n
+        for lo in range(0, len(at), PART):
+            g += np.bincount(at[lo : lo + PART], push[doc[lo : lo + PART]], m)
         mean, var = 0.9 * mean + 0.1 * g, 0.99 * var + 0.01 * g * g
         t_mean, t_var = 0.9 * t_mean + 0.1 * g_theta, 0.99 * t_var + 0.01 * g_theta * g_theta
         unbias, scale = 1 - 0.9**t, 1 - 0.99**t
@@ -93,7 +102,11 @@ def fit(doc: np.ndarray, slot: np.ndarray, grade: np.ndarray, l1_rows: float = L
 
 
 def train(docs: DataFrame, grades: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    """Fit on at most ``rows`` rows of ``grades(doc_id, grade)``; null ids and grades take no part."""
+    """Fit on at most ``rows`` rows of ``grades(doc_id, grade)``; null ids and grades take no part.
+
+    Texts that share a labelled doc_id are one row with the words of all of them.
+    """
+    bounded_batches(docs.sparkSession)
     chosen = grades.filter("doc_id IS NOT NULL AND grade IS NOT NULL").groupBy("doc_id").agg(F.max("grade").cast("int").alias("grade")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
 
@@ -103,11 +116,12 @@ def train(docs: DataFrame, grades: DataFrame, rows: int = TRAIN_ROWS) -> Model:
             for lo, hi in slices(texts):
                 doc, slot = _slots(texts[lo:hi])
                 parts = np.split(slot.astype("<i4"), np.searchsorted(doc, np.arange(1, hi - lo)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), batch.column("grade").slice(lo, hi - lo), pa.array([x.tobytes() for x in parts], pa.binary())], names=["doc_id", "grade", "slots"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), batch.column("grade").slice(lo, hi - lo), pa.array([x[:TRAIN_WORDS].tobytes() for x in parts], pa.binary())], names=["doc_id", "grade", "slots"])
 
-    got = sample.mapInArrow(run, "doc_id long, grade int, slots binary").toPandas().sort_values("doc_id", ignore_index=True)
-    grade = got["grade"].to_numpy(np.int64)
-    parts = [np.frombuffer(x, "<i4") for x in got["slots"]]
+    slots = F.sort_array(F.collect_set("slots"))
+    got = sample.mapInArrow(run, "doc_id long, grade int, slots binary").groupBy("doc_id", "grade").agg(F.slice(slots, 1, 8).alias("slots")).toArrow().sort_by("doc_id")
+    grade = got.column("grade").to_numpy().astype(np.int64)
+    parts = [np.unique(np.concatenate([np.frombuffer(x.as_py(), "<i4") for x in each]))[:TRAIN_WORDS] for each in got.column("slots")]
     del got
     share = np.zeros(SLOTS, np.int32)
     for x in parts:  # slots are distinct within a text
@@ -122,8 +136,10 @@ def train(docs: DataFrame, grades: DataFrame, rows: int = TRAIN_ROWS) -> Model:
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, expected_severity, p_toxic (of the top grade) and toxic (p_toxic > 0.5) of each row.
 
-    Null and empty texts have no features and get the base rate. Repeated rows get equal answers.
+    Null and empty texts have no features and get the base rate. Repeated rows get equal answers; an
+    empty table gives none.
     """
+    bounded_batches(docs.sparkSession)
     nonzero = model.weights != 0
 
     def run(batches):
