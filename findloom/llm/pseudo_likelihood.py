@@ -7,9 +7,9 @@ the network takes each branch of the token's way down the Huffman tree of the co
 start at the corpus frequencies, so that an untrained network gives the unigram model. A document's
 score is the sum of the conditional log-probabilities of its tokens.
 
-Training is in numpy on the executors: in each round every task takes local steps from the same
-parameters on its share of the round's documents, and the results are averaged, weighted by the
-tokens seen. The averages are formed chunk by chunk in groups, so the driver gets one parameter set
+Training is in numpy on the executors: in each round groups of documents, dealt and ordered by a hash
+of id and text, take local steps from the same parameters, and the results are averaged, weighted by
+the tokens seen. The averages are formed chunk by chunk in groups, so the driver gets one parameter set
 per round whatever the number of tasks. The rounds together take every document once, and every
 token of it is predicted.
 """
@@ -17,6 +17,9 @@ token of it is predicted.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
+from itertools import groupby, pairwise
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +34,12 @@ INPUTS = 4096
 EMBED, HIDDEN, SIDE = 16, 16, 2
 #: Rounds of training; each takes the documents whose id hashes to its number.
 ROUNDS = 4
-BATCH, RATE = 1024, 0.02
+#: Windows in a step; later steps, whose moments have settled, take several times as many.
+BATCH, RATE, SETTLED, LATER = 1024, 0.02, 64, 4
 CHUNKS = 16
+#: Tokens of a round that are trained on together, about; their number of groups follows from the
+#: corpus alone, so a score doesn't depend on how the rows lie in files or tasks.
+GROUP = 2_000_000
 
 _SHAPES = (("embed", (INPUTS + 2, EMBED)), ("mix", (2 * SIDE * EMBED, HIDDEN)), ("bias", (HIDDEN,)), ("out", (SLOTS - 1, HIDDEN)), ("prior", (SLOTS - 1,)))
 _DENSE = ("embed", "mix", "bias")
@@ -89,6 +96,7 @@ class Vocabulary:
         weight = counts + 1.0
         self.tree = Tree(weight)
         self.unigram = np.log(weight / weight.sum())
+        self.tokens = float(counts.sum())
 
 
 def initial(vocabulary: Vocabulary) -> dict:
@@ -118,16 +126,37 @@ def contexts(inputs: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def train_local(p: dict, ctx: np.ndarray, target: np.ndarray) -> dict:
-    """Adam steps over the windows in their order, for tree nodes where they are met; returns new parameters."""
-    tree = p["tree"]
-    p = {k: v.copy() for k, v in p.items() if k != "tree"}
-    m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
-    for step, lo in enumerate(range(0, len(target), BATCH), 1):
-        c, y = ctx[lo : lo + BATCH], target[lo : lo + BATCH]
+class Steps:
+    """Adam steps over windows in their order, for tree nodes where they are met; steps don't depend on how windows are fed."""
+
+    def __init__(self, p: dict):
+        self.tree = p["tree"]
+        self.p = {k: v.copy() for k, v in p.items() if k != "tree"}
+        self.m, self.v = ({k: np.zeros_like(x) for k, x in self.p.items()} for _ in range(2))
+        self.done = self.seen = 0
+        self.ctx, self.target = np.zeros((0, 2 * SIDE), np.int32), np.zeros(0, np.int64)
+
+    def feed(self, ctx: np.ndarray, target: np.ndarray) -> Steps:
+        ctx, target = np.concatenate([self.ctx, ctx]), np.concatenate([self.target, target])
+        lo = 0
+        while lo + (size := BATCH if self.done < SETTLED else LATER * BATCH) <= len(target):
+            self._step(ctx[lo : lo + size], target[lo : lo + size])
+            lo += size
+        self.ctx, self.target = ctx[lo:], target[lo:]
+        return self
+
+    def close(self) -> dict:
+        if len(self.target):
+            self._step(self.ctx, self.target)
+        return self.p | {"tree": self.tree}
+
+    def _step(self, c: np.ndarray, y: np.ndarray) -> None:
+        p, m, v = self.p, self.m, self.v
+        self.done += 1
+        self.seen += len(y)
         x = p["embed"][c].reshape(len(c), -1)
         h = np.tanh(x @ p["mix"] + p["bias"])
-        node, sign, row, begin = tree.ways(y)
+        node, sign, row, begin = self.tree.ways(y)
         w, hr = p["out"][node], h[row]
         z = sign * (np.einsum("ij,ij->i", w, hr) + p["prior"][node])
         e = -sign / (1 + np.exp(np.clip(z, -60, 60))) / np.float32(len(y))
@@ -143,8 +172,11 @@ def train_local(p: dict, ctx: np.ndarray, target: np.ndarray) -> dict:
             at = slice(None) if k in _DENSE else met
             m[k][at] += 0.1 * (g[k] - m[k][at])
             v[k][at] += 0.01 * (g[k] * g[k] - v[k][at])
-            p[k][at] -= RATE * (m[k][at] / (1 - 0.9**step)) / (np.sqrt(v[k][at] / (1 - 0.99**step)) + 1e-6)
-    return p | {"tree": tree}
+            p[k][at] -= RATE * (m[k][at] / (1 - 0.9**self.done)) / (np.sqrt(v[k][at] / (1 - 0.99**self.done)) + 1e-6)
+
+
+def train_local(p: dict, ctx: np.ndarray, target: np.ndarray) -> dict:
+    return Steps(p).feed(ctx, target).close()
 
 
 class Scorer:
@@ -199,23 +231,42 @@ def _unflat(flat: np.ndarray, tree: Tree) -> dict:
     return p
 
 
+def _sent(p: dict, seen: int) -> pa.RecordBatch:
+    parts = np.array_split(_flat(p), CHUNKS)
+    return pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([seen] * CHUNKS, pa.int64()), pa.array([x.tobytes() for x in parts], pa.binary())], names=["chunk", "seen", "part"])
+
+
+def _grouped(batches) -> Iterator[tuple[int, Iterator[pa.RecordBatch]]]:
+    """The batches of rows of each group ``g`` in turn; a group is never held as a whole."""
+    parts = ((b.column("g")[0].as_py(), b) for batch in batches for b in _cut(batch))
+    return groupby(parts, key=itemgetter(0))
+
+
+def _cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    g = batch.column("g").to_numpy()
+    cuts = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1).tolist(), len(g)]
+    return (batch.slice(a, b - a) for a, b in pairwise(cuts) if b > a)
+
+
 def train(docs: DataFrame, vocabulary: Vocabulary, scratch: Scratch, rounds: int = ROUNDS) -> dict:
-    """Averaged local training; round r takes the documents whose id hashes to r of ``rounds``."""
+    """Averaged local training; round r takes the documents that hash to r of ``rounds``."""
     p = initial(vocabulary)
+    many = max(1, round(vocabulary.tokens / (rounds * GROUP)))
+    h = F.xxhash64("doc_id", "text", F.lit(29))
+    dealt = docs.select(F.pmod(h, F.lit(rounds)).alias("r"), F.pmod(F.shiftright(h, 8), F.lit(many)).cast("int").alias("g"), h.alias("h"), "text")
     for r in range(rounds):
         start = p
 
         def local(batches, start=start):
-            q, seen = start, 0
-            for batch in batches:
-                texts = as_bytes(batch.column("text"))
-                for lo, hi in slices(texts):
-                    ctx, y = windows(vocabulary, texts[lo:hi])
-                    if len(y):
-                        q, seen = train_local(q, ctx, y), seen + len(y)
-            if seen:
-                parts = np.array_split(_flat(q) * np.float32(1), CHUNKS)
-                yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([seen] * CHUNKS, pa.int64()), pa.array([x.tobytes() for x in parts], pa.binary())], names=["chunk", "seen", "part"])
+            for _, own in _grouped(batches):
+                steps = Steps(start)
+                for _, batch in own:
+                    texts = as_bytes(batch.column("text"))
+                    for lo, hi in slices(texts):
+                        steps.feed(*windows(vocabulary, texts[lo:hi]))
+                q = steps.close()
+                if steps.seen:
+                    yield _sent(q, steps.seen)
 
         def average(key, table):
             seen, parts = table.column("seen").to_pylist(), table.column("part").to_pylist()
@@ -223,8 +274,10 @@ def train(docs: DataFrame, vocabulary: Vocabulary, scratch: Scratch, rounds: int
             total = sum(np.frombuffer(parts[i], np.float32) * (seen[i] / sum(seen)) for i in order)
             return pa.table({"chunk": key[0:1], "part": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
-        own = docs.select(F.xxhash64("doc_id", F.lit(29)).alias("h"), "text").filter(F.pmod("h", F.lit(rounds)) == r).select("text")
-        got = own.mapInArrow(local, "chunk int, seen long, part binary").groupBy("chunk").applyInArrow(average, "chunk int, part binary").collect()
+        own = dealt.filter(F.col("r") == r).repartition(many, "g").sortWithinPartitions("g", "h").select("g", "text")
+        sent = scratch.keep(own.mapInArrow(local, "chunk int, seen long, part binary"), "trained")
+        got = sent.groupBy("chunk").applyInArrow(average, "chunk int, part binary").collect()
+        scratch.drop(sent)
         if len(got) == CHUNKS:
             p = _unflat(np.concatenate([np.frombuffer(x.part, np.float32) for x in sorted(got, key=lambda x: x.chunk)]), vocabulary.tree)
     return p
@@ -234,11 +287,12 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, n_tokens, log_prob (sum) and mean_log_prob of each row.
 
     Texts without words, and null texts, have no tokens, a sum of 0 and a null mean. Repeated rows get
-    equal scores; an empty table gives none.
+    equal scores; an empty table gives none. Scores are the same however the rows lie.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    scratch = Scratch(docs.sparkSession, "lm")
     vocabulary = Vocabulary(slot_counts(texts))
-    p = train(texts, vocabulary, Scratch(docs.sparkSession, "lm"), rounds)
+    p = train(texts, vocabulary, scratch, rounds)
 
     def run(batches):
         scorer = Scorer(p, vocabulary)
@@ -246,8 +300,8 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
             data = as_bytes(batch.column("text"))
             for lo, hi in slices(data):
                 slots, first = token_slots(data[lo:hi])
-                sums = np.concatenate([[0], np.cumsum(scorer.tokens(slots, first))])
-                total, n = sums[first[1:]] - sums[first[:-1]], np.diff(first)
+                n = np.diff(first)
+                total = np.bincount(np.repeat(np.arange(hi - lo), n), scorer.tokens(slots, first), hi - lo).astype(float)
                 mean = np.divide(total, n, out=np.zeros(len(n)), where=n > 0)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(total), pa.array(mean, mask=n == 0)], names=["doc_id", "n_tokens", "log_prob", "mean_log_prob"])
 

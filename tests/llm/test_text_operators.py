@@ -90,6 +90,11 @@ def test_toxicity_edges(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = toxicity.train(docs, toxicity.grades_of(none))
     assert [r.toxic for r in toxicity.score(docs, model).collect()] == [False] * 3
+    labels = spark.createDataFrame([(1, 1, 1), (3, 1, 0), (3, 1, 0), (None, 0, 1), (77, 0, None)], "doc_id long, quality int, toxic int")
+    more = docs.unionByName(docs).unionByName(spark.createDataFrame([(None, "word " * 400_000, "z")], docs.schema))
+    trained = toxicity.train(more, toxicity.grades_of(labels))
+    rows = toxicity.score(more, trained).collect()
+    assert len(rows) == 7 and len({(r.doc_id, r.p_toxic) for r in rows}) == 4
     assert toxicity.without_toxic(docs, model).count() == 3 and toxicity.score(docs.limit(0), model).count() == 0
 
 
@@ -203,6 +208,13 @@ def test_pseudo_likelihood_learns_both_sides():
     assert ordered > vocabulary.unigram[held].mean() + 0.5 and ordered > mixed + 1
 
 
+def test_scores_do_not_depend_on_layout(spark):
+    rng = np.random.default_rng(9)
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(["a", "b", "c", "d"], 50)), "x", 1.5) for i in range(300)], "doc_id long, text string, h string, log_prob double")
+    one, two = (sorted(map(tuple, pseudo_likelihood.score(docs.repartition(n)).collect())) for n in (2, 7))
+    assert [r[:2] for r in one] == [r[:2] for r in two] and np.allclose([r[2] for r in one], [r[2] for r in two], rtol=1e-9)
+
+
 def test_pseudo_likelihood_rows(spark):
     docs = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (2000, None), (2001, "a"), (None, "b")], "doc_id long, text string")
     got = {r.doc_id: r for r in pseudo_likelihood.score(docs).collect()}
