@@ -1,7 +1,8 @@
 """Approximate nearest neighbours: an NN-descent graph and greedy search on it.
 
 Nearness is the inner product. For the graph, vectors get one more component that makes all lengths
-equal, so that the greatest inner product is the nearest point. Equal vectors are one node with its
+equal, so that the greatest inner product is the nearest point. The few longest vectors would press
+all others together there; they stay out of the graph and are candidates of every query. Equal vectors are one node with its
 smallest row ids (no answer of k rows can need more of them), so a vector with a third of all rows
 is one node too.
 
@@ -30,13 +31,15 @@ from findloom.llm.scratch import Scratch
 
 #: Neighbours kept per node, and the best of them that take part in a local join.
 LIST, JOIN = 40, 28
-TREES, BUCKET, SAMPLE = 4, 3000, 20_000
+TREES, BUCKET, SAMPLE = 6, 256, 20_000
+#: The longest vectors, and nodes of the graph by their hash, which every query is compared with.
+GIANTS, ENTRIES = 32, 32
 #: Rounds end when at most this share of all list entries is new.
 SETTLED = 0.001
 #: Nodes a query expands per hop, and candidates it holds on to.
 EXPAND, POOL = 50, 200
 #: Vectors in one partition of the search at most, about.
-HELD = 50_000
+HELD = 20_000
 
 
 def _matrix(column: pa.ChunkedArray, kind: str) -> np.ndarray:
@@ -86,7 +89,7 @@ def _first_lists(points: DataFrame, count: int, sample: np.ndarray) -> DataFrame
 
     def deal(batches):
         for b in batches:
-            x = np.frombuffer(b"".join(b.column("point").to_pylist()), np.float16).reshape(b.num_rows, -1).astype(np.float32)
+            x = np.frombuffer(b"".join(b.column("point").to_pylist()), np.float32).reshape(b.num_rows, -1)
             for t, (ways, cuts) in enumerate(trees):
                 code = ((x @ ways.T > cuts) << np.arange(len(cuts))).sum(1) if depth else np.zeros(len(x), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t), pa.int32()), pa.array(code, pa.int64()), b.column("node"), b.column("point")], names=["tree", "code", "node", "point"])
@@ -99,7 +102,7 @@ def _first_lists(points: DataFrame, count: int, sample: np.ndarray) -> DataFrame
     def link(batches):
         for g in groups(batches, ["tree", "code", "part"]):
             ids = g.column("node").to_numpy()
-            x = _matrix(g.column("point"), np.float16).astype(np.float32)
+            x = _matrix(g.column("point"), np.float32)
             k = min(LIST, len(ids) - 1)
             if k < 1:
                 continue
@@ -152,7 +155,7 @@ def _descend(graph: DataFrame, points: DataFrame) -> DataFrame:
         names, kinds = ["node", "near", "sims"], [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float32())]
         for g in groups(batches, ["centre"]):
             ids, worst_ = g.column("node").to_numpy(), g.column("worst").to_numpy()
-            x = _matrix(g.column("point"), np.float16).astype(np.float32)
+            x = _matrix(g.column("point"), np.float32)
             s = x @ x.T
             np.fill_diagonal(s, -np.inf)
             better = s > worst_[:, None]
@@ -177,9 +180,15 @@ def _changed(graph: DataFrame, before: DataFrame) -> float:
     return (r.fresh or 0) / max(1, r.all or 0)
 
 
+def giants(table: DataFrame) -> list[int]:
+    """The nodes of the longest vectors of ``table(node, vec)``; at most half of all."""
+    most = min(GIANTS, table.count() // 2)
+    return sorted(r.node for r in table.mapInArrow(_squares, "node long, square double").orderBy(F.desc("square"), "node").limit(most).collect())
+
+
 def build(table: DataFrame, scratch: Scratch) -> DataFrame:
     """The graph over ``table(node, vec)``: node, near and sims (in the lengthened space), best first."""
-    stats = table.mapInArrow(_squares, "n long, most double").agg(F.sum("n").alias("n"), F.max("most").alias("most")).first()
+    stats = table.mapInArrow(_squares, "node long, square double").agg(F.count("*").alias("n"), F.max("square").alias("most")).first()
     count, most = stats.n or 0, stats.most or 0.0
 
     def lengthen(batches):
@@ -187,16 +196,17 @@ def build(table: DataFrame, scratch: Scratch) -> DataFrame:
             x = np.frombuffer(b"".join(b.column("vec").to_pylist()), "<f8").reshape(b.num_rows, -1)
             own = (x * x).sum(1)
             y = np.column_stack([x, np.sqrt(np.maximum(most - own, 0))]) / math.sqrt(most)
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([r.tobytes() for r in y.astype(np.float16)], pa.binary())], names=["node", "point"])
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([r.tobytes() for r in y.astype(np.float32)], pa.binary())], names=["node", "point"])
 
     points = scratch.keep(table.select("node", "vec").mapInArrow(lengthen, "node long, point binary"), "points")
     some = points.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("point").toPandas()["point"]
-    sample = np.frombuffer(b"".join(map(bytes, some)), np.float16).reshape(len(some), -1).astype(np.float64)
+    sample = np.frombuffer(b"".join(map(bytes, some)), np.float32).reshape(len(some), -1).astype(np.float64)
     graph = scratch.keep(_merged(_first_lists(points, count, sample)), "graph")
-    share = 1.0 if count > BUCKET else 0.0
+    share = 1.0 if count > 1 else 0.0
     while share > SETTLED:
         before, graph = graph, scratch.keep(_descend(graph, points), "graph")
         share = _changed(graph, before)
+        scratch.drop(before)
     return graph
 
 
@@ -204,7 +214,7 @@ def _squares(batches):
     for b in batches:
         if b.num_rows:
             x = np.frombuffer(b"".join(b.column("vec").to_pylist()), "<f8").reshape(b.num_rows, -1)
-            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64()), pa.array([float((x * x).sum(1).max())])], names=["n", "most"])
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array((x * x).sum(1))], names=["node", "square"])
 
 
 def _scored(wanted: DataFrame, queries: DataFrame, table: DataFrame, parts: int) -> DataFrame:
@@ -282,17 +292,18 @@ def _pooled(state: DataFrame | None, scored: DataFrame, best: int) -> DataFrame:
     return rows.repartition("query").sortWithinPartitions("query").mapInArrow(run, "query long, ids binary, sims binary, done binary, ahead array<long>")
 
 
-def search(table: DataFrame, graph: DataFrame, starts: DataFrame, scratch: Scratch, best: int = 21) -> DataFrame:
+def search(table: DataFrame, graph: DataFrame, starts: DataFrame, scratch: Scratch, best: int = 21, seeds: list[int] = ()) -> DataFrame:
     """(query, ids, sims): the best candidates of each node in ``starts(query)``, itself included.
 
-    Each query expands until its ``best`` first candidates no longer change.
+    A query begins at its own node's neighbours and at ``seeds``. Each query expands until its ``best`` first candidates no longer change.
     """
     count = table.count()
     parts = max(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(count / HELD))
     queries = starts.join(table.select(F.col("node").alias("query"), "vec"), "query")
     back = _reverse(graph, LIST).groupBy("node").agg(F.collect_list("other").alias("back"))
     links = scratch.keep(graph.join(back, "node", "left").select(F.col("node").alias("x"), F.array_union("near", F.coalesce("back", F.array().cast("array<long>"))).alias("near")), "links")
-    own = queries.select("query", F.array("query").alias("near")).union(queries.join(links, F.col("query") == F.col("x")).select("query", "near"))
+    first = F.array("query", *(F.lit(x).cast("long") for x in seeds))
+    own = queries.select("query", first.alias("near")).union(queries.join(links, F.col("query") == F.col("x")).select("query", "near"))
     state, ahead = None, True
     while ahead:
         rows = own if state is None else state.select("query", F.explode("ahead").alias("x")).join(links, "x").select("query", "near")
@@ -314,10 +325,13 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     table = nodes(vectors, k, scratch)
     if not table.limit(1).count():
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    graph = build(table, scratch)
+    longest = giants(table)
+    others = table.filter(~F.col("node").isin(longest)) if longest else table
+    graph = build(others, scratch)
+    entries = [r.node for r in others.select("node").orderBy(F.xxhash64("node"), "node").limit(ENTRIES).collect()]
     rows = vectors.filter(F.col("vec_id") % every == 0).select("vec_id", "embedding")
     asked = _asked(rows, table, scratch)
-    found = search(table, graph, asked.select(F.col("node").alias("query")).distinct(), scratch, k + 1)
+    found = search(table, graph, asked.select(F.col("node").alias("query")).distinct(), scratch, k + 1, longest + entries)
 
     def best(batches):
         out: list[list] = [[], [], []]
