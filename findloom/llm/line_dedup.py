@@ -17,7 +17,8 @@ first copy, and is cut to where it would overlap that copy. The order is dealt t
 equal size, whatever the intervals; a piece needs of the others only their frontiers, which have at
 most as many entries as the longest stretch has lines.
 
-A run counts once it has ``min_words`` words; its later copies are deleted.
+A run counts once it has ``min_words`` words; its later copies are deleted. Texts move once, to meet
+their runs; the runs grow with the corpus, so that join is a merge at every size.
 """
 
 from __future__ import annotations
@@ -258,7 +259,7 @@ def delete_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFr
     copies = repeated_runs(docs, min_words, scratch)
     per_doc = scratch.keep(copies.groupBy("doc_id", "h").agg(F.collect_set(F.struct("from", "lines")).alias("runs")), "runs")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("h"))
-    joined = own.alias("d").join(per_doc.alias("r"), F.col("d.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("d.h") == F.col("r.h")), "left").select("d.doc_id", "text", "runs")
+    joined = own.alias("d").join(per_doc.alias("r").hint("merge"), F.col("d.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("d.h") == F.col("r.h")), "left").select("d.doc_id", "text", "runs")
     white = "\x20\x09\x0a\x0b\x0c\x0d"
 
     def run(batches):
