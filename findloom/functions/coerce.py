@@ -16,7 +16,7 @@ def to_float(value: Column) -> Column:
 def to_fraction(value: Column) -> Column:
     """Values in (1, 100] are per cent; the result is within 0 and 1."""
     v = to_float(value)
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when((v > 1) & (v <= 100), v / 100).otherwise(v)))
+    return F.when(v.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when((v > 1) & (v <= 100), v / 100).otherwise(v))))
 
 
 def to_bool(value: Column) -> Column:
@@ -83,11 +83,28 @@ def lenient_date(value: Column) -> Column:
     return F.coalesce(F.try_to_timestamp(value).cast("date"), F.try_to_timestamp(F.regexp_extract(value, r"^([0-9]{4}-[0-9]{2}-[0-9]{2})", 1)).cast("date"))
 
 
+def _port_parts(spec: Column):
+    """The parts of a list of ports, how to tell a good one, and its first and last port."""
+    end = lambda p, i: F.split_part(p, F.lit("-"), F.lit(i)).try_cast("int")
+    fit = lambda x: F.coalesce((x >= 1) & (x <= 65535), F.lit(False))
+    first, last = lambda p: end(p, 1), lambda p: F.when(F.contains(p, F.lit("-")), end(p, 2)).otherwise(end(p, 1))
+    good = lambda p: p.rlike(r"^[0-9]{1,5}(-[0-9]{1,5})?$") & fit(first(p)) & fit(last(p)) & (first(p) <= last(p))
+    return F.transform(F.split(spec, ","), lambda p: F.trim(p)), good, first, last
+
+
 def ports(spec: Column) -> Column:
-    """80,443,8000-8010 as sorted, distinct numbers; parts out of 1 to 65535 are left out."""
-    part = lambda p: F.when(p.rlike(r"^[0-9]+-[0-9]+$"), F.sequence(F.split_part(p, F.lit("-"), F.lit(1)).try_cast("int"), F.split_part(p, F.lit("-"), F.lit(2)).try_cast("int"))).when(p.rlike(r"^[0-9]+$"), F.array(p.try_cast("int"))).otherwise(F.array().cast("array<int>"))
-    every = F.flatten(F.transform(F.split(spec, ","), lambda p: part(F.trim(p))))
-    return F.array_sort(F.array_distinct(F.filter(every, lambda x: (x >= 1) & (x <= 65535))))
+    """80,443,8000-8010 as sorted, distinct numbers; parts that are no ports are left out.
+
+    A range is built only once both its ends are known to be ports.
+    """
+    parts, good, first, last = _port_parts(spec)
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(F.filter(parts, good), lambda p: F.sequence(first(p), last(p))))))
+
+
+def ports_valid(spec: Column) -> Column:
+    """Whether every part of the list is a port, or a range from a lower to a higher one."""
+    parts, good, _, _ = _port_parts(spec)
+    return F.forall(parts, good)
 
 
 def cvss_severity(score: Column) -> Column:

@@ -36,8 +36,11 @@ ABBREVIATIONS = {
     "api": "application programming interface",
 }
 STOP_WORDS = (
-    "vulnerability issue bug detected in on at of for and or the a an is are was were be been being have has had do does did to from by with found possible potential may might could should via using"
-).split()
+    "vulnerability", "issue", "bug", "detected", "in", "on", "at", "of", "for", "and", "or", "the",
+    "a", "an", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had",
+    "do", "does", "did", "to", "from", "by", "with", "found", "possible", "potential", "may", "might",
+    "could", "should", "via", "using",
+)
 HEADER_TRIGGERS = ("header", "configuration", "not set", "missing", "protection", "suggested security")
 HEADER_EXCLUSIONS = ("deprecated", "deprecation", "obsolete", "superseded", "replaced", "replacement", "instead")
 HTML_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&"))
@@ -50,6 +53,18 @@ def _any_in(text: Column, words: tuple[str, ...]) -> Column:
     return out
 
 
+def pattern_of(phrases: tuple[str, ...], whole: bool = True) -> str:
+    """A pattern for any of the phrases, as whole words; a blank stands for any white space."""
+    plain = ["".join(c if c.isalnum() or c in " _" else f"\\{c}" for c in p).replace(" ", r"\s+") for p in phrases]
+    edge = r"(?![A-Za-z0-9_])" if whole else ""
+    return (r"(?<![A-Za-z0-9_])" if whole else "") + "(?:" + "|".join(plain) + ")" + edge
+
+
+def says(text: Column, phrases: tuple[str, ...], whole: bool = True) -> Column:
+    """Whether the text has any of the phrases."""
+    return text.rlike(pattern_of(phrases, whole))
+
+
 def name_words(name: Column) -> Column:
     """Lower-case words of a name: hyphens and underscores split words, other signs are blanks."""
     plain = F.regexp_replace(F.lower(F.trim(name)), r"[^a-z0-9\s]", " ")
@@ -73,7 +88,7 @@ def normalize_name(name: Column) -> Column:
     """A name for matching: header family, or expanded, distinct words without stop words."""
     table = literal_map(ABBREVIATIONS)
     words = F.flatten(F.transform(name_words(name), lambda w: F.split(F.coalesce(F.try_element_at(table, w), w), " ")))
-    kept = F.array_distinct(F.filter(words, lambda w: ~w.isin(STOP_WORDS)))
+    kept = F.array_distinct(F.filter(words, lambda w: ~w.isin(*STOP_WORDS)))
     return F.coalesce(header_family(name), F.array_join(kept, " "), F.lit(""))
 
 
@@ -98,7 +113,7 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 #: Words of titles that say nothing on their own.
-GENERIC_TOKENS = ("missing", "header", "security", "server", "http", "https", "web", "page", "information", "disclosure", "policy", "application", "response")
+GENERIC_TOKENS = ("configuration", "content", "detected", "finding", "header", "headers", "issue", "missing", "options", "policy", "protection", "security", "vulnerability")
 
 
 def meaningful_tokens(tokens: Column) -> Column:

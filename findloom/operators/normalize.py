@@ -7,17 +7,62 @@ from pyspark.sql import functions as F
 
 from findloom import schema
 from findloom.functions.coerce import cve_ids, cvss_severity, first_value
-from findloom.functions.text import strip_html
+from findloom.functions.text import says, strip_html
 from findloom.functions.url import query_keys, remap_origin, web_target, with_target
 
 # Words that tell a severity, in order.
 NIKTO_WORDS = (
-    ("critical", "remote code execution|code execution|rce|sql injection|command injection|authentication bypass|auth bypass"),
-    ("high", "xss|cross-site scripting|directory traversal|path traversal|file inclusion|arbitrary file upload|source disclosure"),
-    ("medium", "default credentials|default password|outdated|end of life|unpatched|misconfiguration|information disclosure|directory indexing|admin interface|backup|debug"),
-    ("low", "information|header|banner|cookie|version disclosure|server leaks"),
+    ("critical", (
+        "remote code execution",
+        "code execution",
+        "rce",
+        "sql injection",
+        "command injection",
+        "authentication bypass",
+        "auth bypass",
+    )),
+    ("high", (
+        "xss",
+        "cross-site scripting",
+        "directory traversal",
+        "path traversal",
+        "file inclusion",
+        "arbitrary file upload",
+        "source disclosure",
+    )),
+    ("medium", (
+        "default credentials",
+        "default password",
+        "outdated",
+        "end of life",
+        "unpatched",
+        "misconfiguration",
+        "information disclosure",
+        "directory indexing",
+        "admin interface",
+        "backup",
+        "debug",
+    )),
+    ("low", (
+        "information",
+        "header",
+        "banner",
+        "cookie",
+        "version disclosure",
+        "server leaks",
+    )),
+)
+PAYLOAD_WORDS = (
+    "payload",
+    "inject",
+    "exec",
+    "command",
+    "sql",
+    "template",
+    "traversal",
+    "xss",
+    "parameter ",
 )
-PAYLOAD_WORDS = "payload|inject|exec|command|sql|template|traversal|xss|parameter "
 WAPITI_LEVELS = {"1": "low", "2": "medium", "3": "high", "4": "critical"}
 
 
@@ -38,7 +83,7 @@ def project(rows: DataFrame, name: Column, level: Column, asset: Column, descrip
 def keyword_severity(text: Column, rules: tuple = NIKTO_WORDS) -> Column:
     out = F.lit("info")
     for level, words in reversed(rules):
-        out = F.when(F.lower(text).rlike(words), level).otherwise(out)
+        out = F.when(says(F.lower(text), words, whole=False), level).otherwise(out)
     return out
 
 
@@ -79,7 +124,7 @@ def server_error(rows: DataFrame) -> Column:
     has = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
     context = (has("path") | has("url")) & text.rlike("500|internal server error|http error")
     replay = has("http_request") | has("curl_command")
-    strong = has("parameter") & replay & text.rlike(PAYLOAD_WORDS)
+    strong = has("parameter") & replay & says(text, PAYLOAD_WORDS, whole=False)
     kind = F.when(~context, "skip").when(strong, "strong").when(has("parameter") | replay | has("method") | has("module"), "low").otherwise("skip")
     return F.when(F.lower(F.trim("category")) == "internal server error", kind)
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from findloom.functions.coerce import criticality, environment, to_ints
+from findloom.functions.text import says
 from findloom.schema import literal_map
 
 # Points, bounds, classes and patterns.
@@ -23,27 +24,134 @@ EPSS_POINTS = ((0.85, 10), (0.60, 7), (0.30, 4), (0.10, 2), (0.01, 1))
 PERCENTILE_POINTS = ((0.98, 2), (0.90, 1))
 PRIORITY_FROM = (("P0", 85), ("P1", 65), ("P2", 45), ("P3", 25))
 EXPLOIT_MOST, EXPLOIT_KNOWN, CVSS_FACTOR, LOW_SIGNAL_MOST, LOW_SIGNAL_CONTEXT = 12, 8, 6.5, 35, 12
+#: Classes with boost, floor, CWE numbers and the phrases that name them.
 CLASSES = (
-    ("remote_code_execution", 18, 78, (77, 78, 88, 94), r"\b(remote code execution|rce|command injection|code injection|shell injection)\b"),
-    ("insecure_deserialization", 16, 74, (502,), r"\bdeserialization\b"),
-    ("server_side_template_injection", 16, 72, (1336,), r"\b(server[ -]?side template injection|ssti)\b"),
-    ("sql_injection", 14, 60, (89, 564), r"\b(sql injection|sqli)\b"),
-    ("authentication_bypass", 14, 60, (287, 306, 862, 863), r"\b((authentication|authorization|login|access control) bypass|auth[- ]?bypass)\b"),
-    ("server_side_request_forgery", 12, 56, (918,), r"\b(server[ -]?side request forgery|ssrf)\b"),
-    ("xml_external_entity", 12, 56, (611,), r"\b(xml external entity|xxe)\b"),
-    ("path_traversal", 12, 54, (22, 23, 35, 36, 73), r"\b((path|directory) traversal|local file inclusion|lfi|arbitrary file read|file disclosure)\b"),
-    ("credential_exposure", 12, 54, (259, 312, 522, 798), r"\b(credential exposure|(exposed|hardcoded) credentials?|secret exposure|api key exposure|(password|token) disclosure)\b"),
+    ("remote_code_execution", 18, 78, (77, 78, 88, 94), (
+        "remote code execution",
+        "rce",
+        "command injection",
+        "os command injection",
+        "code injection",
+        "shell injection",
+    )),
+    ("insecure_deserialization", 16, 74, (502,), (
+        "insecure deserialization",
+        "unsafe deserialization",
+        "deserialization",
+    )),
+    ("server_side_template_injection", 16, 72, (1336,), (
+        "server-side template injection",
+        "server side template injection",
+        "serverside template injection",
+        "ssti",
+    )),
+    ("sql_injection", 14, 60, (89, 564), (
+        "sql injection",
+        "sqli",
+    )),
+    ("authentication_bypass", 14, 60, (287, 306, 862, 863), (
+        "authentication bypass",
+        "authorization bypass",
+        "auth bypass",
+        "auth-bypass",
+        "authbypass",
+        "login bypass",
+        "access control bypass",
+    )),
+    ("server_side_request_forgery", 12, 56, (918,), (
+        "server-side request forgery",
+        "server side request forgery",
+        "serverside request forgery",
+        "ssrf",
+    )),
+    ("xml_external_entity", 12, 56, (611,), (
+        "xml external entity",
+        "xxe",
+    )),
+    ("path_traversal", 12, 54, (22, 23, 35, 36, 73), (
+        "path traversal",
+        "directory traversal",
+        "local file inclusion",
+        "lfi",
+        "arbitrary file read",
+        "file disclosure",
+    )),
+    ("credential_exposure", 12, 54, (259, 312, 522, 798), (
+        "credential exposure",
+        "exposed credential",
+        "exposed credentials",
+        "hardcoded credential",
+        "hardcoded credentials",
+        "secret exposure",
+        "api key exposure",
+        "password disclosure",
+        "token disclosure",
+    )),
+)
+#: Response headers that harden a site.
+HARDENING_HEADERS = (
+    "strict-transport-security",
+    "content-security-policy",
+    "x-frame-options",
+    "x-content-type-options",
+    "referrer-policy",
+    "permissions-policy",
 )
-_HEADERS = "strict-transport-security|content-security-policy|x-frame-options|x-content-type-options|referrer-policy|permissions-policy"
+#: Findings that say little; a header's own name is put in place of {header}.
 LOW_SIGNAL = (
-    ("missing_hardening_header", rf"\b(missing security header|header missing|missing (the )?({_HEADERS})|({_HEADERS}) header missing)\b"),
-    ("header_or_banner_disclosure", r"\b(server header|x-powered-by|server version|(version|banner|technology stack) disclosure)\b"),
-    ("cookie_hardening_flag", r"\b(cookie without (httponly|secure)|missing httponly|missing secure flag|samesite (attribute )?(is )?missing)\b"),
+    ("missing_hardening_header", (
+        "missing security header",
+        "header missing",
+        "missing {header}",
+        "missing the {header}",
+        "{header} header missing",
+    )),
+    ("header_or_banner_disclosure", (
+        "server header",
+        "x-powered-by",
+        "server version",
+        "version disclosure",
+        "banner disclosure",
+        "technology stack disclosure",
+    )),
+    ("cookie_hardening_flag", (
+        "cookie without httponly",
+        "cookie without secure",
+        "missing httponly",
+        "missing secure flag",
+        "samesite missing",
+        "samesite is missing",
+        "samesite attribute missing",
+        "samesite attribute is missing",
+    )),
+)
+#: Hosts that are internal.
+INTERNAL_NAMES = ("localhost",)
+INTERNAL_SUFFIXES = (".local", ".internal", ".lan")
+INTERNAL_PREFIXES = ("127.", "10.", "192.168.", *(f"172.{i}." for i in range(16, 32)), "fe80:")
+#: Phrases on whether a login is needed.
+OPEN_TEXT = (
+    "unauthenticated",
+    "without authentication",
+    "no authentication required",
+    "authentication not required",
+    "pre-auth",
+    "pre auth",
+    "anonymous",
 )
-INTERNAL_HOST = r"localhost|\.local$|\.internal$|\.lan$|^127\.|^10\.|^172\.(1[6-9]|2[0-9]|3[0-1])\.|^192\.168\.|^::1$|^fe80:"
-OPEN_TEXT = r"\b(unauthenticated|without authentication|no authentication required|authentication not required|pre[- ]auth|anonymous)\b"
-LOGIN_TEXT = r"\b(authenticated|after login|requires login|requires authentication|post[- ]auth)\b"
-EXPLOIT_REFERENCE = r"exploit-db|exploitdb|metasploit|packetstorm|\bpublic exploit\b|\bproof[- ]of[- ]concept exploit\b|\bpoc exploit\b|github\.com/\S*(exploit|proof[-_]of[-_]concept|poc[-_]exploit)"
+LOGIN_TEXT = (
+    "authenticated",
+    "after login",
+    "requires login",
+    "requires authentication",
+    "post-auth",
+    "post auth",
+    "authenticated user",
+)
+#: What references to public exploits hold, anywhere or as whole words, and the last part of a repository's address.
+EXPLOIT_SITES = ("exploit-db", "exploitdb", "metasploit", "packetstorm")
+EXPLOIT_PHRASES = ("public exploit", "proof-of-concept exploit", "proof of concept exploit", "poc exploit")
+EXPLOIT_REPOSITORY = ("exploit", "proof-of-concept", "proof_of_concept", "poc-exploit", "poc_exploit")
 
 
 def _steps(value: Column, steps: tuple) -> Column:
@@ -80,7 +188,12 @@ def internet_exposed(asset: Column) -> Column:
     low = F.lower(F.trim(asset))
     rest = F.regexp_replace(low, r"^[a-z][a-z0-9+.-]*://", "")
     host = F.when(rest.startswith("["), F.regexp_extract(rest, r"^\[([^\]]*)\]", 1)).when(rest.rlike(r"^[^/]*:[^/]*:"), F.regexp_extract(rest, r"^([^/]*)", 1)).otherwise(F.regexp_extract(rest, r"^([^/:]*)", 1))
-    return F.when(F.coalesce(low, F.lit("")) == "", False).otherwise(~host.rlike(INTERNAL_HOST))
+    return F.when(F.coalesce(low, F.lit("")) == "", False).otherwise(~_internal(host))
+
+
+def _internal(host: Column) -> Column:
+    tests = [F.contains(host, F.lit(n)) for n in INTERNAL_NAMES] + [host.endswith(x) for x in INTERNAL_SUFFIXES] + [host.startswith(x) for x in INTERNAL_PREFIXES]
+    return reduce(lambda a, b: a | b, tests, host == "::1")
 
 
 def text_blob(name: Column, description: Column, *more: Column) -> Column:
@@ -91,23 +204,29 @@ def vulnerability_class(text: Column, cwes: Column) -> Column:
     """Struct id, boost, floor of the first rule that the CWE numbers or the text meet."""
     make = lambda i, b, f: F.struct(F.lit(i).alias("id"), F.lit(b).alias("boost"), F.lit(f).alias("floor"))
     out = make("generic_issue", 0, 0)
-    for ident, boost, floor, numbers, pattern in reversed(CLASSES):
-        out = F.when(F.arrays_overlap(cwes, F.array(*map(F.lit, numbers))) | text.rlike(pattern), make(ident, boost, floor)).otherwise(out)
+    for ident, boost, floor, numbers, phrases in reversed(CLASSES):
+        out = F.when(F.arrays_overlap(cwes, F.array(*map(F.lit, numbers))) | says(text, phrases), make(ident, boost, floor)).otherwise(out)
     return out
 
 
 def low_signal(text: Column) -> Column:
     """The low-signal rule that the text meets, or null."""
-    return reduce(lambda out, rule: F.when(text.rlike(rule[1]), rule[0]).otherwise(out), reversed(LOW_SIGNAL), F.lit(None).cast("string"))
+    out = F.lit(None).cast("string")
+    for ident, phrases in reversed(LOW_SIGNAL):
+        spelled = tuple(p.format(header=h) for p in phrases for h in (HARDENING_HEADERS if "{header}" in p else ("",)))
+        out = F.when(says(text, spelled), ident).otherwise(out)
+    return out
 
 
 def requires_auth(flag: Column, description: Column) -> Column:
     low = F.lower(F.coalesce(description, F.lit("")))
-    return F.coalesce(flag, F.when(low.rlike(OPEN_TEXT), False).otherwise(low.rlike(LOGIN_TEXT)))
+    return F.coalesce(flag, F.when(says(low, OPEN_TEXT), False).otherwise(says(low, LOGIN_TEXT)))
 
 
 def known_exploit(flag: Column, references: Column) -> Column:
-    return F.coalesce(flag, F.lit(False)) | F.exists(F.coalesce(references, F.array().cast("array<string>")), lambda r: F.lower(r).rlike(EXPLOIT_REFERENCE))
+    every = F.lower(F.array_join(F.coalesce(references, F.array().cast("array<string>")), " "))
+    repository = F.exists(F.split(every, r"\s+"), lambda r: F.contains(r, F.lit("github.com/")) & says(F.substring_index(r, "github.com/", -1), EXPLOIT_REPOSITORY, whole=False))
+    return F.coalesce(flag, F.lit(False)) | says(every, EXPLOIT_SITES, whole=False) | says(every, EXPLOIT_PHRASES) | repository
 
 
 def technical_points(cvss: Column, level: Column, cls: Column) -> Column:
@@ -134,17 +253,49 @@ def final_score(points: Column, signal: Column, known: Column, kev: Column, floo
     return clamp(F.when(kev, F.greatest(capped, floor)).otherwise(capped), 0, 100)
 
 
+def with_repeatable(findings: DataFrame, previous: DataFrame | None, keys: tuple[str, str] = ("fp_strict", "fp_general")) -> DataFrame:
+    """``findings`` with ``repeatable``: the earlier run has the same strict key, or, where either side has none, the same general key."""
+    if previous is None:
+        return findings.withColumn("repeatable", F.lit(False))
+    blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    strict, general = keys
+    one = previous.filter(~blank(strict)).select(F.col(strict).alias("_s")).distinct()
+    earlier = previous.filter(~blank(general)).groupBy(F.col(general).alias("_g")).agg(F.max(blank(strict)).alias("_open"))
+    out = findings.join(one, F.col(strict) == F.col("_s"), "left").join(earlier, F.col(general) == F.col("_g"), "left")
+    again = F.when(blank(strict), F.col("_g").isNotNull()).otherwise(F.col("_s").isNotNull() | F.coalesce("_open", F.lit(False)))
+    return out.withColumn("repeatable", again).drop("_s", "_g", "_open")
+
+
+def cvss_info(meta: Column) -> Column:
+    """Struct score and version: version 4 before 3.1; a plain score is 4.0 if its version or vector says so."""
+    hint = F.trim(F.coalesce(meta["cvss_version"], F.lit("")))
+    four = hint.isin("4", "4.0") | F.coalesce(meta["cvss_vector"].startswith("CVSS:4.0"), F.lit(False))
+    fit = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(10.0), x))
+    make = lambda x, v: F.struct(fit(x).alias("score"), v.alias("version"))
+    return F.when(meta["cvss_v4_score"].isNotNull(), make(meta["cvss_v4_score"], F.lit("4.0"))).when(meta["cvss_score"].isNotNull(), make(meta["cvss_score"], F.when(four, "4.0").otherwise("3.1")))
+
+
+def confidence_label(value: Column) -> Column:
+    """high, medium or low, from a label or a number from 0 to 3; null if unstated, unknown otherwise."""
+    low = F.lower(F.trim(value))
+    number = low.try_cast("double")
+    by_number = F.when(number >= 3, "high").when(number >= 2, "medium").when(number >= 0, "low")
+    return F.when(F.coalesce(low, F.lit("")) == "", F.lit(None)).when(low.isin("high", "confirmed", "certain", "firm"), "high").when(low == "medium", "medium").when(low.isin("low", "tentative"), "low").otherwise(F.coalesce(by_number, F.lit("unknown")))
+
+
+def rationale(factors: Column) -> Column:
+    """One line of text on how a score came about."""
+    part = lambda k: F.concat(F.lit(f"{k} "), factors[k].cast("string"))
+    return F.concat_ws("; ", *[part(k) for k in ("technical", "exploit", "business", "evidence")], F.when(factors["vulnerability_class"] != "generic_issue", F.concat(F.lit("class "), factors["vulnerability_class"])), F.when(factors["signal"].isNotNull(), F.concat(F.lit("low signal: "), factors["signal"])), F.when(factors["kev"], F.lit("known to be exploited")))
+
+
 def score(findings: DataFrame, previous: DataFrame | None = None, keys: tuple[str, str] = ("fp_strict", "fp_general")) -> DataFrame:
     """``findings`` with risk_score, priority and risk_factors.
 
     ``previous`` holds the keys of an earlier run: a finding found again is repeatable.
     """
     m, b = F.col("meta"), F.col("meta.business_context")
-    if previous is None:
-        out = findings.withColumn("repeatable", F.lit(False))
-    else:
-        seen = previous.select(F.col(keys[0]).alias("_seen")).filter("_seen IS NOT NULL").distinct()
-        out = findings.join(seen, F.col(keys[0]) == F.col("_seen"), "left").withColumn("repeatable", F.col("_seen").isNotNull()).drop("_seen")
+    out = with_repeatable(findings, previous, keys)
     sources = F.coalesce(F.col("source_findings"), F.array().cast(findings.schema["source_findings"].dataType))
     own = F.coalesce(m["degraded_execution"], F.lit(False))
     any_degraded = own | F.exists(sources, lambda s: F.coalesce(s["degraded"], F.lit(False)))
@@ -152,7 +303,7 @@ def score(findings: DataFrame, previous: DataFrame | None = None, keys: tuple[st
     text = text_blob(F.col("vulnerability_name"), F.col("description"), m["raw_id"], m["cwe"], F.array_join(F.coalesce(m["references"], F.array().cast("array<string>")), " "))
     cwes = to_ints(F.concat_ws(" ", m["cwe"], m["cwe_ids"]))
     out = out.withColumns({"_text": text, "_cwes": cwes})
-    out = out.withColumns({"_class": vulnerability_class(F.col("_text"), F.col("_cwes")), "_cvss": F.coalesce(m["cvss_v4_score"], m["cvss_score"]), "_known": known_exploit(m["known_exploit"], m["references"]), "_any": any_degraded, "_all": all_degraded})
+    out = out.withColumns({"_class": vulnerability_class(F.col("_text"), F.col("_cwes")), "_cvss": cvss_info(m)["score"], "_known": known_exploit(m["known_exploit"], m["references"]), "_any": any_degraded, "_all": all_degraded})
     out = out.withColumn("_exposed", F.coalesce(b["internet_exposed"], internet_exposed(F.coalesce(F.nullif(F.col("asset_id"), F.lit("")), m["host"])))).withColumn("_signal", F.when(F.col("_cvss").isNull() & (F.col("_class.id") == "generic_issue"), low_signal(F.col("_text"))))
     kev = F.coalesce(m["kev_listed"], F.lit(False))
     sensitive = F.coalesce(b["sensitive_data"], F.lit(False))

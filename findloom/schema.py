@@ -28,16 +28,43 @@ def _struct(**fields: T.DataType) -> T.StructType:
 
 
 BUSINESS = _struct(asset_criticality=_S, environment=_S, internet_exposed=T.BooleanType(), requires_auth=T.BooleanType(), sensitive_data=T.BooleanType())
+_I, _D, _B = T.IntegerType(), T.DoubleType(), T.BooleanType()
+CANDIDATE = _struct(cve_id=_S, cvss_score=_D, cvss_version=_S, cvss_vector=_S, cvss_source=_S, epss_score=_D, epss_percentile=_D, epss_source=_S, kev_listed=_B, kev_source=_S, kev_due_date=_S)
 META = _struct(
-    scanner=_S, host=_S, port=T.IntegerType(), scheme=_S, path=_S, query_keys=_L, parameter=_S, method=_S, protocol=_S, raw_id=_S, plugin_id=_S, template_id=_S,
+    scanner=_S, host=_S, port=_I, scheme=_S, path=_S, query_keys=_L, parameter=_S, method=_S, protocol=_S, raw_id=_S, plugin_id=_S, template_id=_S,
     category=_S, service=_S, technology=_S, cve_id=_S, cve_ids=_L, cwe=_S, cwe_ids=_L, references=_L, tags=_L, confidence=_S,
-    cvss_score=T.DoubleType(), cvss_v4_score=T.DoubleType(), epss_score=T.DoubleType(), epss_percentile=T.DoubleType(), kev_listed=T.BooleanType(), known_exploit=T.BooleanType(),
-    degraded_execution=T.BooleanType(), adapter_mode=_S, effective_target=_S, original_target=_S, business_context=BUSINESS,
+    cvss_score=_D, cvss_v4_score=_D, epss_score=_D, epss_percentile=_D, kev_listed=_B, known_exploit=_B,
+    degraded_execution=_B, adapter_mode=_S, effective_target=_S, original_target=_S, business_context=BUSINESS,
+    risk=_S, module=_S, service_version=_S, matcher_name=_S, evidence=_S, http_request=_S, curl_command=_S,
+    raw_ids=_L, paths=_L, parameters=_L, ports=T.ArrayType(_I), methods=_L, matcher_names=_L, evidence_examples=_L, http_request_examples=_L, curl_command_examples=_L,
+    cvss_version=_S, cvss_vector=_S, cvss_source=_S, epss_source=_S, kev_source=_S, kev_due_date=_S, cve_intelligence_candidates=T.ArrayType(CANDIDATE),
+    merged=_B, original_findings_count=_I, scanners=_L, has_multi_scanner_confirmation=_B, confirmation_scanners=_L, degraded_scanners=_L, match_level=_S, merged_lineage_ids=_L, duplicate_resolution_mode=_S,
 )
-SOURCE = _struct(finding_id=_S, scanner=_S, vulnerability_name=_S, severity=_S, asset_id=_S, degraded=T.BooleanType())
+SOURCE = _struct(finding_id=_S, scanner=_S, vulnerability_name=_S, severity=_S, asset_id=_S, description=_S, remediation=_S, degraded=_B, meta=META, fp_strict=_S, fp_general=_S, fp_host_only=_S)
 FINDING = _struct(finding_id=_S, ord=T.LongType(), vulnerability_name=_S, severity=_S, asset_id=_S, description=_S, remediation=_S, meta=META, source_findings=T.ArrayType(SOURCE))
 
 
+def conform(rows, kind: T.StructType = FINDING):
+    """``rows`` with exactly the fields of ``kind``, those of structs too; what is missing is null."""
+    return rows.select(*[_conformed(rows.schema, F.col, f).alias(f.name) for f in kind.fields], *[c for c in rows.columns if c not in kind.names])
+
+
+def _conformed(have: T.StructType, get, field: T.StructField) -> Column:
+    own = next((f for f in have.fields if f.name == field.name), None)
+    if own is None or isinstance(own.dataType, T.NullType):
+        return F.lit(None).cast(field.dataType)
+    value, kind = get(field.name), field.dataType
+    if isinstance(kind, T.StructType) and isinstance(own.dataType, T.StructType):
+        if own.dataType == kind:
+            return value
+        inner = F.struct(*[_conformed(own.dataType, value.__getitem__, f).alias(f.name) for f in kind.fields])
+        return F.when(value.isNotNull(), inner)
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType) and isinstance(own.dataType, T.ArrayType) and isinstance(own.dataType.elementType, T.StructType):
+        inner = own.dataType.elementType
+        return F.transform(value, lambda x: F.struct(*[_conformed(inner, x.__getitem__, f).alias(f.name) for f in kind.elementType.fields])).cast(kind)
+    return value.cast(kind)
+
+
 def literal_map(values: dict) -> Column:
     return F.create_map(*[F.lit(x) for x in chain.from_iterable(values.items())])
 
