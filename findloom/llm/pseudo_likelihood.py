@@ -31,12 +31,14 @@ from findloom.llm.scratch import Scratch
 
 SLOTS = 1 << 16
 INPUTS = 4096
-EMBED, HIDDEN, SIDE = 16, 16, 2
+EMBED, HIDDEN, SIDE = 8, 8, 2
 #: Rounds of training; each takes the documents whose id hashes to its number.
 ROUNDS = 4
 #: Windows in a step; later steps, whose moments have settled, take several times as many.
-BATCH, RATE, SETTLED, LATER = 1024, 0.02, 64, 4
+BATCH, RATE, SETTLED, LATER = 1024, 0.02, 64, 8
 CHUNKS = 16
+#: Nodes of the tree that most ways pass; these are taken for all words of a step at once.
+TOP = 64
 #: Tokens of a round that are trained on together, about; their number of groups follows from the
 #: corpus alone, so a score doesn't depend on how the rows lie in files or tasks.
 GROUP = 2_000_000
@@ -75,13 +77,15 @@ class Tree:
         self.node, self.sign = nodes[nodes >= 0].astype(np.uint16), signs[nodes >= 0].astype(np.int8)
         self.first = np.concatenate([[0], np.cumsum((nodes >= 0).sum(1))]).astype(np.int32)
 
-    def ways(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Nodes and signs of the branches to each slot, which of ``slots`` each is for, and where each begins."""
-        size = self.first[slots + 1] - self.first[slots]
-        begin = np.cumsum(size) - size
-        row = np.repeat(np.arange(len(slots)), size)
-        at = np.arange(len(row)) + (self.first[slots] - begin)[row]
-        return self.node[at], self.sign[at].astype(np.float32), row, begin
+    def split(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The ways without their branches at the ``TOP`` heaviest nodes, the last ones made: where each
+        slot's begin, nodes and signs; and per slot its signs at the heaviest nodes, 0 off its way."""
+        rare = self.node < len(self.prior) - TOP
+        kept = np.concatenate([[0], np.cumsum(rare)])
+        slot = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
+        top = np.zeros((len(self.first) - 1, TOP), np.int8)
+        top[slot[~rare], self.node[~rare].astype(np.int64) - (len(self.prior) - TOP)] = self.sign[~rare]
+        return kept[self.first], self.node[rare], self.sign[rare], top
 
 
 class Vocabulary:
@@ -131,6 +135,7 @@ class Steps:
 
     def __init__(self, p: dict):
         self.tree = p["tree"]
+        self.first, self.node, self.sign, self.top = self.tree.split()
         self.p = {k: v.copy() for k, v in p.items() if k != "tree"}
         self.m, self.v = ({k: np.zeros_like(x) for k, x in self.p.items()} for _ in range(2))
         self.done = self.seen = 0
@@ -156,22 +161,42 @@ class Steps:
         self.seen += len(y)
         x = p["embed"][c].reshape(len(c), -1)
         h = np.tanh(x @ p["mix"] + p["bias"])
-        node, sign, row, begin = self.tree.ways(y)
-        w, hr = p["out"][node], h[row]
-        z = sign * (np.einsum("ij,ij->i", w, hr) + p["prior"][node])
-        e = -sign / (1 + np.exp(np.clip(z, -60, 60))) / np.float32(len(y))
-        dh = np.add.reduceat(e[:, None] * w, begin) * (1 - h * h)
-        dx = (dh @ p["mix"].T).reshape(len(c), 2 * SIDE, EMBED)
-        order = np.argsort(node, kind="stable")
-        met = node[order]
-        start = np.flatnonzero(np.concatenate([[True], met[1:] != met[:-1]]))
-        met = met[start]
-        g = {"out": np.add.reduceat(e[order, None] * hr[order], start), "prior": np.add.reduceat(e[order], start), "mix": x.T @ dh, "bias": dh.sum(0), "embed": np.zeros_like(p["embed"])}
-        np.add.at(g["embed"], c, dx)
-        for k in p:
-            at = slice(None) if k in _DENSE else met
-            m[k][at] += 0.1 * (g[k] - m[k][at])
-            v[k][at] += 0.01 * (g[k] * g[k] - v[k][at])
+        # the heaviest nodes, for all tokens at once; off a word's way the sign is 0
+        heavy = slice(len(p["prior"]) - TOP, len(p["prior"]))
+        s = self.top[y].astype(np.float32)
+        e = s * (h @ p["out"][heavy].T + p["prior"][heavy])
+        e = -s / (1 + np.exp(np.clip(e, -60, 60))) / np.float32(len(y))
+        dh, g_out, g_prior = e @ p["out"][heavy], e.T @ h, e.sum(0)
+        # the others, where they are met
+        size = self.first[y + 1] - self.first[y]
+        rest = np.flatnonzero(size)
+        size = size[rest]
+        begin = np.cumsum(size) - size
+        at = np.arange(int(size.sum())) + np.repeat(self.first[y[rest]] - begin, size)
+        node, sign = self.node[at], self.sign[at].astype(np.float32)
+        met = np.zeros(0, np.int64)
+        if len(rest):
+            w, hr = p["out"][node], np.repeat(h[rest], size, axis=0)
+            z = sign * (np.einsum("ij,ij->i", w, hr) + p["prior"][node])
+            e = -sign / (1 + np.exp(np.clip(z, -60, 60))) / np.float32(len(y))
+            dh[rest] += np.add.reduceat(e[:, None] * w, begin)
+            order = np.argsort(node, kind="stable")
+            met = node[order].astype(np.int64)
+            start = np.flatnonzero(np.concatenate([[True], met[1:] != met[:-1]]))
+            met = met[start]
+            g_out = np.concatenate([np.add.reduceat(e[order, None] * hr[order], start), g_out])
+            g_prior = np.concatenate([np.add.reduceat(e[order], start), g_prior])
+        met = np.concatenate([met, np.arange(heavy.start, heavy.stop)])
+        dh *= 1 - h * h
+        flat = c.ravel()
+        order = np.argsort(flat, kind="stable")
+        words = flat[order]
+        start = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]]))
+        g_embed = np.add.reduceat((dh @ p["mix"].T).reshape(-1, EMBED)[order], start)
+        every = slice(None)
+        for k, at, g in (("embed", words[start], g_embed), ("mix", every, x.T @ dh), ("bias", every, dh.sum(0)), ("out", met, g_out), ("prior", met, g_prior)):
+            m[k][at] += 0.1 * (g - m[k][at])
+            v[k][at] += 0.01 * (g * g - v[k][at])
             p[k][at] -= RATE * (m[k][at] / (1 - 0.9**self.done)) / (np.sqrt(v[k][at] / (1 - 0.99**self.done)) + 1e-6)
 
 
@@ -185,18 +210,33 @@ class Scorer:
     def __init__(self, p: dict, vocabulary: Vocabulary):
         self.tables = [p["embed"] @ p["mix"][j * EMBED : (j + 1) * EMBED] for j in range(2 * SIDE)]
         self.p, self.vocabulary = p, vocabulary
+        self.first, self.node, self.sign, self.top = p["tree"].split()
 
     def tokens(self, slots: np.ndarray, first: np.ndarray) -> np.ndarray:
         ctx, klass = contexts(self.vocabulary.input[slots], first), self.vocabulary.klass[slots]
         out = np.empty(len(slots))
+        weight, prior = self.p["out"], self.p["prior"]
+        # in double precision: a row's product then doesn't depend on the rows it is multiplied with
+        heavy, heavy_prior = weight[len(prior) - TOP :].T.astype(np.float64), prior[len(prior) - TOP :].astype(np.float64)
         for lo in range(0, len(slots), 8192):
             c, y = ctx[lo : lo + 8192], klass[lo : lo + 8192]
             h = self.p["bias"] + self.tables[0][c[:, 0]]
             for j in range(1, 2 * SIDE):
                 h += self.tables[j][c[:, j]]
-            node, sign, row, begin = self.p["tree"].ways(y)
-            z = sign * (np.einsum("ij,ij->i", self.p["out"][node], np.tanh(h)[row]) + self.p["prior"][node])
-            out[lo : lo + 8192] = -np.add.reduceat(np.logaddexp(0, -z), begin)
+            h = np.tanh(h)
+            s = self.top[y]
+            z = np.clip(s * (h.astype(np.float64) @ heavy + heavy_prior), -60, 60)
+            sums = -((s != 0) * np.log1p(np.exp(-z))).sum(1)
+            size = self.first[y + 1] - self.first[y]
+            rest = np.flatnonzero(size)
+            if len(rest):
+                size = size[rest]
+                begin = np.cumsum(size) - size
+                at = np.arange(int(size.sum())) + np.repeat(self.first[y[rest]] - begin, size)
+                node = self.node[at]
+                z = np.clip(self.sign[at] * (np.einsum("ij,ij->i", weight[node], np.repeat(h[rest], size, axis=0)) + prior[node]), -60, 60)
+                sums[rest] -= np.add.reduceat(np.log1p(np.exp(-z)).astype(np.float64), begin)
+            out[lo : lo + 8192] = sums
         return out
 
 
