@@ -26,13 +26,11 @@ def target_type(meta: Column) -> Column:
     return F.when(some("path", "parameter", "scheme"), "web_endpoint").when(some("service", "port", "protocol"), "network_service").otherwise("host")
 
 
-#: Adapters by scanner: which fields give the source id, the category and the technology. Others use "".
+#: Adapters by scanner: the fields of which the first given is the source id, those that joined stand in
+#: for it, and those of category and technology. Others use "".
 ADAPTERS: dict[str, dict[str, tuple[str, ...]]] = {
-    "": {"id": ("plugin_id", "template_id", "raw_id", "cve_id"), "category": ("category",), "technology": ("service", "technology")},
-    "nuclei": {"id": ("template_id", "raw_id", "cve_id"), "category": ("category", "matcher_name"), "technology": ("technology", "service")},
-    "nmap": {"id": ("cve_id", "plugin_id", "raw_id"), "category": ("category", "module"), "technology": ("service", "technology")},
-    "zap": {"id": ("plugin_id", "raw_id"), "category": ("category", "risk"), "technology": ("technology", "service")},
-}
+    "": {"id": ("plugin_id", "template_id", "raw_id", "cve_id"), "joined": (), "category": ("category",), "technology": ("service", "technology")},
+}
 
 
 def register_adapter(scanner: str, **fields: tuple[str, ...]) -> None:
@@ -40,8 +38,21 @@ def register_adapter(scanner: str, **fields: tuple[str, ...]) -> None:
     ADAPTERS[scanner.lower()] = ADAPTERS[""] | fields
 
 
+register_adapter("nuclei", category=("tags", "category"))
+register_adapter("zap", id=("plugin_id", "raw_id"), category=("cwe", "risk"))
+register_adapter("wapiti", id=("raw_id",), joined=("category", "module"), category=("category", "module"))
+register_adapter("nikto", category=())
+register_adapter("nmap", id=("cve_id", "raw_id"), category=("service", "protocol"), technology=("service", "service_version"))
+
+
 def _adapted(what: str, scanner: Column, meta: Column) -> Column:
-    pick = lambda names: first_value(*[meta[n] for n in names])
+    field = lambda n: F.get(meta[n], F.lit(0)) if n == "tags" else meta[n]
+
+    def pick(names: tuple[str, ...]) -> Column:
+        if what == "joined":
+            return F.nullif(F.concat_ws("::", *[F.nullif(F.trim(field(n)), F.lit("")) for n in names]), F.lit(""))
+        return first_value(*[field(n) for n in names], F.lit(None).cast("string"))
+
     out = pick(ADAPTERS[""][what])
     for name, fields in ADAPTERS.items():
         if name:
@@ -56,7 +67,7 @@ def records(originals: DataFrame) -> DataFrame:
     text = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
     lists = lambda first, rest: F.array_distinct(texts(one(m[first]), m[rest]))
     rows = originals.withColumn("scanner_name", scanner)
-    source = _adapted("id", F.col("scanner_name"), m)
+    source = F.coalesce(*[_adapted(what, F.col("scanner_name"), m) for what in ("id", "joined")])
     derived = F.concat(F.lit("derived-"), stable_hash(F.col("scanner_name"), F.col("vulnerability_name"), m["category"], m["module"], m["service"], m["path"]))
     rows = rows.select(
         "ord", "nth", "scanner_name", F.coalesce(F.trim(source), derived).alias("source_vulnerability_id"), text("vulnerability_name").alias("title"), text("description").alias("description"), F.lower(F.coalesce(F.nullif(text("severity"), F.lit("")), F.lit("info"))).alias("severity"),
