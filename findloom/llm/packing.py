@@ -8,7 +8,7 @@ the pattern is used as often as the counts allow. The plan (at most some thousan
 by the window alone) says for the r-th piece of each length its window and offset.
 
 The rank of a piece among those of its length comes from counts by (length, bucket) and a row number
-inside the bucket, so one very common length is spread over all buckets.
+inside the bucket, so one very common length is spread over all buckets, whose number follows the input.
 """
 
 from __future__ import annotations
@@ -28,7 +28,8 @@ from findloom.llm.scratch import Scratch
 
 WINDOW = 2048
 END_ID = 1
-BUCKETS = 1024
+#: Pieces that are sorted together at most, about, when those of one length are numbered.
+SORTED = 50_000
 CACHE_WORDS = 700_000
 #: Code points of which NFC, lower case and class are those of the single code point in any context.
 PLAIN_RANGES = ((0x00, 0x1B), (0x20, 0x7F), (0xA1, 0x2FF), (0x400, 0x482), (0x48A, 0x52F), (0x2010, 0x2027), (0x2030, 0x203E), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FFF), (0xFF01, 0xFF5E))
@@ -226,8 +227,9 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
     on its own; null doc_ids stay null. An empty table gives no pieces.
     """
     scratch = Scratch(docs.sparkSession, "pack")
-    bucket = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(BUCKETS)).alias("bucket")
-    table = scratch.keep(pieces(docs, tokenizer, window).select("*", bucket), "pieces")
+    table = scratch.keep(pieces(docs, tokenizer, window), "pieces")
+    many = 1024 + table.count() // SORTED
+    table = table.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(many)))
     in_length = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = scratch.keep(table.groupBy("length", "bucket").agg(F.count("*").alias("n")), "counts")
     before = counts.select("length", "bucket", F.coalesce(F.sum("n").over(in_length), F.lit(0)).alias("before"))
