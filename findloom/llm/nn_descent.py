@@ -38,8 +38,9 @@ GIANTS, ENTRIES = 32, 32
 SETTLED = 0.001
 #: Nodes a query expands per hop, and candidates it holds on to.
 EXPAND, POOL = 50, 200
-#: Vectors in one partition of the search at most, about.
-HELD = 20_000
+#: Vectors that are held together in the search, about. A query's candidates are packed by the part that
+#: holds them, so what a hop sends follows the vectors, not the session's number of partitions.
+HELD = 4_000
 
 
 def _matrix(column: pa.ChunkedArray, kind: str) -> np.ndarray:
@@ -298,7 +299,7 @@ def search(table: DataFrame, graph: DataFrame, starts: DataFrame, scratch: Scrat
     A query begins at its own node's neighbours and at ``seeds``. Each query expands until its ``best`` first candidates no longer change.
     """
     count = table.count()
-    parts = max(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(count / HELD))
+    parts = max(1, math.ceil(count / HELD))
     queries = starts.join(table.select(F.col("node").alias("query"), "vec"), "query")
     back = _reverse(graph, LIST).groupBy("node").agg(F.collect_list("other").alias("back"))
     links = scratch.keep(graph.join(back, "node", "left").select(F.col("node").alias("x"), F.array_union("near", F.coalesce("back", F.array().cast("array<long>"))).alias("near")), "links")
