@@ -27,9 +27,9 @@ MAX_SHARE = 0.25
 L1_ROWS, L2_ROWS, EPOCHS, STEP = 3.0, 0.02, (120, 400), 0.05
 #: Features that a step of the fit works on at a time, which bounds what it holds besides them.
 PART = 1 << 19
-#: Distinct words of one labelled row that the fit takes at most, the first by their hash: a bound on
-#: the sample, next to ``TRAIN_ROWS``.
-TRAIN_WORDS = 4096
+#: Distinct words of one labelled row that the fit takes at most, the first by their hash, and texts of
+#: one labelled id: bounds on the sample, next to ``TRAIN_ROWS``. Scoring has no such bounds.
+TRAIN_WORDS, TRAIN_TEXTS = 4096, 8
 
 
 def _slots(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -119,7 +119,7 @@ def train(docs: DataFrame, grades: DataFrame, rows: int = TRAIN_ROWS) -> Model:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), batch.column("grade").slice(lo, hi - lo), pa.array([x[:TRAIN_WORDS].tobytes() for x in parts], pa.binary())], names=["doc_id", "grade", "slots"])
 
     slots = F.sort_array(F.collect_set("slots"))
-    got = sample.mapInArrow(run, "doc_id long, grade int, slots binary").groupBy("doc_id", "grade").agg(F.slice(slots, 1, 8).alias("slots")).toArrow().sort_by("doc_id")
+    got = sample.mapInArrow(run, "doc_id long, grade int, slots binary").groupBy("doc_id", "grade").agg(F.slice(slots, 1, TRAIN_TEXTS).alias("slots")).toArrow().sort_by("doc_id")
     grade = got.column("grade").to_numpy().astype(np.int64)
     parts = [np.unique(np.concatenate([np.frombuffer(x.as_py(), "<i4") for x in each]))[:TRAIN_WORDS] for each in got.column("slots")]
     del got
