@@ -8,26 +8,11 @@ from __future__ import annotations
 
 import atexit
 import re
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_OWN_DIR: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where that is unset, a temporary one in local mode only."""
-    named = spark.conf.get("spark.checkpoint.dir", "") or ""
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.split("[")[0] == "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN_DIR:
-        _OWN_DIR[app] = "file://" + tempfile.mkdtemp(prefix="findloom-")
-    return _OWN_DIR[app]
-
+from findloom.shared import shared_dir
 
 #: Bytes of an Arrow batch; a batch of long texts must not outweigh the slices that are worked on.
 BATCH_BYTES = 8 << 20
