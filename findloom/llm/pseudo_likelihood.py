@@ -225,8 +225,9 @@ class Scorer:
                 h += self.tables[j][c[:, j]]
             h = np.tanh(h)
             s = self.top[y]
-            z = np.clip(s * (h.astype(np.float64) @ heavy + heavy_prior), -60, 60)
-            sums = -((s != 0) * np.log1p(np.exp(-z))).sum(1)
+            row, at = np.nonzero(s)
+            z = np.clip(s[row, at] * (h.astype(np.float64) @ heavy + heavy_prior)[row, at], -60, 60)
+            sums = -np.bincount(row, np.log1p(np.exp(-z)), len(y))
             size = self.first[y + 1] - self.first[y]
             rest = np.flatnonzero(size)
             if len(rest):
