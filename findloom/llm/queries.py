@@ -9,7 +9,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from findloom.llm import exact_dedup, html_template, line_dedup, mixing, nn_descent, packing, pii, pseudo_likelihood, setsketch, toxicity
+from findloom.llm import exact_dedup, html_template, line_dedup, mixing, nn_descent, packing, pii, pseudo_likelihood, setsketch, source_audit, sql, toxicity, url_filter, vector_codes
 from findloom.llm.tokenizer_files import TOKENIZER
 
 
@@ -66,24 +66,27 @@ def op10_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudo_likelihood.score(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_table(spark, sf_dir, "pages").select("page_id", "url"))
+
+
+def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.divergence(_table(spark, sf_dir, "documents").select("lang", "source", "text"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     _table(spark, sf_dir, "documents")
     return corpus_pipeline.run(spark, sf_dir)
 
 
-OP7_SQL = r"""
-WITH d AS (
-  SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents
-)
-SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, text_sha256
-FROM d WINDOW w AS (PARTITION BY text_sha256)
-"""
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_toxicity, op2_line_dedup, op3_nn_descent, op4_html_text, op5_setsketch_dedup, op6_pii, op7_exact_dedup, op8_mixing, op9_packing, op10_pseudo_likelihood]
+    own = [op1_toxicity, op2_line_dedup, op3_nn_descent, op4_html_text, op5_setsketch_dedup, op6_pii, op7_exact_dedup, op8_mixing, op9_packing, op10_pseudo_likelihood, op11_url_filter, op12_source_audit, op13_vector_codes]
     return {f.__name__: f for f in own} | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": OP7_SQL}
+    return {"op7_exact_dedup": sql.OP7_SQL, "op11_url_filter": sql.url_filter_sql(url_filter.ALPHABET), "op12_source_audit": sql.OP12_SQL, "op13_vector_codes": sql.vector_codes_sql()}
