@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from findloom.schema import severity_rank
+
 
 def zero_filled(rows: DataFrame, level: Column, levels: list[str], name: str = "level") -> DataFrame:
     """Rows per level, all levels present; others don't count. The levels are a fixed, short list."""
@@ -18,6 +20,11 @@ def count_by_label(rows: DataFrame, labels: str, known: DataFrame | None = None)
     return got if known is None else known.select("label").distinct().join(got, "label", "full_outer").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
 
 
+def by_severity(findings: DataFrame, *then: str) -> DataFrame:
+    """The findings, most severe first (aliases count as their level, unknown as info), then by the columns ``then``."""
+    return findings.orderBy(severity_rank(F.col("severity")).desc(), *then)
+
+
 def flag_top(rows: DataFrame, order: list[Column], k: int, flag: str = "selected") -> DataFrame:
     """All rows, the first k in the order flagged. The k-th place is found by a top-k, which combines
     on the map side, and joined back on the order's own columns; no global window."""
