@@ -82,13 +82,14 @@ def positions(url: Column) -> Column:
     symbols = F.transform(characters, lambda c: F.when(place(c) > 0, place(c)).otherwise(F.lit(OTHER)).cast("long"))
     padded = F.concat(F.array_repeat(F.lit(0).cast("long"), ORDER), symbols, F.array(F.lit(END).cast("long")))
 
-    def packed(i: Column) -> Column:
-        out = F.get(padded, i + ORDER)
+    def packed(all_: Column, i: Column) -> Column:
+        out = F.get(all_, i + ORDER)
         for back in range(1, ORDER + 1):
-            out = out.bitwiseOR(F.shiftleft(F.get(padded, i + ORDER - back), BITS * back))
+            out = out.bitwiseOR(F.shiftleft(F.get(all_, i + ORDER - back), BITS * back))
         return out
 
-    return F.transform(F.sequence(F.lit(0), F.size(symbols)), packed)
+    # as the one element of an array the symbols are made once, not again for each position
+    return F.get(F.transform(F.array(padded), lambda p: F.transform(F.sequence(F.lit(0), F.size(p) - (ORDER + 1)), lambda i: packed(p, i))), F.lit(0))
 
 
 def _context(order: int, packed: str = "at") -> Column:
@@ -100,21 +101,22 @@ def _symbol(packed: str = "at") -> Column:
 
 
 def _contexts(labelled: DataFrame, scratch: Scratch) -> DataFrame:
-    """(k, context, allow, block): counts of each symbol after every kept context, as arrays by symbol."""
+    """(k, context, allow, block, and their sums and numbers of kinds): counts of each symbol after every kept context, as arrays by symbol."""
     one = lambda word: F.sum((F.col("ruled") == word).cast("long")).alias(word)
     seen = scratch.keep(labelled.select("ruled", F.explode(positions(F.col("url"))).alias("at")).groupBy("at").agg(one("allow"), one("block")), "positions")
     total = seen.agg(F.sum(F.col("allow") + F.col("block"))).first()[0] or 0
     by_order = F.array(*[F.struct(F.lit(k).alias("k"), _context(k).alias("context")) for k in range(ORDER + 1)])
     each = seen.select("allow", "block", _symbol().alias("s"), F.explode(by_order).alias("o")).groupBy("o.k", "o.context", "s").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block"))
     cells = F.map_from_entries(F.collect_list(F.struct("s", F.struct("allow", "block").alias("n")))).alias("cells")
-    grouped = each.groupBy("k", "context").agg(cells, F.sum(F.col("allow") + F.col("block")).alias("n")).filter((F.col("k") == 0) | (F.col("n") >= max(LEAST, SHARE * total)))
+    sums = [x for w in ("allow", "block") for x in (F.sum(w).alias(f"{w}_n"), F.sum((F.col(w) > 0).cast("long")).alias(f"{w}_kinds"))]
+    grouped = each.groupBy("k", "context").agg(cells, *sums).withColumn("n", F.col("allow_n") + F.col("block_n")).filter((F.col("k") == 0) | (F.col("n") >= max(LEAST, SHARE * total)))
     dense = lambda word: F.expr(f"transform(sequence(0, {END}), s -> coalesce(try_element_at(cells, s).{word}, 0L))").alias(word)
-    return scratch.keep(grouped.select("k", "context", dense("allow"), dense("block")), "contexts")
+    return scratch.keep(grouped.select("k", "context", dense("allow"), dense("block"), *[f"{w}_{x}" for w in ("allow", "block") for x in ("n", "kinds")]), "contexts")
 
 
 def _smoothed(word: str) -> str:
     """SQL: the probabilities of all symbols in a context, from the counts along the chain of its shorter ones."""
-    size, kinds = f"aggregate(x.{word}, 0L, (a, n) -> a + n)", f"size(filter(x.{word}, n -> n > 0))"
+    size, kinds = f"x.{word}_n", f"x.{word}_kinds"
     return f"""aggregate(chain, transform(sequence(0, {END}), s -> 0D), (p, x) -> CASE
         WHEN x.j = 0 THEN transform(x.{word}, n -> (n + 1) / CAST({size} + {END} AS DOUBLE))
         WHEN {size} = 0 THEN p
@@ -129,8 +131,9 @@ def train(labelled: DataFrame, scratch: Scratch) -> DataFrame:
     known = _contexts(labelled, scratch)
     shorter = F.explode(F.expr(f"transform(sequence(0, k), j -> struct(j, context & (shiftleft(1L, {BITS} * j) - 1) AS c))"))
     links = known.select("k", "context", shorter.alias("x")).select("k", "context", "x.j", "x.c")
-    parts = known.select(F.col("k").alias("j"), F.col("context").alias("c"), "allow", "block")
-    chains = links.join(parts, ["j", "c"]).groupBy("k", "context").agg(F.array_sort(F.collect_list(F.struct("j", "allow", "block"))).alias("chain"))
+    counts = [c for c in known.columns if c not in ("k", "context")]
+    parts = known.select(F.col("k").alias("j"), F.col("context").alias("c"), *counts)
+    chains = links.join(parts, ["j", "c"]).groupBy("k", "context").agg(F.array_sort(F.collect_list(F.struct("j", *counts))).alias("chain"))
     probable = chains.select("k", "context", F.expr(_smoothed("allow")).alias("p"), F.expr(_smoothed("block")).alias("q"))
     ratio = F.expr(f"zip_with(p, q, (a, b) -> CAST(floor((log2(a) - log2(b)) * {UNIT} + 0.5D) AS INT))")
     return scratch.keep(probable.select("k", "context", ratio.alias("ratio")), "model")
