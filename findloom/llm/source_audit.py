@@ -12,12 +12,13 @@ same sum. The divergence is then evaluated once for each combination of counts a
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from findloom.llm.arrays import as_bytes, slices
+from findloom.llm.arrays import as_bytes
 from findloom.llm.scratch import Scratch
 
 #: A word is kept if so many documents of its language hold it.
@@ -26,15 +27,23 @@ LEAST_DOCS = 30
 SCALE, PSEUDO = 1_000_000_000, 5
 #: Words of a source that are reported.
 TOP = 50
-#: A task hands on its tally at so many entries.
-TALLY = 200_000
+#: A task hands on its tally from so many entries on.
+TALLY = 400_000
+#: Bytes of a text whose words are listed at once.
+PIECE = 1 << 20
 
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
-def words_of(text: bytes | None) -> list[bytes]:
-    """Runs of ASCII letters and characters beyond ASCII, A-Z lower-cased, as UTF-8."""
-    return (text or b"").translate(_LETTERS).split()
+def words_of(text: bytes | None, piece: int = PIECE) -> Iterator[list[bytes]]:
+    """Runs of ASCII letters and characters beyond ASCII, A-Z lower-cased, as UTF-8; of a long text in several lists."""
+    letters = (text or b"").translate(_LETTERS)
+    at = 0
+    while at < len(letters):
+        end = letters.find(b" ", at + piece) if len(letters) - at > piece else -1
+        end = len(letters) if end < 0 else end
+        yield letters[at:end].split()
+        at = end
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -44,29 +53,32 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches):
-        tally: Counter = Counter()
-        holds: Counter = Counter()
+        held: dict[tuple[bytes, bytes], tuple[Counter, Counter]] = {}
 
         def out() -> pa.RecordBatch:
-            keys = list(tally)
-            columns = [pa.array([k[i] for k in keys], pa.binary()).cast(pa.string()) for i in range(3)]
-            batch = pa.RecordBatch.from_arrays([*columns, pa.array([tally[k] for k in keys], pa.int64()), pa.array([holds[k] for k in keys], pa.int64())], names=["lang", "source", "term", "n", "docs"])
-            tally.clear()
-            holds.clear()
-            return batch
-
+            size = [len(n) for n, _ in held.values()]
+            group = [pa.concat_arrays([pa.repeat(pa.scalar(g[i].decode(), pa.string()), k) for g, k in zip(held, size, strict=True)]) for i in range(2)]
+            term = pa.array([t for n, _ in held.values() for t in n], pa.binary()).cast(pa.string())
+            counts = pa.array([x for n, _ in held.values() for x in n.values()], pa.int64())
+            docs = pa.array([holds[t] for n, holds in held.values() for t in n], pa.int64())
+            held.clear()
+            return pa.RecordBatch.from_arrays([*group, term, counts, docs], names=["lang", "source", "term", "n", "docs"])
+
+        entries = 0
         for batch in batches:
             lang, source, text = (as_bytes(batch.column(c)) for c in ("lang", "source", "text"))
-            for a, b in slices(text):
-                for i in range(a, b):
-                    group = (lang[i] or b"", source[i] or b"")
-                    tally[(*group, b"")] += 0
-                    for term, n in Counter(words_of(text[i])).items():
-                        tally[(*group, term)] += n
-                        holds[(*group, term)] += 1
-                    if len(tally) >= TALLY:
-                        yield out()
-        if tally:
+            for i in range(len(text)):
+                n, holds = held.setdefault((lang[i] or b"", source[i] or b""), (Counter({b"": 0}), Counter()))
+                had, distinct = len(n), set()
+                for words in words_of(text[i]):
+                    n.update(words)
+                    distinct.update(words)
+                holds.update(distinct)
+                entries += len(n) - had
+                if entries >= TALLY:
+                    yield out()
+                    entries = 0
+        if held:
             yield out()
 
     text = lambda c: F.col(c).cast("string").alias(c)
@@ -86,15 +98,20 @@ def _part(n: Column, total: Column, terms: Column) -> Column:
 
 
 def groups_and_terms(docs: DataFrame, scratch: Scratch, least_docs: int = LEAST_DOCS) -> tuple[DataFrame, DataFrame]:
-    """Groups (lang, source, total, terms, lang_total) and kept counts (lang, source, term, n > 0, lang_n)."""
-    counted = scratch.keep(word_counts(docs).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "counts")
-    real = counted.filter("term != ''")
-    kept = scratch.keep(real.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("lang_docs")).filter(F.col("lang_docs") >= least_docs).drop("lang_docs"), "kept")
-    terms = scratch.keep(real.select("lang", "source", "term", "n").join(kept, ["lang", "term"]), "terms")
-    of_lang = kept.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("lang_n").alias("lang_total"))
+    """Groups (lang, source, total, terms, lang_total) and kept counts (lang, source, term, n > 0, lang_n).
+
+    The tallies meet by language and word once, and what is summed by source and what by language stays
+    there; a word's rows are its sources' in each tally, so even the commonest word's are few.
+    """
+    of_word = Window.partitionBy("lang", "term")
+    counted = word_counts(docs).repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    both = counted.withColumns({"lang_n": F.sum("n").over(of_word), "lang_docs": F.sum("docs").over(of_word)})
+    kept = scratch.keep(both.filter((F.col("term") == "") | (F.col("lang_docs") >= least_docs)).select("lang", "source", "term", "n", "lang_n"), "terms")
+    terms = kept.filter("term != ''")
+    of_lang = terms.groupBy("lang", "term").agg(F.max("lang_n").alias("lang_n")).groupBy("lang").agg(F.count("*").alias("terms"), F.sum("lang_n").alias("lang_total"))
     of_group = terms.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    found = counted.filter("term = ''").select("lang", "source").join(of_lang, "lang", "left").join(of_group, ["lang", "source"], "left")
+    found = kept.filter("term = ''").select("lang", "source").join(of_lang, "lang", "left").join(of_group, ["lang", "source"], "left")
     return scratch.keep(found.select("lang", "source", zero("total"), zero("terms"), zero("lang_total")), "groups"), terms
 
 
