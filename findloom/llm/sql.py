@@ -49,7 +49,7 @@ trained AS (SELECT * FROM x WHERE ruled IS NOT NULL AND NOT held),
 symbols AS (SELECT unnest(range(1, 62)) AS s),{levels}
 means AS (SELECT x.u, x.ruled, x.held, CAST(floor(sum(coalesce({", ".join(ratio(k) for k in range(order, -1, -1))}))::DOUBLE / (count(*) * 256)) AS BIGINT) AS mean FROM x {joins} GROUP BY ALL),
 bins AS (SELECT mean, count(*) FILTER (ruled = 'allow') AS a, count(*) FILTER (ruled = 'block') AS b FROM means WHERE ruled IS NOT NULL AND held GROUP BY mean),
-errors AS (SELECT mean, coalesce((SELECT sum(a) FROM bins y WHERE y.mean < z.mean), 0) * (SELECT sum(b) FROM bins) + (SELECT sum(b) FROM bins y WHERE y.mean >= z.mean) * (SELECT sum(a) FROM bins) AS e FROM bins z),
+errors AS (SELECT coalesce(lag(mean) OVER (ORDER BY mean) + (mean - lag(mean) OVER (ORDER BY mean) + 1) // 2, mean) AS mean, coalesce((SELECT sum(a) FROM bins y WHERE y.mean < z.mean), 0) * (SELECT sum(b) FROM bins) + (SELECT sum(b) FROM bins y WHERE y.mean >= z.mean) * (SELECT sum(a) FROM bins) AS e FROM bins z),
 cutoff AS (SELECT CASE WHEN (SELECT sum(a) FROM bins) > 0 AND (SELECT sum(b) FROM bins) > 0 THEN (SELECT mean FROM errors ORDER BY e, abs(mean), mean LIMIT 1) ELSE 0 END AS t)
 SELECT page_id, host, path, rule, coalesce(r.ruled, CASE WHEN m.mean >= t THEN 'allow' ELSE 'block' END) AS verdict, CASE WHEN r.ruled IS NULL THEN m.mean END AS mean
 FROM ruled r JOIN means m ON m.u = r.u, cutoff
