@@ -79,6 +79,11 @@ def forbidden_paths(payloads: DataFrame, key: str, payload: str = "payload", dee
             return reduce(DataFrame.unionByName, found)
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)``, with the value made once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _get(v: Column, field: str, kind: str = "variant") -> Column:
     return F.try_variant_get(v, f"$.{field}", kind)
 
@@ -111,8 +116,7 @@ def _whole(v: Column) -> Column:
 
 def _share(v: Column) -> Column:
     """A number from 0 to 1, else null."""
-    n = _number(v)
-    return F.when((n >= 0) & (n <= 1), n)
+    return _once(_number(v), lambda n: F.when((n >= 0) & (n <= 1), n))
 
 
 def _one_of(v: Column, values: tuple[str, ...]) -> Column:
@@ -122,9 +126,11 @@ def _one_of(v: Column, values: tuple[str, ...]) -> Column:
 
 def _texts(v: Column, most: int = 5, limit: int = 500, least: int = 1) -> Column:
     """A list of ``least`` to ``most`` texts, none of them empty; else null."""
-    items = F.transform(_list(v), lambda x: _text(x, limit))
-    fits = (F.size(items) >= least) & (F.size(items) <= most) & ~F.exists(items, lambda x: x == "")
-    return F.when(F.coalesce(fits, F.lit(False)), items)
+    def sound(items: Column) -> Column:
+        fits = (F.size(items) >= least) & (F.size(items) <= most) & ~F.exists(items, lambda x: x == "")
+        return F.when(F.coalesce(fits, F.lit(False)), items)
+
+    return _once(F.transform(_list(v), lambda x: _text(x, limit)), sound)
 
 
 def _exactly(v: Column, fields: tuple[str, ...]) -> Column:
@@ -133,11 +139,14 @@ def _exactly(v: Column, fields: tuple[str, ...]) -> Column:
 
 def _whole_struct(v: Column, parts: dict[str, Column], optional: tuple[str, ...] = (), strict: bool = True) -> Column:
     """A struct of the parts if each is there (a text, or a value), and the object has just these fields; else null."""
-    ok = _exactly(v, tuple(parts)) if strict else _map(v).isNotNull()
-    for name, part in parts.items():
-        if name not in optional:
-            ok = ok & part.isNotNull() & (part.cast("string") != "")
-    return F.when(F.coalesce(ok, F.lit(False)), F.struct(*[p.alias(k) for k, p in parts.items()]))
+    shaped = _exactly(v, tuple(parts)) if strict else _map(v).isNotNull()
+
+    def sound(built: Column) -> Column:
+        # a text is empty, anything else null, where it isn't as promised
+        whole = [built[f].isNotNull() & (built[f].cast("string") != "") for f in parts if f not in optional]
+        return F.when(F.coalesce(reduce(lambda a, b: a & b, whole), F.lit(False)), built)
+
+    return F.when(shaped, _once(F.struct(*[p.alias(k) for k, p in parts.items()]), sound))
 
 
 def applicability(v: Column) -> Column:
@@ -230,6 +239,11 @@ def _entry(name: str, value: Column, there: Column) -> Column:
     return F.when(F.coalesce(there, F.lit(False)), F.create_map(F.lit(name), value)).otherwise(F.expr(_EMPTY))
 
 
+def _cleaned(v: Column, field: str, clean) -> Column:
+    """A map of the field as ``clean`` leaves it, or of none."""
+    return F.when(_get(v, field).isNotNull(), _once(clean(_get(v, field)), lambda c: _entry(field, _bare(c), c.isNotNull()))).otherwise(F.expr(_EMPTY))
+
+
 def _bare(struct: Column) -> Column:
     """A struct as an object without its null fields."""
     return F.parse_json(F.to_json(struct))
@@ -252,14 +266,17 @@ def sanitize_finding(v: Column) -> Column:
         parts.append(_entry(f, F.coalesce(_get(text, "x"), _get(v, f)), _get(v, f).isNotNull()))
     # sources that are no list stay as they are
     sources = F.filter(F.transform(_list(_get(v, "source_findings")), sanitize_source), lambda s: s.isNotNull())
-    parts.append(_entry("source_findings", F.coalesce(_object(sources), _get(v, "source_findings")), _get(v, "source_findings").isNotNull()))
-    for f, clean in (("human_triage", human_triage), ("correlation", correlation)):
-        parts.append(_entry(f, _bare(clean(_get(v, f))), clean(_get(v, f)).isNotNull()))
+    parts.append(F.when(_get(v, "source_findings").isNotNull(), F.create_map(F.lit("source_findings"), F.coalesce(_object(sources), _get(v, "source_findings")))).otherwise(F.expr(_EMPTY)))
+    parts += [_cleaned(v, f, clean) for f, clean in (("human_triage", human_triage), ("correlation", correlation))]
     status = _get(v, "ai_analysis_status")
     answers = {"applicability": applicability, "ai_remediation": remediation, "ai_priority": priority, "ai_summary": summary}
-    whole = reduce(lambda a, kv: a & kv[1](_get(v, kv[0])).isNotNull(), answers.items(), _one_of(status, ANSWERED).isNotNull())
-    parts.append(_entry("ai_analysis_status", status, whole | _one_of(status, UNANSWERED).isNotNull()))
-    parts += [_entry(f, _bare(clean(_get(v, f))), whole) for f, clean in answers.items()]
+
+    def answered(built: Column) -> Column:
+        whole = reduce(lambda a, b: a & b, [built[f].isNotNull() for f in answers])
+        return F.when(whole, F.map_concat(F.create_map(F.lit("ai_analysis_status"), status), *[F.create_map(F.lit(f), _bare(built[f])) for f in answers])).otherwise(F.expr(_EMPTY))
+
+    said = F.struct(*[clean(_get(v, f)).alias(f) for f, clean in answers.items()])
+    parts.append(F.when(_one_of(status, ANSWERED).isNotNull(), _once(said, answered)).otherwise(_entry("ai_analysis_status", status, _one_of(status, UNANSWERED).isNotNull())))
     return F.when(_map(v).isNotNull(), _object(F.map_concat(*parts))).otherwise(v)
 
 
@@ -274,6 +291,5 @@ def sanitize_result(v: Column) -> Column:
     cleaned = _object(F.transform_values(by_scanner, lambda _, x: _sanitized_list(x)))
     special = (*FINDING_LISTS, BY_SCANNER, "ai_analysis_summary", "asset_knowledge")
     parts = [_without(_map(v), (*FORBIDDEN["result"], *special)), *lists, _entry(BY_SCANNER, F.coalesce(cleaned, _get(v, BY_SCANNER)), _get(v, BY_SCANNER).isNotNull())]
-    for f, clean in (("ai_analysis_summary", analysis_summary), ("asset_knowledge", asset_knowledge)):
-        parts.append(_entry(f, _bare(clean(_get(v, f))), clean(_get(v, f)).isNotNull()))
+    parts += [_cleaned(v, f, clean) for f, clean in (("ai_analysis_summary", analysis_summary), ("asset_knowledge", asset_knowledge))]
     return F.when(_map(v).isNotNull(), _object(F.map_concat(*parts)))
