@@ -1,7 +1,7 @@
 """Main text of web pages by equivalence-class template deduction.
 
 Tokens. A page is read as elements, each told by its place in the tree with its class and id, and
-blocks of text, each told by its place and its words. The occurrence vector of a token is how often
+blocks of text, each told by its place and its words, those of menus and the like too. The occurrence vector of a token is how often
 it occurs on each page of a host. Tokens with the same vector form an equivalence class; the vector
 is never stored, but as a sum of page hashes weighted with the counts, which pre-aggregates on the
 map side, so a host with a third of all pages is spread over all tasks.
@@ -16,11 +16,21 @@ to page and is what the slots hold. The main slot is the innermost element of th
 nearly all of that text. Where the template's text outweighs what differs, the host's pages are
 copies of one another and there is no template.
 
-Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments that differ
-from page to page are told by tag and by class, id and role if these say nothing else. A name that
-also says something else (share-price, share-links) only raises a doubt, which a text of mostly links
-settles. A page's own article or main element is taken before the main slot; on a host with too few
-pages for classes, and without such an element, the whole body. Nothing else is dropped.
+Names break ties. Menus, headers, footers, sidebars, notices, adverts, forms and comments that are the
+same all over a host are text tokens of its template. What of them differs from page to page lies in
+slots as the article does, and is told by tag and by class, id and role if these say nothing else. A name
+that also says something else (share-price, share-links) only raises a doubt, which a text of mostly links
+settles. In a page's own article the name of a paragraph, a heading or a part of a line says how it looks,
+and only that of an advert takes it out. Scripts, styles and markup are never text. A page's own article
+or main element is taken before the main slot; on a host with too few pages for classes, and without such
+an element, the whole body. Nothing else is dropped.
+
+A tag is read once, from left to right, attribute by attribute: names are matched whole and values are
+opaque, so neither a title nor an address hides a text. Where a quote is never closed, tags end at their
+first ``>`` from there on.
+
+So a page's text is what lies in the main slot of its host's template, or in its own article, without the
+template's text and without what names set aside there; ``n_template`` and ``n_named`` count both.
 """
 
 from __future__ import annotations
@@ -29,6 +39,7 @@ import html as entities
 import re
 from bisect import bisect_left
 from collections import Counter
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
@@ -43,6 +54,8 @@ LEAST_PAGES, SUPPORT, LEAST_TOKENS = 4, 0.9, 2
 HOLDS = 0.9
 #: Share of link text from which a doubtful element is a list of links.
 LINKS = 0.6
+#: Elements in one another that have a place of their own.
+DEPTH = 100
 #: Templates are broadcast up to this many tokens of all hosts; beyond, joined.
 BROADCAST_TOKENS = 50_000
 
@@ -59,13 +72,18 @@ GENERIC = frozenset({"area", "bar", "block", "bottom", "box", "column", "contain
 #: Elements that end an open paragraph, and items that end an open item of their kind.
 _ITEMS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
-_TAG = re.compile(r"<(?:!--(?P<note>)|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>[^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)>|[!?/][^>]*>)")
-_ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_OPEN = re.compile(r"<(?:!--|(/?)([a-zA-Z][^\s/>]*)|[!?/])")
+_ATTR = re.compile(r"""[\s/]*([^\s/>=][^\s/>=]*|=)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'][^\s>]*)))?""")
+_QUOTE = re.compile(r"""\s*=\s*["']""")
 _PART = re.compile(r"[a-z]+|[A-Z][a-z]*")
-_HIDDEN = re.compile(r"(?:^|\s)(?:hidden|aria-hidden\s*=\s*[\"']?true)(?=[\s=>/]|$)|display\s*:\s*none", re.I)
+_UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
+_READ = frozenset({"class", "id", "role", "hidden", "aria-hidden", "style"})
 _CLOSE = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 
 
+#: In an own article these are set aside only by the names of adverts.
+_LINES = frozenset({"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "dt", "dd", "td", "th", "figcaption", "caption"})
+_ADVERTS = frozenset({"ad", "ads", "advert", "adverts", "advertisement", "promo", "promoted", "sponsor", "sponsored"})
 _PARAGRAPH = frozenset({"p"})
 _HOLD = frozenset({"table", "ul", "ol", "dl", "div", "article", "section", "body", "td"})
 
@@ -79,13 +97,14 @@ class Node:
         self.tag, self.path, self.skip, self.own, self.link, self.doubt = tag, path, skip, own, link, doubt
 
 
-def named_aside(marks: list[tuple[str, str]], own: bool) -> tuple[bool, bool]:
+def named_aside(tag: str, marks: list[tuple[str, str]], own: bool) -> tuple[bool, bool]:
     """Whether class, id or role set an element aside: surely, or perhaps."""
     perhaps = False
+    names = _ADVERTS if own and (tag in _LINES or tag not in BLOCK) else NOT_ARTICLE
     for _, value in marks:
         for name in value.split():
             parts = [p.lower() for p in _PART.findall(name)]
-            listed = [p for p in parts if p in NOT_ARTICLE and not (own and p in OWN_PARTS)]
+            listed = [p for p in parts if p in names and not (own and p in OWN_PARTS)]
             if listed:
                 if all(p in NOT_ARTICLE or p in GENERIC for p in parts):
                     return True, False
@@ -93,29 +112,62 @@ def named_aside(marks: list[tuple[str, str]], own: bool) -> tuple[bool, bool]:
     return False, perhaps
 
 
-def parse(page: str) -> tuple[list[tuple[str, bool, str]], list[tuple[str, int]]]:
-    """What isn't set aside, in page order: blocks (element path, if in an article, text) and elements (path, blocks before).
+def attributes(page: str, at: int, quotes: bool) -> tuple[dict[str, str], int, bool]:
+    """The attributes that matter of the tag whose name ends at ``at``, where the tag ends, and if it ends with a slash.
+
+    The end is -1 where a quote is never closed. Without ``quotes`` the tag ends at the first ``>``.
+    """
+    size = len(page)
+    if at < size and page[at] == ">":
+        return {}, at + 1, False
+    found: dict[str, str] = {}
+    stop = size
+    if not quotes:
+        stop = page.find(">", at)
+        stop = size if stop < 0 else stop
+    while True:
+        m = _ATTR.match(page, at, stop)
+        if not m:
+            break
+        at = m.end()
+        if m.lastindex == 1 and _QUOTE.match(page, at, stop):
+            if quotes:
+                return found, -1, False
+            at = stop
+        name = m[1].lower()
+        if name in _READ and name not in found:
+            found[name] = m[2] or m[3] or m[4] or ""
+    end = page.find(">", at)
+    return found, size if end < 0 else end + 1, end > 0 and page[end - 1] == "/"
+
+
+def parse(page: str) -> tuple[list[tuple[str, bool, bool, str]], list[tuple[str, int]]]:
+    """A page in its order: blocks (element path, if in an article, if set aside, text) and elements (path, blocks before).
 
     Elements needn't be closed or nested: an end tag closes up to its element, if that is open, and a
-    block element closes an open paragraph.
+    block element closes an open paragraph. Parts of a line have the place of their block, elements that
+    are nested deeper than ``DEPTH`` that of the last one above. Time is linear in the page's length.
     """
     stack = [Node("", "", False, False, False, -1)]
+    open_tags: Counter = Counter()
     blocks: list = []
-    links: list[int] = []
+    length, links = [0], [0]  # of all blocks so far
+    lists: list[tuple[int, int]] = []  # blocks of doubtful elements that are lists of links
     elements: list[tuple[str, int]] = []
     words: list[str] = []
     linked = 0
-    at, size = 0, len(page)
+    at, size, quotes = 0, len(page), True
 
     def flush() -> None:
         nonlocal linked
         top = stack[-1]
-        if words and not top.skip:
+        if words:
             raw = "".join(words)
             text = " ".join((entities.unescape(raw) if "&" in raw else raw).split())
             if text:
-                blocks.append((top.path, top.own, text))
-                links.append(linked)
+                blocks.append((top.path, top.own, top.skip, text))
+                length.append(length[-1] + len(text))
+                links.append(links[-1] + linked)
         words.clear()
         linked = 0
 
@@ -123,8 +175,9 @@ def parse(page: str) -> tuple[list[tuple[str, bool, str]], list[tuple[str, int]]
         if any(x.tag in BLOCK or x.skip != stack[i - 1].skip or x.doubt >= 0 for x in stack[i:]):
             flush()
         for x in reversed(stack[i:]):
-            if x.doubt >= 0 and sum(links[x.doubt :]) >= LINKS * sum(len(b[2]) for b in blocks[x.doubt :]):
-                del blocks[x.doubt :], links[x.doubt :]
+            open_tags[x.tag] -= 1
+            if x.doubt >= 0 and links[-1] - links[x.doubt] >= LINKS * (length[-1] - length[x.doubt]):
+                lists.append((x.doubt, len(blocks)))
         del stack[i:]
 
     def put(text: str) -> None:
@@ -134,29 +187,34 @@ def parse(page: str) -> tuple[list[tuple[str, bool, str]], list[tuple[str, int]]
             linked += len(text)
 
     while at < size:
-        m = _TAG.search(page, at)
+        m = _OPEN.search(page, at)
         if not m:
             put(page[at:])
             break
         if m.start() > at:
             put(page[at : m.start()])
         at = m.end()
-        if m["note"] is not None:
-            end = page.find("-->", at)
-            at = size if end < 0 else end + 3
-            continue
-        if not m["name"]:
+        if not m[2]:
+            if m[0] == "<!--":
+                end = page.find("-->", at)
+                at = size if end < 0 else end + 3
+            else:
+                end = page.find(">", at)
+                at = size if end < 0 else end + 1
             continue
-        tag, rest = m["name"].lower(), m["rest"]
-        if m["end"]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    close(i)
-                    break
+        found, end, slash = attributes(page, at, quotes)
+        if end < 0:
+            quotes = False
+            found, end, slash = attributes(page, at, quotes)
+        at = end
+        tag = m[2].lower()
+        if m[1]:
+            if open_tags[tag]:
+                close(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag))
             continue
         if tag in RAW:
             words.append(" ")
-            if not rest.endswith("/"):
+            if not slash:
                 end = _CLOSE[tag].search(page, at)
                 at = end.end() if end else size
             continue
@@ -168,7 +226,7 @@ def parse(page: str) -> tuple[list[tuple[str, bool, str]], list[tuple[str, int]]
             continue
         block = tag in BLOCK
         ends = _ITEMS.get(tag) or (_PARAGRAPH if block else None)
-        if ends:
+        if ends and any(open_tags[t] for t in ends):
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag in ends:
                     close(i)
@@ -176,19 +234,28 @@ def parse(page: str) -> tuple[list[tuple[str, bool, str]], list[tuple[str, int]]
                 if stack[i].tag in _HOLD:
                     break
         top = stack[-1]
-        marks = [(k.lower(), a or b or c) for k, a, b, c in _ATTR.findall(rest)] if "=" in rest else ()
+        marks = [(k, found[k]) for k in ("class", "id", "role") if found.get(k)]
         skip, doubt = top.skip or tag in ASIDE or (tag == "header" and not top.own), False
         if marks and not skip and tag not in ("html", "body", "article", "main"):
-            skip, doubt = named_aside(marks, top.own)
-        skip = skip or bool(rest and _HIDDEN.search(rest))
+            skip, doubt = named_aside(tag, marks, top.own)
+        if found and ("hidden" in found or found.get("aria-hidden", "").lower() == "true" or _UNSEEN.search(found.get("style", ""))):
+            skip = True
         if block or skip != top.skip or doubt:
             flush()
         name = tag + "".join(f"[{k}={v}]" for k, v in sorted(marks) if not any(ch.isdigit() for ch in v)).replace("/", "|")
-        stack.append(Node(tag, f"{top.path}/{name}", skip, top.own or tag in ("article", "main") or ("role", "main") in marks, top.link or tag == "a", len(blocks) if doubt else -1))
-        if block and not skip:
+        own = top.own or tag in ("article", "main") or ("role", "main") in marks
+        path = f"{top.path}/{name}" if block and len(stack) <= DEPTH else top.path
+        stack.append(Node(tag, path, skip, own, top.link or tag == "a", len(blocks) if doubt else -1))
+        open_tags[tag] += 1
+        if block:
             elements.append((stack[-1].path, len(blocks)))
     flush()
     close(1)
+    if lists:
+        edges = Counter(a for a, b in lists if a < b)
+        edges.subtract(Counter(b for a, b in lists if a < b))
+        within = list(accumulate(edges[i] for i in range(len(blocks))))
+        blocks = [(p, own, aside or n > 0, text) for (p, own, aside, text), n in zip(blocks, within, strict=True)]
     return blocks, elements
 
 
@@ -202,7 +269,7 @@ def token_of(path: str, text: str | None = None) -> int:
     return xxhash.xxh3_64_intdigest(path if text is None else f"{path}\0{text}", 1 + (text is None)) >> 1
 
 
-_BLOCKS = "array<struct<path:string,own:boolean,text:string,token:long>>"
+_BLOCKS = "array<struct<path:string,own:boolean,aside:boolean,text:string,token:long>>"
 _TOKENS = "array<struct<token:long,n:int,place:int,path:string>>"
 
 
@@ -214,14 +281,14 @@ def parsed(pages: DataFrame) -> DataFrame:
             host, blocks, tokens = [], [], []
             for url, page in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
                 own, elements = parse(page or "")
-                rows = [{"path": p, "own": o, "text": t, "token": token_of(p, t)} for p, o, t in own]
+                rows = [{"path": p, "own": o, "aside": a, "text": t, "token": token_of(p, t)} for p, o, a, t in own]
                 order = sorted([(at, 0, i, token_of(p), p) for i, (p, at) in enumerate(elements)] + [(i, 1, 0, b["token"], None) for i, b in enumerate(rows)], key=lambda x: x[:3])
                 count = Counter(x[3] for x in order)
                 first = {x[3]: (i, x[4]) for i, x in reversed(list(enumerate(order)))}
                 host.append(host_of(url))
                 blocks.append(rows)
                 tokens.append([{"token": k, "n": count[k], "place": i, "path": p} for k, (i, p) in sorted(first.items(), key=lambda x: x[1][0])])
-            block = pa.struct([("path", pa.string()), ("own", pa.bool_()), ("text", pa.string()), ("token", pa.int64())])
+            block = pa.struct([("path", pa.string()), ("own", pa.bool_()), ("aside", pa.bool_()), ("text", pa.string()), ("token", pa.int64())])
             token = pa.struct([("token", pa.int64()), ("n", pa.int32()), ("place", pa.int32()), ("path", pa.string())])
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(host, pa.string()), pa.array(blocks, pa.list_(block)), pa.array(tokens, pa.list_(token))], names=["page_id", "url", "host", "blocks", "tokens"])
 
@@ -235,7 +302,7 @@ def classes(table: DataFrame) -> DataFrame:
     """
     page = F.pmod(F.xxhash64("page_id", "url"), F.lit((1 << 31) - 1))
     tokens = table.select("host", page.alias("page"), F.explode("tokens").alias("t")).select("host", "page", "t.*")
-    stats = tokens.groupBy("host", "token").agg(F.count("*").alias("pages"), F.sum((F.col("n") == 1).cast("long")).alias("once"), F.sum(F.col("n") * F.col("page")).alias("vector"), F.avg("place").alias("place"), F.max("path").alias("path"))
+    stats = tokens.groupBy("host", "token").agg(F.count("*").alias("pages"), F.sum((F.col("n") == 1).cast("long")).alias("once"), F.sum(F.pmod(F.col("n") * F.col("page"), F.lit((1 << 31) - 1))).alias("vector"), F.avg("place").alias("place"), F.max("path").alias("path"))
     total = table.groupBy(F.col("host").alias("h")).agg(F.count("*").alias("total")).filter(f"total >= {LEAST_PAGES}")
     frequent = stats.join(total, F.col("host") == F.col("h")).filter(f"pages >= {SUPPORT} * total AND once = pages")
     token = F.struct("place", "token", "path")
@@ -264,7 +331,8 @@ def tested(table: DataFrame, found: DataFrame) -> DataFrame:
     """(host, token, path, slot, ordered, chars, all): every class token of every page, and the text that differs in it.
 
     ``slot`` is the element of the template before it; ``chars`` of an element is the page's text in it
-    that is no token of a class, of a text its own length; ``all`` is the page's text that differs.
+    that is no token of a class, of a text its own length; ``all`` is the page's text that differs. What
+    names set aside has no length: it neither makes a main slot nor outweighs one.
     """
 
     def run(batches):
@@ -278,8 +346,8 @@ def tested(table: DataFrame, found: DataFrame) -> DataFrame:
                     by_class.setdefault(t["class"], []).append(t["token"])
                 ordered = {x: ok for xs in by_class.values() for x, ok in zip(xs, in_order([place[x] for x in xs]), strict=True)}
                 texts = {t["token"] for t in own if t["path"] is None}
-                length = {b["token"]: len(b["text"]) for b in blocks}
-                differs = [(b["path"], len(b["text"])) for b in blocks if b["token"] not in texts]
+                length = {b["token"]: 0 if b["aside"] else len(b["text"]) for b in blocks}
+                differs = [(b["path"], len(b["text"])) for b in blocks if b["token"] not in texts and not b["aside"]]
                 total, last = sum(n for _, n in differs), 0
                 for t in sorted(own, key=lambda t: place[t["token"]]):
                     inside = length[t["token"]] if t["path"] is None else sum(n for p, n in differs if p == t["path"] or p.startswith(t["path"] + "/"))
@@ -314,14 +382,19 @@ def _few(hosts: DataFrame, tokens: str) -> bool:
 
 def extract(page: str | None, slot: str | None = None, gone: frozenset = frozenset()) -> str:
     """The text of one page, given its host's main slot and text tokens."""
-    blocks = [b for b in parse(page or "")[0] if token_of(b[0], b[2]) not in gone]
-    own = [t for _, o, t in blocks if o]
-    inside = [t for p, _, t in blocks if p == slot or p.startswith(f"{slot}/")] if slot else []
-    return "\n".join(own or inside or [t for _, _, t in blocks])
+    blocks = [b for b in parse(page or "")[0] if token_of(b[0], b[3]) not in gone and not b[2]]
+    within = lambda p: bool(slot) and (p == slot or p.startswith(f"{slot}/"))
+    own = [(within(p), t) for p, o, _, t in blocks if o]
+    inside = [t for p, o, _, t in blocks if within(p) and not o]
+    if own and inside and not any(x for x, _ in own):
+        return "\n".join(t for p, o, _, t in blocks if o or within(p))
+    return "\n".join([t for _, t in own] or inside or [t for *_, t in blocks])
 
 
 def main_text(pages: DataFrame) -> DataFrame:
-    """One row per page: page_id, url, text, n_chars (code points).
+    """One row per page: page_id, url, text, n_chars (code points), n_template and n_named.
+
+    The last two say how many blocks the host's template took out, and how many more went by a name.
 
     Null and empty pages have the empty text; pages without a host in their address, or with a null
     address, are one host. Repeated rows get equal answers; an empty table gives none.
@@ -330,11 +403,18 @@ def main_text(pages: DataFrame) -> DataFrame:
     table = scratch.keep(parsed(pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))), "parsed")
     known = scratch.keep(templates(table, scratch), "templates").withColumnRenamed("host", "h")
     joined = table.select("page_id", "url", "host", "blocks").join(F.broadcast(known) if _few(known, "gone") else known, F.col("host") == F.col("h"), "left")
-    blocks = "filter(blocks, b -> NOT coalesce(array_contains(gone, b.token), false))"
-    left = joined.withColumn("blocks", F.expr(blocks))
+    inside = "coalesce(b.path = slot OR startswith(b.path, concat(slot, '/')), false)"
+    # what the template says of a block; where a page has no text in the main slot and no article, it says nothing
+    fixed = "coalesce(array_contains(gone, b.token), false)"
+    outside = f"(slot IS NOT NULL AND NOT b.own AND NOT {inside})"
+    of_page = joined.withColumn("slot", F.expr(f"CASE WHEN exists(blocks, b -> NOT {fixed} AND NOT b.aside AND (b.own OR {inside})) THEN slot END"))
+    count = lambda test: F.expr(f"size(filter(blocks, b -> {test}))").cast("long")
+    counted = of_page.withColumns({"n_template": count(f"{fixed} OR {outside}"), "n_named": count(f"b.aside AND NOT ({fixed} OR {outside})")})
+    left = counted.withColumn("blocks", F.expr(f"filter(blocks, b -> NOT b.aside AND NOT {fixed} AND NOT {outside})"))
     texts = lambda keep: F.expr(f"transform({keep}, b -> b.text)")
-    inside = texts("filter(blocks, b -> coalesce(b.path = slot OR startswith(b.path, concat(slot, '/')), false))")
     own = texts("filter(blocks, b -> b.own)")
-    chosen = F.when(F.size(own) > 0, own).when(F.size(inside) > 0, inside).otherwise(texts("blocks"))
-    out = left.select("page_id", "url", F.array_join(chosen, "\n").alias("text"))
-    return out.withColumn("n_chars", F.length("text").cast("long"))
+    # articles beside a main slot with text of its own, such as teasers, don't replace it
+    apart = F.expr(f"exists(blocks, b -> NOT b.own) AND NOT exists(blocks, b -> b.own AND {inside}) AND slot IS NOT NULL")
+    chosen = F.when((F.size(own) > 0) & ~apart, own).otherwise(texts("blocks"))
+    out = left.select("page_id", "url", F.array_join(chosen, "\n").alias("text"), "n_template", "n_named")
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_template", "n_named")

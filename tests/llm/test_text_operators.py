@@ -161,7 +161,7 @@ def test_classes_equal_brute_force(spark):
     vectors = {}
     for i, x in enumerate(bodies):
         blocks, elements = html_template.parse(f"<html><body>{x}</body></html>")
-        for t in [html_template.token_of(p) for p, _ in elements] + [html_template.token_of(p, t) for p, _, t in blocks]:
+        for t in [html_template.token_of(p) for p, _ in elements] + [html_template.token_of(p, t) for p, *_, t in blocks]:
             vectors.setdefault(t, [0] * 12)[i] += 1
     by = {}
     for t, v in vectors.items():
