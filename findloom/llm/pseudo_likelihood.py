@@ -9,8 +9,8 @@ score is the sum of the conditional log-probabilities of its tokens.
 
 Training is in numpy on the executors: in each round groups of documents, dealt and ordered by a hash
 of id and text, take local steps from the same parameters, and the results are averaged, weighted by
-the tokens seen. The averages are formed chunk by chunk in groups, so the driver gets one parameter set
-per round whatever the number of tasks. The rounds together take every document once, and every
+the tokens seen. The averages are formed chunk by chunk in a tree over the groups, so no task holds more
+than a few dozen parts and the driver gets one parameter set per round, whatever the number of groups. The rounds together take every document once, and every
 token of it is predicted.
 """
 
@@ -37,6 +37,8 @@ ROUNDS = 4
 #: Windows in a step; later steps, whose moments have settled, take several times as many.
 BATCH, RATE, SETTLED, LATER = 1024, 0.02, 64, 8
 CHUNKS = 16
+#: Groups whose results are averaged in one task.
+FAN = 32
 #: Nodes of the tree that most ways pass; these are taken for all words of a step at once.
 TOP = 64
 #: Tokens of a round that are trained on together, about; their number of groups follows from the
@@ -135,7 +137,8 @@ class Steps:
 
     def __init__(self, p: dict):
         self.tree = p["tree"]
-        self.first, self.node, self.sign, self.top = self.tree.split()
+        self.first, self.node, self.sign, top = self.tree.split()
+        self.top = top.astype(np.float32)
         self.p = {k: v.copy() for k, v in p.items() if k != "tree"}
         self.m, self.v = ({k: np.zeros_like(x) for k, x in self.p.items()} for _ in range(2))
         self.done = self.seen = 0
@@ -163,41 +166,49 @@ class Steps:
         h = np.tanh(x @ p["mix"] + p["bias"])
         # the heaviest nodes, for all tokens at once; off a word's way the sign is 0
         heavy = slice(len(p["prior"]) - TOP, len(p["prior"]))
-        s = self.top[y].astype(np.float32)
-        e = s * (h @ p["out"][heavy].T + p["prior"][heavy])
-        e = -s / (1 + np.exp(np.clip(e, -60, 60))) / np.float32(len(y))
+        s = np.take(self.top, y, axis=0)
+        e = h @ p["out"][heavy].T
+        e += p["prior"][heavy]
+        e *= s
+        np.clip(e, None, 60, out=e)
+        np.exp(e, out=e)
+        e += 1
+        np.divide(s, e, out=e)
+        e *= np.float32(-1 / len(y))
         dh, g_out, g_prior = e @ p["out"][heavy], e.T @ h, e.sum(0)
         # the others, where they are met
         size = self.first[y + 1] - self.first[y]
         rest = np.flatnonzero(size)
-        size = size[rest]
-        begin = np.cumsum(size) - size
-        at = np.arange(int(size.sum())) + np.repeat(self.first[y[rest]] - begin, size)
-        node, sign = self.node[at], self.sign[at].astype(np.float32)
         met = np.zeros(0, np.int64)
         if len(rest):
-            w, hr = p["out"][node], np.repeat(h[rest], size, axis=0)
+            size = size[rest]
+            begin = np.cumsum(size) - size
+            at = np.arange(int(size.sum())) + np.repeat(self.first[y[rest]] - begin, size)
+            node, sign = self.node[at].astype(np.intp), self.sign[at].astype(np.float32)
+            w, hr = np.take(p["out"], node, axis=0), np.repeat(np.take(h, rest, axis=0), size, axis=0)
             z = sign * (np.einsum("ij,ij->i", w, hr) + p["prior"][node])
             e = -sign / (1 + np.exp(np.clip(z, -60, 60))) / np.float32(len(y))
-            dh[rest] += np.add.reduceat(e[:, None] * w, begin)
-            order = np.argsort(node, kind="stable")
-            met = node[order].astype(np.int64)
-            start = np.flatnonzero(np.concatenate([[True], met[1:] != met[:-1]]))
-            met = met[start]
-            g_out = np.concatenate([np.add.reduceat(e[order, None] * hr[order], start), g_out])
-            g_prior = np.concatenate([np.add.reduceat(e[order], start), g_prior])
+            dh += _summed(e[:, None] * w, np.repeat(rest, size), len(y))
+            met = np.flatnonzero(np.bincount(node, minlength=heavy.start))
+            g_out = np.concatenate([_summed(e[:, None] * hr, node, heavy.start)[met], g_out])
+            g_prior = np.concatenate([np.bincount(node, e, heavy.start)[met].astype(np.float32), g_prior])
         met = np.concatenate([met, np.arange(heavy.start, heavy.stop)])
         dh *= 1 - h * h
         flat = c.ravel()
-        order = np.argsort(flat, kind="stable")
-        words = flat[order]
-        start = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]]))
-        g_embed = np.add.reduceat((dh @ p["mix"].T).reshape(-1, EMBED)[order], start)
+        words = np.flatnonzero(np.bincount(flat, minlength=len(p["embed"])))
+        g_embed = _summed((dh @ p["mix"].T).reshape(-1, EMBED), flat, len(p["embed"]))[words]
         every = slice(None)
-        for k, at, g in (("embed", words[start], g_embed), ("mix", every, x.T @ dh), ("bias", every, dh.sum(0)), ("out", met, g_out), ("prior", met, g_prior)):
-            m[k][at] += 0.1 * (g - m[k][at])
-            v[k][at] += 0.01 * (g * g - v[k][at])
-            p[k][at] -= RATE * (m[k][at] / (1 - 0.9**self.done)) / (np.sqrt(v[k][at] / (1 - 0.99**self.done)) + 1e-6)
+        for k, at, g in (("embed", words, g_embed), ("mix", every, x.T @ dh), ("bias", every, dh.sum(0)), ("out", met, g_out), ("prior", met, g_prior)):
+            mean, square = m[k][at], v[k][at]
+            mean = mean + 0.1 * (g - mean)
+            square = square + 0.01 * (g * g - square)
+            m[k][at], v[k][at] = mean, square
+            p[k][at] -= RATE * (mean / (1 - 0.9**self.done)) / (np.sqrt(square / (1 - 0.99**self.done)) + 1e-6)
+
+
+def _summed(rows: np.ndarray, to: np.ndarray, size: int) -> np.ndarray:
+    """The sum of the rows that go to each of ``size`` places, column by column."""
+    return np.stack([np.bincount(to, column, size) for column in rows.T], axis=1).astype(np.float32)
 
 
 def train_local(p: dict, ctx: np.ndarray, target: np.ndarray) -> dict:
@@ -225,17 +236,17 @@ class Scorer:
                 h += self.tables[j][c[:, j]]
             h = np.tanh(h)
             s = self.top[y]
-            row, at = np.nonzero(s)
-            z = np.clip(s[row, at] * (h.astype(np.float64) @ heavy + heavy_prior)[row, at], -60, 60)
-            sums = -np.bincount(row, np.log1p(np.exp(-z)), len(y))
+            on = np.flatnonzero(s)
+            z = np.clip(np.take(s, on) * np.take(h.astype(np.float64) @ heavy + heavy_prior, on), -60, 60)
+            sums = -np.bincount(on // TOP, np.log1p(np.exp(-z)), len(y))
             size = self.first[y + 1] - self.first[y]
             rest = np.flatnonzero(size)
             if len(rest):
                 size = size[rest]
                 begin = np.cumsum(size) - size
                 at = np.arange(int(size.sum())) + np.repeat(self.first[y[rest]] - begin, size)
-                node = self.node[at]
-                z = np.clip(self.sign[at] * (np.einsum("ij,ij->i", weight[node], np.repeat(h[rest], size, axis=0)) + prior[node]), -60, 60)
+                node = self.node[at].astype(np.intp)
+                z = np.clip(self.sign[at] * (np.einsum("ij,ij->i", np.take(weight, node, axis=0), np.repeat(np.take(h, rest, axis=0), size, axis=0)) + prior[node]), -60, 60)
                 sums[rest] -= np.add.reduceat(np.log1p(np.exp(-z)).astype(np.float64), begin)
             out[lo : lo + 8192] = sums
         return out
@@ -272,9 +283,30 @@ def _unflat(flat: np.ndarray, tree: Tree) -> dict:
     return p
 
 
-def _sent(p: dict, seen: int) -> pa.RecordBatch:
+def _sent(p: dict, g: int, seen: int) -> pa.RecordBatch:
     parts = np.array_split(_flat(p), CHUNKS)
-    return pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([seen] * CHUNKS, pa.int64()), pa.array([x.tobytes() for x in parts], pa.binary())], names=["chunk", "seen", "part"])
+    return pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([g] * CHUNKS, pa.int32()), pa.array([seen] * CHUNKS, pa.int64()), pa.array([x.tobytes() for x in parts], pa.binary())], names=["chunk", "g", "seen", "part"])
+
+
+def averaged(sent: DataFrame, many: int, scratch: Scratch) -> DataFrame:
+    """(chunk, g, seen, part): the mean of the parts of each chunk of ``many`` groups, weighted by the tokens seen.
+
+    A tree: ``FAN`` neighbouring groups are averaged in one task, then as many of the averages, until one
+    is left; a task holds ``FAN`` parts of one chunk, however many groups there are.
+    """
+
+    def average(key, table):
+        table = table.sort_by("g")
+        seen, parts = table.column("seen").to_pylist(), table.column("part").to_pylist()
+        total = sum(np.frombuffer(p, np.float32) * (n / sum(seen)) for n, p in zip(seen, parts, strict=True))
+        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "g": pa.array([key[1].as_py()], pa.int32()), "seen": pa.array([sum(seen)], pa.int64()), "part": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+
+    while True:
+        many = -(-many // FAN)
+        level = sent.withColumn("to", F.floor(F.col("g") / FAN).cast("int")).groupBy("chunk", "to").applyInArrow(average, "chunk int, g int, seen long, part binary")
+        if many <= 1:
+            return level
+        sent = scratch.keep(level, "averaged")
 
 
 def _grouped(batches) -> Iterator[tuple[int, Iterator[pa.RecordBatch]]]:
@@ -299,7 +331,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary, scratch: Scratch, rounds: int
         start = p
 
         def local(batches, start=start):
-            for _, own in _grouped(batches):
+            for g, own in _grouped(batches):
                 steps = Steps(start)
                 for _, batch in own:
                     texts = as_bytes(batch.column("text"))
@@ -307,17 +339,11 @@ def train(docs: DataFrame, vocabulary: Vocabulary, scratch: Scratch, rounds: int
                         steps.feed(*windows(vocabulary, texts[lo:hi]))
                 q = steps.close()
                 if steps.seen:
-                    yield _sent(q, steps.seen)
-
-        def average(key, table):
-            seen, parts = table.column("seen").to_pylist(), table.column("part").to_pylist()
-            order = sorted(range(len(seen)), key=lambda i: (seen[i], parts[i]))
-            total = sum(np.frombuffer(parts[i], np.float32) * (seen[i] / sum(seen)) for i in order)
-            return pa.table({"chunk": key[0:1], "part": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+                    yield _sent(q, g, steps.seen)
 
         own = dealt.filter(F.col("r") == r).repartition(many, "g").sortWithinPartitions("g", "h").select("g", "text")
-        sent = scratch.keep(own.mapInArrow(local, "chunk int, seen long, part binary"), "trained")
-        got = sent.groupBy("chunk").applyInArrow(average, "chunk int, part binary").collect()
+        sent = scratch.keep(own.mapInArrow(local, "chunk int, g int, seen long, part binary"), "trained")
+        got = averaged(sent, many, scratch).select("chunk", "part").collect()
         scratch.drop(sent)
         if len(got) == CHUNKS:
             p = _unflat(np.concatenate([np.frombuffer(x.part, np.float32) for x in sorted(got, key=lambda x: x.chunk)]), vocabulary.tree)
