@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from findloom.plans import finding_queries, merge_queries, run_queries, table_queries, url_queries
+from findloom.plans import finding_queries, merge_queries, run_queries, site_queries, table_queries, url_queries
 
-_ALL = url_queries.QUERIES | table_queries.QUERIES | finding_queries.QUERIES | merge_queries.QUERIES | run_queries.QUERIES
+_ALL = url_queries.QUERIES | table_queries.QUERIES | finding_queries.QUERIES | merge_queries.QUERIES | run_queries.QUERIES | site_queries.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

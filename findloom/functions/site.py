@@ -5,7 +5,7 @@ from __future__ import annotations
 from urllib.parse import urljoin
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,6 +46,9 @@ def _joined(current: Column, href: Column) -> Column:
     return F.pandas_udf(run, T.StringType())(current, href)
 
 
+_PARTS = ("scheme", "authority", "place", "host", "port", "path")
+
+
 def _parts(url: Column) -> dict[str, Column]:
     """scheme, authority, host, port text and path of an address with ``://``."""
     part = lambda p, i=1: F.regexp_extract(url, p, i)
@@ -57,32 +60,48 @@ def _parts(url: Column) -> dict[str, Column]:
     return {"scheme": F.lower(part(r"^([^:/?#]+)://")), "authority": authority, "place": place, "host": F.lower(host), "port": port, "path": part(r"^[^:/?#]+://[^/?#]*([^?#]*)")}
 
 
-def site_url(target: Column) -> Column:
-    """Struct url and error: the canonical http(s) address of a target, or why it has none.
-
-    The scheme is https if there is none; names are in ASCII; a default port, credentials, query and
-    fragment are never part of it. Errors: empty, scheme, host, credentials, port.
-    """
+def _full(target: Column) -> Column:
     value = F.trim(F.coalesce(target, F.lit("")))
-    full = F.when(F.contains(value, F.lit("://")), value).otherwise(F.concat(F.lit("https://"), value))
-    p = _parts(full)
-    plain = p["host"].rlike(_PLAIN)
-    name = F.regexp_replace(F.when(plain, p["host"]).otherwise(_punycode(F.when(~plain, p["host"]))), r"\.$", "")
+    return F.when(F.contains(value, F.lit("://")), value).otherwise(F.concat(F.lit("https://"), value))
+
+
+def _ascii_name(host: Column) -> Column:
+    plain = host.rlike(_PLAIN)
+    return F.regexp_replace(F.when(plain, host).otherwise(_punycode(F.when(~plain, host))), r"\.$", "")
+
+
+def _checked(p: dict[str, Column], name: Column) -> dict[str, Column]:
+    """The canonical address of parsed parts and its host's name in ASCII, and why there is none."""
     labels = F.forall(F.split(name, r"\."), lambda x: (F.length(x) >= 1) & (F.length(x) <= 63))
     port = p["port"].try_cast("int")
     bad_port = (p["port"] != "") & ~F.coalesce(p["port"].rlike("^[0-9]+$") & (port <= 65535), F.lit(False))
     named = F.when(p["place"].startswith("["), F.concat(F.lit("["), name, F.lit("]"))).otherwise(name)
     place = F.when((p["port"] == "") | port.eqNullSafe(default_port(p["scheme"])), named).otherwise(F.concat(named, F.lit(":"), port.cast("string")))
     error = (
-        F.when(value == "", "empty").when(~p["scheme"].isin("http", "https"), "scheme").when(p["host"] == "", "host")
+        F.when((p["host"] == "") & (p["path"] == "") & (p["authority"] == ""), "empty").when(~p["scheme"].isin("http", "https"), "scheme").when(p["host"] == "", "host")
         .when(F.contains(p["authority"], F.lit("@")) & ~p["authority"].rlike("^:?@"), "credentials").when(bad_port, "port").when(~F.coalesce(labels, F.lit(False)), "host")
     )
-    url = F.concat(p["scheme"], F.lit("://"), place, F.coalesce(none_if_empty(p["path"]), F.lit("/")))
-    return F.struct(F.when(error.isNull(), url).alias("url"), error.alias("error"))
+    return {"error": error, "url": F.concat(p["scheme"], F.lit("://"), place, F.coalesce(none_if_empty(p["path"]), F.lit("/")))}
+
+
+def with_site(rows: DataFrame, target: Column, url: str = "site_url", key: str = "site", error: str = "site_error") -> DataFrame:
+    """``rows`` with the canonical http(s) address of a target, the key of its site, and why it has none.
+
+    The scheme is https if there is none; names are in ASCII; a default port, credentials, query and
+    fragment are never part of it. Errors: empty, scheme, host, credentials, port. Each step is a column
+    of its own, so that no later one repeats the parsing.
+    """
+    staged = rows.withColumn("_w_full", _full(target))
+    staged = staged.withColumns({f"_w_{k}": v for k, v in _parts(F.col("_w_full")).items()})
+    p = {k: F.col(f"_w_{k}") for k in _PARTS}
+    staged = staged.withColumn("_w_name", _ascii_name(p["host"]))
+    staged = staged.withColumns({f"_w_{k}": v for k, v in _checked(p, F.col("_w_name")).items()})
+    staged = staged.withColumns({url: F.when(F.col("_w_error").isNull(), F.col("_w_url")), error: F.col("_w_error")})
+    return staged.withColumn(key, site_key(F.col(url))).select(*[c for c in rows.columns if c not in (url, key, error)], url, key, error)
 
 
 def site_key(url: Column) -> Column:
-    """Key of a site: a readable name and a hash of host and port, for an address that ``site_url`` gave."""
+    """Key of a site: a readable name and a hash of host and port, for an address that ``with_site`` gave."""
     p = _parts(url)
     who = F.when((p["port"] == "") | p["port"].try_cast("int").eqNullSafe(default_port(p["scheme"])), p["host"]).otherwise(F.concat_ws(":", p["host"], p["port"]))
     slug = F.regexp_replace(F.regexp_replace(F.lower(who), "[^a-z0-9]+", "-"), "^-+|-+$", "")

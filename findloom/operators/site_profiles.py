@@ -15,9 +15,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from findloom import schema
-from findloom.functions.site import site_key, site_url
+from findloom.functions.site import with_site
 from findloom.functions.url import none_if_empty, with_target
 from findloom.operators.contract import CRITICALITIES, ENVIRONMENTS
+from findloom.shared import cut
 
 RISK = "struct<asset_criticality:string,environment:string,sensitive_data:boolean,requires_auth:boolean,confidence:double,reason:string,evidence_ids:array<string>>"
 #: The fields of a profile's row.
@@ -50,15 +51,9 @@ def revision_digest() -> Column:
     return F.sha2(F.to_json(F.struct(*[v.alias(k) for k, v in sorted(said.items())])), 256)
 
 
-def _staged(profiles: DataFrame) -> DataFrame:
-    """With the site's address and key, made once."""
-    staged = profiles.withColumn("_site", site_url(F.col("target")))
-    return staged.withColumns({"site": site_key(F.col("_site.url")), "site_error": F.col("_site.error"), "site_url": F.col("_site.url")}).drop("_site")
-
-
 def with_errors(profiles: DataFrame) -> DataFrame:
     """``profiles`` with site, site_url and ``errors``: why a profile can't be used, none if it can."""
-    staged, t = with_target(_staged(profiles), F.coalesce("site_url", F.lit("")))
+    staged, t = with_target(with_site(profiles, F.col("target")), F.coalesce("site_url", F.lit("")))
     person = F.regexp_extract(F.coalesce("verified_by", F.lit("")), "^human:(.*)$", 1)
     processes = F.coalesce("business_processes", F.array().cast("array<string>"))
     other = lambda c: F.coalesce(F.regexp_replace(F.lower(c), r"\.$", ""), F.lit(""))
@@ -72,17 +67,17 @@ def with_errors(profiles: DataFrame) -> DataFrame:
     return staged.withColumn("errors", F.concat(found, risk_errors(F.col("risk_context")))).select(*profiles.columns, "site", "site_url", "errors")
 
 
-def as_of(rows: DataFrame, profiles: DataFrame, site: str = "site", time: str = "at") -> DataFrame:
+def as_of(rows: DataFrame, profiles: DataFrame, site: str = "site", time: str = "at", keep=cut) -> DataFrame:
     """``rows`` with ``profile``: the newest valid profile of the row's site at its time, null if none or if it is stale by then.
 
     ``stale_after`` is the last day on which a profile holds; without one it is stale at once. A newer stale
     profile hides an older one. Of two confirmed at one time the greater revision counts. Rows with a null
-    site or time have no profile.
+    site or time have no profile. ``keep`` cuts off the valid profiles, which are read twice.
     """
     good = with_errors(profiles).filter("size(errors) = 0")
     person = F.regexp_extract("verified_by", "^human:(.*)$", 1)
     shown = F.struct("profile_revision", _compact(F.col("description"), 500).alias("description"), person.alias("reviewer"), "verified_at", "stale_after", F.coalesce("analysis_source", F.lit("legacy")).alias("analysis_source"), F.transform("business_processes", lambda x: _compact(x, 160)).alias("business_processes"), "risk_context")
-    known = good.select(F.col("site").alias("s"), F.to_date("verified_at").alias("day"), F.struct(F.col("verified_at").alias("since"), "profile_revision", shown.alias("p")).alias("step"))
+    known = keep(good.select(F.col("site").alias("s"), F.to_date("verified_at").alias("day"), F.struct(F.col("verified_at").alias("since"), "profile_revision", shown.alias("p")).alias("step")))
     day = F.to_date(time)
     days = rows.filter(F.col(site).isNotNull() & F.col(time).isNotNull()).select(F.col(site).alias("s"), day.alias("day")).distinct()
     # a site's days and profiles: few beside its rows
@@ -92,8 +87,8 @@ def as_of(rows: DataFrame, profiles: DataFrame, site: str = "site", time: str =
     carried = morning.withColumn("before", last).filter("of_day = 0").select("s", "day", "before")
     stairs = carried.join(newest, ["s", "day"], "left").select("s", "day", F.concat(F.array_compact(F.array("before")), F.coalesce("steps", F.array().cast(newest.schema["steps"].dataType))).alias("steps"))
     joined = rows.withColumn("_day", day).join(stairs.select(F.col("s").alias("_s"), F.col("day").alias("_d"), "steps"), (F.col(site) == F.col("_s")) & (F.col("_day") == F.col("_d")), "left")
-    now = F.element_at(F.filter("steps", lambda x: x["since"] <= F.col(time)), -1)
-    held = joined.withColumn("_now", F.when(F.size(F.filter("steps", lambda x: x["since"] <= F.col(time))) > 0, now)["p"])
+    # the greatest time not after the row's; the last of an empty array is null
+    held = joined.withColumn("_now", F.try_element_at(F.filter("steps", lambda x: x["since"] <= F.col(time)), F.lit(-1))["p"])
     return held.withColumn("profile", F.when(F.coalesce(F.col("_now.stale_after") >= F.col("_day"), F.lit(False)), F.col("_now"))).drop("_s", "_d", "_day", "steps", "_now")
 
 
@@ -103,7 +98,7 @@ def with_site_context(findings: DataFrame, profiles: DataFrame, target: str = "t
     What a finding says of itself stays; a field that the profile leaves open, too. ``profile_revision``
     says which one was used.
     """
-    staged = findings.withColumn("_url", site_url(F.col(target))["url"]).withColumn("_site", site_key(F.col("_url")))
+    staged = with_site(findings, F.col(target), "_url", "_site", "_error")
     found = as_of(staged, profiles, "_site", time)
     risk, m = F.col("profile.risk_context"), F.col("meta")
     own = lambda f: m["business_context"][f]

@@ -34,7 +34,7 @@ def test_addresses_equal_the_standard_library(spark):
     label = lambda: "".join(rng.choices("abzé日öß-09", k=rng.randint(1, 6)))
     cases = [f"{rng.choice(['', 'http://', 'HTTPS://', 'ftp://'])}{rng.choice(['', '', 'u:p@', 'u@'])}{'.'.join(label() for _ in range(rng.randint(1, 3)))}{rng.choice(['', '.', ':80', ':443', ':8080', ':x', ':99999', ':'])}{rng.choice(['', '/', '/A/b', '?q', '#f', '/p?q#f'])}" for _ in range(250)]
     cases += ["", None, "  H.org/x ", "http://[::1]:8080/a", "[::1]", "https://", "http://a..b/", "x" * 64 + ".org", "http://ab.c./"]
-    got = [r["url"] for r in spark.createDataFrame(list(enumerate(cases)), "i int, t string").select("i", s.site_url(F.col("t")).alias("u")).select("i", "u.*").orderBy("i").collect()]
+    got = [r["site_url"] for r in s.with_site(spark.createDataFrame(list(enumerate(cases)), "i int, t string"), F.col("t")).orderBy("i").collect()]
     for case, url in zip(cases, got, strict=True):
         assert url == plain_url(case), case
 
@@ -102,7 +102,8 @@ def test_as_of_equals_a_search_of_all_profiles(spark):
     profiles = frame(spark, *made)
     keyed = [r.asDict(recursive=True) for r in sp.with_errors(profiles).collect()]
     rows = [(i, f"h{rng.randrange(4)}.org", when()) for i in range(200)] + [(200, None, AT), (201, "h0.org", None)]
-    df = spark.createDataFrame(rows, "i int, t string, at timestamp").withColumn("site", s.site_key(s.site_url(F.col("t"))["url"]))
+    df = spark.createDataFrame(rows, "i int, t string, at timestamp")
+    df = s.with_site(df, F.col("t"))
     got = {r["i"]: r for r in sp.as_of(df, profiles).collect()}
     assert len(got) == len(rows)
     for i, _, at in rows:
