@@ -129,13 +129,14 @@ def choose(candidates: Column) -> Column:
     return F.aggregate(F.slice(candidates, 2, F.greatest(F.size(candidates), F.lit(1))), candidates[0], better)
 
 
-def with_intelligence(findings: DataFrame, cvss: DataFrame | None = None, epss: DataFrame | None = None, kev: DataFrame | None = None, key: str = "finding_id") -> DataFrame:
+def with_intelligence(findings: DataFrame, cvss: DataFrame | None = None, epss: DataFrame | None = None, kev: DataFrame | None = None) -> DataFrame:
     """``findings`` with canonical CVE fields from the feeds that are given.
 
     Each CVE of a finding is a candidate; the finding's own CVSS stands in for its primary CVE. Fields of
     a feed that says nothing on the chosen CVE are cleared; without a feed they stay. A finding whose CVE
     fields hold no CVE loses them. Feeds are one row a CVE and are joined by it, so a common CVE is
-    looked up once for all findings: only distinct CVEs meet the feeds.
+    looked up once for all findings: only distinct CVEs meet the feeds, and findings that say the same of
+    the same CVEs share their candidates, so rows may repeat an id.
     """
     m = F.col("meta")
     spark = findings.sparkSession
@@ -145,7 +146,10 @@ def with_intelligence(findings: DataFrame, cvss: DataFrame | None = None, epss:
     rows = findings.withColumn("_cves", ids)
     known = rows.select(F.explode("_cves").alias("cve_id")).distinct().join(feeds["cvss"], "cve_id", "left").join(feeds["epss"], "cve_id", "left").join(feeds["kev"].withColumn("kev_listed", F.lit(True)), "cve_id", "left")
     own = _on_scale(m["cvss_score"])
-    each = rows.select(key, F.posexplode("_cves").alias("pos", "cve_id"), own.alias("own"), F.coalesce(cve_id(m["cve_id"]), F.col("_cves")[0]).alias("first"), m["cvss_version"].alias("own_version"), m["cvss_vector"].alias("own_vector"), F.coalesce(m["cvss_source"], F.lit("scanner")).alias("own_source")).join(known, "cve_id")
+    said = {"own": own, "first": F.coalesce(cve_id(m["cve_id"]), F.get("_cves", F.lit(0))), "own_version": m["cvss_version"], "own_vector": m["cvss_vector"], "own_source": F.coalesce(m["cvss_source"], F.lit("scanner"))}
+    rows = rows.withColumn("_case", F.sha2(F.to_json(F.struct("_cves", *[v.alias(k) for k, v in said.items()])), 256))
+    with_cves = rows.filter(F.size("_cves") > 0)
+    each = with_cves.select("_case", "_cves", *[v.alias(k) for k, v in said.items()]).distinct().select("_case", F.posexplode("_cves").alias("pos", "cve_id"), *said).join(known, "cve_id")
     stands = F.col("cvss_score").isNull() & F.col("own").isNotNull() & (F.col("cve_id") == F.col("first"))
     pick = lambda feed, mine: F.when(stands, mine).otherwise(F.col(feed))
     version = F.when(F.trim("own_version") == "4.0", "4.0").otherwise("3.1")
@@ -153,8 +157,9 @@ def with_intelligence(findings: DataFrame, cvss: DataFrame | None = None, epss:
         "cve_id": F.col("cve_id"), "cvss_score": pick("cvss_score", F.col("own")), "cvss_version": pick("cvss_version", version), "cvss_vector": pick("cvss_vector", F.col("own_vector")), "cvss_source": pick("cvss_source", F.col("own_source")),
         "epss_score": F.col("epss_score"), "epss_percentile": F.col("epss_percentile"), "epss_source": F.col("epss_source"), "kev_listed": F.coalesce("kev_listed", F.lit(False)), "kev_source": F.col("kev_source"), "kev_due_date": F.col("kev_due_date"), "external": F.col("cvss_score").isNotNull(),
     }
-    candidates = each.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.struct(*[v.alias(k) for k, v in fields.items()]).alias("c")))), lambda x: x["c"]).alias("_all"))
-    joined = rows.join(candidates, key, "left").withColumn("_best", F.when(F.size("_all") > 0, choose(F.col("_all"))))
+    candidates = each.groupBy("_case").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.struct(*[v.alias(k) for k, v in fields.items()]).alias("c")))), lambda x: x["c"]).alias("_all"))
+    found = with_cves.join(candidates.withColumn("_best", choose(F.col("_all"))), "_case")
+    joined = found.unionByName(rows.filter(F.size("_cves") == 0), allowMissingColumns=True)
     b, some = F.col("_best"), F.size("_cves") > 0
     scored, rated, listed = b["cvss_score"].isNotNull(), b["epss_score"].isNotNull() | b["epss_percentile"].isNotNull(), F.coalesce(b["kev_listed"], F.lit(False))
     had = m["cve_id"].isNotNull() | m["cve_ids"].isNotNull() | m["cve_intelligence_candidates"].isNotNull()
@@ -165,7 +170,7 @@ def with_intelligence(findings: DataFrame, cvss: DataFrame | None = None, epss:
     new |= {f: F.when(listed, b[f]) if kev is not None else F.when(listed, b[f]).otherwise(m[f]) for f in ("kev_source", "kev_due_date")}
     gone = {f: F.lit(None) for f in new} | {"cve_ids": F.array()}
     meta = F.struct(*[(F.when(some, new[f.name]).when(had, gone[f.name].cast(f.dataType)).otherwise(m[f.name]) if f.name in new else m[f.name]).cast(f.dataType).alias(f.name) for f in schema.META.fields])
-    return joined.withColumn("meta", meta).drop("_cves", "_all", "_best")
+    return joined.withColumn("meta", meta).drop("_cves", "_case", "_all", "_best").select(*findings.columns)
 
 
 def compiled_rules(rules: DataFrame) -> DataFrame:

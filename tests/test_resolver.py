@@ -198,3 +198,46 @@ def test_scorer_phrases(spark):
     assert f("missing the x-frame-options header").l == "missing_hardening_header" and f("samesite attribute missing").l == "cookie_hardening_flag" and f("force of nature").c == "generic_issue"
     assert f("a serverside template injection").c == "server_side_template_injection" and f("xrce").c == "generic_issue" and f("pre-auth rce").a is False and f("post auth only").a is True
     assert f("https://github.com/x/poc-exploit-1").e and not f("https://github.com/x/poc").e and f("see exploit-db.com").e and merge is not None
+
+
+def test_rule_classes_equal_the_pairs(spark):
+    """Links of a finding are the pairs that the rules make of it, protocols and degraded findings included."""
+    import random
+
+    from findloom import schema
+    from findloom.operators import context, resolve
+
+    rng = random.Random(11)
+    names = ["SQL Injection", "Missing Content-Security-Policy header", "OpenSSH outdated", "XML External Entity found"]
+    rows = []
+    for i in range(70):
+        meta = {"scanner": rng.choice(["zap", "Nikto", "nmap"]), "cve_ids": rng.choice([None, ["CVE-2024-1000"], ["CVE-2024-1000", "CVE-2024-2000"]]), "parameter": rng.choice([None, "q"]), "method": rng.choice(["get", None]), "protocol": rng.choice([None, "tcp", "udp"]), "service": rng.choice([None, "ssh"]), "degraded_execution": rng.random() < 0.1}
+        rows.append({"finding_id": f"f{i:02d}", "ord": i, "vulnerability_name": rng.choice(names), "severity": "low", "asset_id": rng.choice(["https://h/a", "https://h/b", "h:22", ""]), "description": "d", "remediation": "r", "meta": meta})
+    df = context.with_hints(context.with_context(spark.createDataFrame(rows, schema.FINDING)))
+    pairs = {}
+    side = lambda s: df.selectExpr(f"finding_id id_{s}", f"lower(coalesce(meta.scanner, '')) scanner_{s}", f"coalesce(meta.degraded_execution, false) degraded_{s}", f"cves cves_{s}", f"families families_{s}", f"ctx ctx_{s}")
+    both = side("a").crossJoin(side("b")).filter("id_a <> id_b AND scanner_a <> scanner_b AND NOT degraded_a AND NOT degraded_b AND ctx_a.host <> '' AND ctx_a.host = ctx_b.host AND ctx_a.target_family = ctx_b.target_family AND ctx_a.port <=> ctx_b.port")
+    both = both.filter("ctx_a.target_family = 'web' OR ctx_a.protocol = '' OR ctx_b.protocol = '' OR ctx_a.protocol = ctx_b.protocol")
+    for r in both.collect():
+        keys = [("same_cve_same_effective_target", c) for c in set(r["cves_a"]) & set(r["cves_b"])]
+        shared = set(r["families_a"]) & set(r["families_b"])
+        if r["ctx_a"]["path"] == r["ctx_b"]["path"]:
+            keys += [("same_header_family_same_endpoint", f) for f in shared if f in context.HEADER_FAMILIES]
+            if r["ctx_a"]["parameter"] == r["ctx_b"]["parameter"] != "" and r["ctx_a"]["method"] == r["ctx_b"]["method"] != "":
+                keys += [("same_strong_family_same_endpoint_context", f) for f in shared if f in context.PARAMETER_FAMILIES]
+        for rule, _ in keys:
+            pairs[r["id_a"], rule] = pairs.get((r["id_a"], rule), 0) + 1
+    got = {}
+    for r in resolve.rule_classes(df).collect():
+        got[r["finding_id"], r["rule"]] = got.get((r["finding_id"], r["rule"]), 0) + r["links"]
+    assert got == pairs and len(pairs) > 20
+
+
+def test_intelligence_of_repeated_ids(spark):
+    from findloom import schema
+    from findloom.operators import enrich
+
+    rows = [{"finding_id": "same", "ord": i, "vulnerability_name": "n", "severity": "low", "asset_id": "a", "description": "d", "remediation": "r", "meta": {"scanner": "zap", "cve_ids": c, "cvss_score": s}} for i, (c, s) in enumerate([(["CVE-2024-1000"], 5.0), (["CVE-2024-1000"], 5.0), (["CVE-2024-2000", "CVE-2024-1000"], None), (None, 1.0)])]
+    feed = enrich.cvss_feed(spark.createDataFrame([(0, "CVE-2024-1000", None, "9.8")], "ord int, cve string, cvss_v4_score string, cvss_v3_score string"), "own")
+    got = enrich.with_intelligence(spark.createDataFrame(rows, schema.FINDING), feed).orderBy("ord").collect()
+    assert [len(r["meta"]["cve_intelligence_candidates"] or []) for r in got] == [1, 1, 2, 0] and [r["meta"]["cvss_score"] for r in got] == [9.8, 9.8, 9.8, 1.0]
