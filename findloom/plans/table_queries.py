@@ -194,12 +194,12 @@ SELECT cast(greatest(0, least(100, CASE WHEN kev THEN greatest(x, f) ELSE x END)
 def upsert_counts(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_hash"), "n_chars")
     store = docs.filter(F.col("doc_id") % 3 != 0).select("doc_id", "content_hash", F.lit("old").alias("created_at"))
-    fresh = docs.filter(F.col("doc_id") % 2 == 0).select("doc_id", F.when(F.col("n_chars") % 5 == 0, F.lit("x")).otherwise(F.col("content_hash")).alias("content_hash"), F.lit("new").alias("created_at"))
+    fresh = docs.filter((F.col("doc_id") % 2 == 0) | (F.col("doc_id") % 3 == 0)).select("doc_id", F.when(F.col("n_chars") % 5 == 0, F.lit("x")).otherwise(F.col("content_hash")).alias("content_hash"), F.lit("new").alias("created_at"))
     return summary.upsert(store, fresh, ["doc_id"]).groupBy("action", "created_at").agg(F.count("*").alias("n"))
 
 
 UPSERT_COUNTS = """
-WITH s AS (SELECT doc_id, sha256(coalesce(text, '')) AS h FROM documents WHERE doc_id % 3 <> 0), i AS (SELECT doc_id, CASE WHEN n_chars % 5 = 0 THEN 'x' ELSE sha256(coalesce(text, '')) END AS h FROM documents WHERE doc_id % 2 = 0)
+WITH s AS (SELECT doc_id, sha256(coalesce(text, '')) AS h FROM documents WHERE doc_id % 3 <> 0), i AS (SELECT doc_id, CASE WHEN n_chars % 5 = 0 THEN 'x' ELSE sha256(coalesce(text, '')) END AS h FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0)
 SELECT CASE WHEN i.doc_id IS NULL THEN 'kept' WHEN s.doc_id IS NULL THEN 'inserted' WHEN s.h = i.h THEN 'skipped' ELSE 'updated' END AS action, CASE WHEN s.doc_id IS NULL THEN 'new' ELSE 'old' END AS created_at, count(*) AS n
 FROM s FULL JOIN i ON s.doc_id = i.doc_id GROUP BY 1, 2
 """
@@ -208,8 +208,8 @@ FROM s FULL JOIN i ON s.doc_id = i.doc_id GROUP BY 1, 2
 def _partitions(spark, d):
     docs = table(spark, d, "documents")
     whole = docs.select(F.col("doc_id").alias("id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("grp"))
-    opening = docs.select(F.col("doc_id").alias("id"), F.sha2(F.substring(F.coalesce("text", F.lit("")), 1, 40), 256).alias("grp"))
-    return whole, opening
+    letters = docs.select(F.col("doc_id").alias("id"), F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), "[^a-zA-Z]+", ""), 256).alias("grp"))
+    return whole, letters
 
 
 def pair_metrics(spark, d):
@@ -220,7 +220,7 @@ def cluster_metrics(spark, d):
     return summary.cluster_metrics(*_partitions(spark, d))
 
 
-_BOTH = "g AS (SELECT sha256(coalesce(text, '')) AS e, sha256(substr(coalesce(text, ''), 1, 40)) AS a FROM documents)"
+_BOTH = "g AS (SELECT sha256(coalesce(text, '')) AS e, sha256(regexp_replace(coalesce(text, ''), '[^a-zA-Z]+', '', 'g')) AS a FROM documents)"
 PAIR_METRICS = f"""
 WITH {_BOTH}, t AS (SELECT cast(sum(n * (n - 1) // 2) AS bigint) AS tp FROM (SELECT count(*) AS n FROM g GROUP BY e, a)),
 x AS (SELECT cast(sum(n * (n - 1) // 2) AS bigint) AS pe FROM (SELECT count(*) AS n FROM g GROUP BY e)), y AS (SELECT cast(sum(n * (n - 1) // 2) AS bigint) AS pa FROM (SELECT count(*) AS n FROM g GROUP BY a))
@@ -241,8 +241,7 @@ CONFUSION = "SELECT quality AS expected, toxic AS predicted, count(*) AS n FROM
 
 
 def redact_tokens(spark, d):
-    docs = table(spark, d, "documents").filter(F.contains("text", F.lit("token = ")))
-    return docs.select("doc_id", F.sha2(text.redact(F.col("text")), 256).alias("text_sha256"))
+    return table(spark, d, "documents").select("doc_id", F.sha2(text.redact(F.col("text")), 256).alias("text_sha256"))
 
 
 def _sql_redaction() -> str:
@@ -253,7 +252,7 @@ def _sql_redaction() -> str:
     return out
 
 
-REDACT_TOKENS = f"SELECT doc_id, sha256({_sql_redaction()}) AS text_sha256 FROM documents WHERE contains(text, 'token = ')"
+REDACT_TOKENS = f"SELECT doc_id, sha256({_sql_redaction()}) AS text_sha256 FROM documents"
 
 
 def json_props(spark, d):
