@@ -197,12 +197,6 @@ def asset_context(findings: DataFrame, rules: DataFrame, key: str = "finding_id"
     return findings.join(filled, key, "left").withColumn("meta", meta).drop(*[f"_{f}" for f in RULE_FIELDS])
 
 
-def site_defaults(profile: DataFrame) -> DataFrame:
-    """One row of run-level defaults: the fields of a site profile that a person has confirmed."""
-    sure = F.coalesce(F.col("human_verified"), F.lit(False))
-    return profile.select(*[F.when(sure, F.col(f)).alias(f) for f in RULE_FIELDS]).limit(1)
-
-
 def fill_from_rules(targets: DataFrame, rules: DataFrame, key: str, matches: Column, fields: tuple[str, ...] = RULE_FIELDS) -> DataFrame:
     """Per target each field from the most specific matching rule that has it; ties by rule order.
 
