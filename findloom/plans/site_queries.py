@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from findloom.functions.site import link_priority, site_link, with_site
 from findloom.operators import site_profiles
+from findloom.operators.close_names import close_matches
 from findloom.plans.tables import table
 from findloom.shared import cut
 
@@ -64,4 +65,10 @@ n AS (SELECT *, CAST(row_number() OVER (PARTITION BY host ORDER BY rank, depth,
 SELECT trim(regexp_replace(host, '[^a-z0-9]+', '-', 'g'), '-') || '--' || substr(sha256(host), 1, 12) AS site, link, place, rank, depth FROM n WHERE place <= {QUEUED}
 """
 
-QUERIES = {"site_profile_lookup": (site_profile_lookup, SITE_PROFILE_LOOKUP), "site_links": (site_links, SITE_LINKS)}
+def close_part_types(spark, d):
+    """Types of parts, each written without one vowel, and what may be meant. SQL has no such share of matching characters."""
+    types = table(spark, d, "part").select(F.col("p_type").alias("name"))
+    return close_matches(types.select(F.regexp_replace(F.lower("name"), "^([^aeiou]*)[aeiou]", "$1").alias("name")), types)
+
+
+QUERIES = {"close_part_types": (close_part_types, None), "site_profile_lookup": (site_profile_lookup, SITE_PROFILE_LOOKUP), "site_links": (site_links, SITE_LINKS)}
