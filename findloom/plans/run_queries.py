@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from findloom.operators import contract
+from findloom.operators import contract, correlation_rows
 from findloom.plans.finding_queries import ORDERS
 from findloom.plans.finding_queries import findings as order_findings
 from findloom.plans.tables import table
@@ -107,4 +107,23 @@ SELECT CASE WHEN fresh THEN '2.0' END AS schema_version, CASE WHEN o_orderkey %
 FROM o GROUP BY 1, 2, 3, 4, 5
 """
 
-QUERIES = {"export_violations": (export_violations, EXPORT_VIOLATIONS), "export_contract": (export_contract, EXPORT_CONTRACT), "run_store": (run_store, RUN_STORE), "schema_upgrade": (schema_upgrade, SCHEMA_UPGRADE)}
+def correlation_report(spark, d):
+    """What a decider said of the orders as findings: each relationship once, the first rows of all."""
+    table(spark, d, "orders").createOrReplaceTempView("orders")
+    name = lambda n: F.concat(F.lit("N"), n.cast("string"))
+    k, cust = F.col("o_orderkey"), F.col("o_custkey")
+    candidate = F.struct(name(cust % 11).alias("vulnerability_name"), F.array(F.lit("ZAP")).alias("scanners"))
+    said = F.struct(F.when(k % 3 == 0, "merged").otherwise("needs_review").alias("status"), F.lit("llm").alias("source"), ((k % 9).cast("double") / 8).alias("confidence"), F.array(candidate).alias("review_candidates"))
+    rows = table(spark, d, "orders").select(k.alias("ord"), name(cust % 50).alias("vulnerability_name"), F.concat(F.lit("h"), (cust % 20).cast("string")).alias("asset_id"), F.array(F.when(k % 2 == 0, "zap").otherwise("nikto")).alias("found_by"), F.when(k % 3 != 2, said).alias("correlation"))
+    return correlation_rows.report_rows(rows)
+
+
+CORRELATION_REPORT = """
+WITH f AS (SELECT o_orderkey AS ord, 'N' || (o_custkey % 50) AS title, 'h' || (o_custkey % 20) AS asset, CASE WHEN o_orderkey % 2 = 0 THEN 'zap' ELSE 'nikto' END AS scanners, CASE WHEN o_orderkey % 3 = 0 THEN 'merged' ELSE 'needs_review' END AS status, o_orderkey % 9 AS conf, 'n' || (o_custkey % 11) || '|zap' AS other
+  FROM orders WHERE o_orderkey % 3 <> 2),
+g AS (SELECT *, lower(title) || '|' || scanners AS own FROM f),
+e AS (SELECT * FROM g WHERE status = 'merged' UNION ALL SELECT * FROM g WHERE status = 'needs_review' QUALIFY row_number() OVER (PARTITION BY least(own, other), greatest(own, other) ORDER BY ord) = 1)
+SELECT ord, title, asset, scanners, status, CAST(round_even(conf / 8 * 100, 0) AS INTEGER) AS percent, 1 AS candidates, (SELECT count(*) FROM e) AS total FROM e ORDER BY CASE WHEN status = 'merged' THEN 0 ELSE 1 END, lower(title), lower(asset), scanners, ord LIMIT 10
+"""
+
+QUERIES = {"correlation_report": (correlation_report, CORRELATION_REPORT), "export_violations": (export_violations, EXPORT_VIOLATIONS), "export_contract": (export_contract, EXPORT_CONTRACT), "run_store": (run_store, RUN_STORE), "schema_upgrade": (schema_upgrade, SCHEMA_UPGRADE)}
