@@ -75,11 +75,6 @@ def split_artifacts(findings: DataFrame) -> tuple[DataFrame, DataFrame]:
     return findings.filter(~transport_artifact()), findings.filter(transport_artifact())
 
 
-def degraded() -> Column:
-    own = F.coalesce("meta.degraded_execution", F.lit(False))
-    return own | F.coalesce(F.exists("source_findings", lambda s: F.coalesce(s["degraded"], F.lit(False))), F.lit(False))
-
-
 def errors(*checks: tuple[Column, str]) -> Column:
     """Messages of the failed checks; a check is the failing condition."""
     return F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(False)), F.lit(message)) for bad, message in checks]))

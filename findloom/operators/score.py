@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from findloom.functions.coerce import criticality, environment, to_ints
 from findloom.functions.text import says
+from findloom.operators.merge import source_degraded
 from findloom.schema import literal_map
 
 # Points, bounds, classes and patterns.
@@ -298,8 +299,8 @@ def score(findings: DataFrame, previous: DataFrame | None = None, keys: tuple[st
     out = with_repeatable(findings, previous, keys)
     sources = F.coalesce(F.col("source_findings"), F.array().cast(findings.schema["source_findings"].dataType))
     own = F.coalesce(m["degraded_execution"], F.lit(False))
-    any_degraded = own | F.exists(sources, lambda s: F.coalesce(s["degraded"], F.lit(False)))
-    all_degraded = F.when(F.size(sources) > 0, F.forall(sources, lambda s: F.coalesce(s["degraded"], F.lit(False)))).otherwise(own)
+    any_degraded = own | F.exists(sources, source_degraded)
+    all_degraded = F.when(F.size(sources) > 0, F.forall(sources, source_degraded)).otherwise(own)
     text = text_blob(F.col("vulnerability_name"), F.col("description"), m["raw_id"], m["cwe"], F.array_join(F.coalesce(m["references"], F.array().cast("array<string>")), " "))
     cwes = to_ints(F.concat_ws(" ", m["cwe"], m["cwe_ids"]))
     out = out.withColumns({"_text": text, "_cwes": cwes})

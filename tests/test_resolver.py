@@ -241,3 +241,17 @@ def test_intelligence_of_repeated_ids(spark):
     feed = enrich.cvss_feed(spark.createDataFrame([(0, "CVE-2024-1000", None, "9.8")], "ord int, cve string, cvss_v4_score string, cvss_v3_score string"), "own")
     got = enrich.with_intelligence(spark.createDataFrame(rows, schema.FINDING), feed).orderBy("ord").collect()
     assert [len(r["meta"]["cve_intelligence_candidates"] or []) for r in got] == [1, 1, 2, 0] and [r["meta"]["cvss_score"] for r in got] == [9.8, 9.8, 9.8, 1.0]
+
+
+def test_degraded_sources_count_wherever_they_say_so(spark):
+    from findloom import schema
+    from findloom.operators import merge, score
+    from findloom.plans.pipeline import with_fingerprints
+
+    source = lambda own, meta: {"finding_id": "s", "scanner": "zap", "degraded": own, "meta": {"degraded_execution": meta}}
+    cases = [[source(False, True)], [source(True, None)], [source(None, None)], [source(False, True), source(None, False)], None]
+    rows = [{"finding_id": f"f{i}", "ord": i, "vulnerability_name": "n", "severity": "high", "asset_id": "https://h/a", "description": "d", "remediation": "r", "meta": {"scanner": "zap"}, "source_findings": s} for i, s in enumerate(cases)]
+    df = with_fingerprints(spark.createDataFrame(rows, schema.FINDING))
+    assert [r["d"] for r in df.orderBy("ord").select(merge.degraded(df["meta"], df["source_findings"]).alias("d")).collect()] == [True, True, False, True, False]
+    evidence = [r["risk_factors"]["evidence"] for r in score.score(df).orderBy("ord").collect()]
+    assert evidence[0] == evidence[1] < evidence[2] == evidence[4] and evidence[0] <= evidence[3] < evidence[2]
