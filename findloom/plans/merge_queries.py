@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from findloom import schema
 from findloom.operators import tiers
 from findloom.plans.pipeline import with_fingerprints
-from findloom.plans.tables import table
+from findloom.plans.tables import spread, table
 from findloom.shared import cut
 
 TIER_ORDERS = """
@@ -25,7 +25,7 @@ def tier_findings(spark, d):
     name = F.when(kind == 0, "SQL Injection in login").when(kind == 2, "Directory listing enabled").otherwise("Internal Server Error")
     meta = F.struct("scanner", F.when(kind == 3, "POST").otherwise("GET").alias("method"), F.concat(F.lit("q"), F.col("q").cast("string")).alias("parameter"))
     asset = F.concat(F.lit("https://"), "host", F.lit("/app/"), F.col("p").cast("string"))
-    rows = spark.sql(TIER_ORDERS).select(F.concat(F.lit("f"), F.col("k").cast("string")).alias("finding_id"), F.col("k").alias("ord"), name.alias("vulnerability_name"), "severity", asset.alias("asset_id"), F.lit("seen").alias("description"), F.lit("fix").alias("remediation"), meta.alias("meta"))
+    rows = spread(spark.sql(TIER_ORDERS), "k").select(F.concat(F.lit("f"), F.col("k").cast("string")).alias("finding_id"), F.col("k").alias("ord"), name.alias("vulnerability_name"), "severity", asset.alias("asset_id"), F.lit("seen").alias("description"), F.lit("fix").alias("remediation"), meta.alias("meta"))
     return schema.conform(rows)
 
 
