@@ -316,9 +316,15 @@ def stable_hashes(spark, d):
 STABLE_HASHES = "SELECT c_custkey, substr(sha256(concat_ws('::', c_name, cast(c_nationkey AS varchar), c_mktsegment)), 1, 16) AS key, concat_ws('::', least(c_name, c_mktsegment), greatest(c_name, c_mktsegment)) AS pair FROM customer"
 
 
+def _cve(key: str):
+    """A part's CVE: its number has six digits or more."""
+    number = (F.col(key) + 1000).cast("string")
+    return F.concat(F.lit("CVE-2024-"), F.lpad(number, F.greatest(F.length(number), F.lit(6)), F.lit("0")))
+
+
 def primary_candidate(spark, d):
-    o = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_set(F.concat(F.lit("CVE-2024-"), F.lpad((F.col("l_partkey") + 1000).cast("string"), 6, "0"))).alias("cves"))
-    ident = F.concat(F.lit("CVE-2024-"), F.lpad((F.col("p_partkey") + 1000).cast("string"), 6, "0")).alias("cve_id")
+    o = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_set(_cve("l_partkey")).alias("cves"))
+    ident = _cve("p_partkey").alias("cve_id")
     part = table(spark, d, "part")
     cvss = part.filter("p_size % 3 <> 0").select(ident, (F.col("p_size") / 5).alias("score"))
     epss = part.filter("p_size % 2 = 0").select(ident, (F.col("p_size") / 50).alias("score"), (F.col("p_size") / 60).alias("percentile"))
@@ -326,9 +332,11 @@ def primary_candidate(spark, d):
     return enrich.primary_candidate(o, "l_orderkey", "cves", cvss, epss, kev).select("l_orderkey", "cve_id", "kev")
 
 
+# Of equals the greatest id counts, by its text.
 PRIMARY_CANDIDATE = """
-SELECT l_orderkey, 'CVE-2024-' || lpad(cast(l_partkey + 1000 AS varchar), 6, '0') AS cve_id, coalesce(p_size = 7, false) AS kev FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) LEFT JOIN part ON l_partkey = p_partkey
-QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY coalesce(p_size = 7, false) DESC, CASE WHEN p_size % 3 <> 0 THEN p_size / 5 ELSE -1 END DESC, CASE WHEN p_size % 2 = 0 THEN p_size / 50 ELSE -1 END DESC, CASE WHEN p_size % 2 = 0 THEN p_size / 60 ELSE -1 END DESC, l_partkey DESC) = 1
+WITH l AS (SELECT DISTINCT l_orderkey, l_partkey, 'CVE-2024-' || lpad(cast(l_partkey + 1000 AS varchar), greatest(6, length(cast(l_partkey + 1000 AS varchar)))::INTEGER, '0') AS cve_id FROM lineitem)
+SELECT l_orderkey, cve_id, coalesce(p_size = 7, false) AS kev FROM l LEFT JOIN part ON l_partkey = p_partkey
+QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY coalesce(p_size = 7, false) DESC, CASE WHEN p_size % 3 <> 0 THEN p_size / 5 ELSE -1 END DESC, CASE WHEN p_size % 2 = 0 THEN p_size / 50 ELSE -1 END DESC, CASE WHEN p_size % 2 = 0 THEN p_size / 60 ELSE -1 END DESC, cve_id DESC) = 1
 """
 
 QUERIES = {
