@@ -38,8 +38,12 @@ def site_profile_lookup(spark, d):
     return found.groupBy("url", F.col("profile.description").alias("description"), F.col("profile.risk_context.environment").alias("environment")).agg(F.count("*").alias("n"), F.sum("k").alias("keys"))
 
 
+_RISK_SAID = """'{"asset_criticality":"high","environment":"' || CASE WHEN mode = 0 THEN 'test' ELSE 'production' END || '","sensitive_data":true,"confidence":0.5,"reason":"r","evidence_ids":["e"]}'"""
+_DIGEST = f"""sha256('{{"analysis_source":"llm","business_processes":["sells"],"description":"' || description || '","risk_context":' || {_RISK_SAID} || ',"sources":["s"],"target":"' || target || '"}}')"""
 SITE_PROFILE_LOOKUP = f"""
-WITH v AS (SELECT *, k % 100 AS site, TIMESTAMP '{_DAY}' + INTERVAL 1 DAY * (nth * 37 % 360) + INTERVAL 1 HOUR * (k % 20) AS since FROM ({_REVISIONS}) WHERE k % 11 <> 0 AND k % 13 <> 0 AND k % 7 <> 0 AND k % 17 <> 0),
+WITH v AS (SELECT *, k % 100 AS site, TIMESTAMP '{_DAY}' + INTERVAL 1 DAY * (nth * 37 % 360) + INTERVAL 1 HOUR * (k % 20) AS since FROM ({_REVISIONS}) WHERE k % 11 <> 0 AND k % 13 <> 0 AND k % 7 <> 0 AND k % 17 <> 0
+  -- of two confirmed at one time the greater revision, the hash of what they say, counts
+  QUALIFY row_number() OVER (PARTITION BY site, since ORDER BY {_DIGEST} DESC) = 1),
 r AS (SELECT o_orderkey AS k, o_orderkey % 100 AS site, TIMESTAMP '{_DAY}' + INTERVAL 1 DAY * (o_custkey % 360) + INTERVAL 12 HOUR AS at_time FROM orders),
 held AS (SELECT r.k, r.site, r.at_time, (SELECT arg_max((v.description, v.mode, v.since), v.since) FROM v WHERE v.site = r.site AND v.since <= r.at_time) AS p FROM r),
 fresh AS (SELECT k, site, CASE WHEN CAST(at_time AS DATE) <= CAST(p[3] AS DATE) + CASE WHEN p[2] = 1 THEN 10 ELSE 90 END THEN p END AS p FROM held)
