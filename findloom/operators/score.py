@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from findloom.functions.coerce import criticality, environment, to_ints
-from findloom.functions.text import says
+from findloom.functions.text import bound, says
 from findloom.operators.merge import source_degraded
 from findloom.schema import literal_map
 
@@ -186,10 +186,11 @@ def priority(score: Column) -> Column:
 
 def internet_exposed(asset: Column) -> Column:
     """False for hosts that look internal. IPv6 loopback and link-local addresses count as internal."""
-    low = F.lower(F.trim(asset))
-    rest = F.regexp_replace(low, r"^[a-z][a-z0-9+.-]*://", "")
-    host = F.when(rest.startswith("["), F.regexp_extract(rest, r"^\[([^\]]*)\]", 1)).when(rest.rlike(r"^[^/]*:[^/]*:"), F.regexp_extract(rest, r"^([^/]*)", 1)).otherwise(F.regexp_extract(rest, r"^([^/:]*)", 1))
-    return F.when(F.coalesce(low, F.lit("")) == "", False).otherwise(~_internal(host))
+    low = F.lower(F.trim(F.coalesce(asset, F.lit(""))))
+    host = lambda rest: F.when(rest.startswith("["), F.regexp_extract(rest, r"^\[([^\]]*)\]", 1)).when(rest.rlike(r"^[^/]*:[^/]*:"), F.regexp_extract(rest, r"^([^/]*)", 1)).otherwise(F.regexp_extract(rest, r"^([^/:]*)", 1))
+    # the host is compared with some thirty values, so it is worked out before
+    internal = bound(bound(F.regexp_replace(low, r"^[a-z][a-z0-9+.-]*://", ""), host), _internal)
+    return F.when(low == "", False).otherwise(~internal)
 
 
 def _internal(host: Column) -> Column:

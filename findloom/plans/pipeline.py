@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from findloom import schema
 from findloom.functions.coerce import stable_hash
 from findloom.functions.text import normalize_name
-from findloom.functions.url import fingerprints, none_if_empty, with_target
+from findloom.functions.url import identity_keys, none_if_empty, target_identity, with_target
 from findloom.operators import context, export, merge, predicates, resolve, score
 from findloom.shared import cut
 
@@ -37,8 +37,11 @@ def union_findings(parts: list[DataFrame]) -> DataFrame:
 
 
 def with_fingerprints(findings: DataFrame) -> DataFrame:
+    m = F.col("meta")
     staged, parts = with_target(findings.withColumn("_norm", normalize_name(F.col("vulnerability_name"))), F.col("asset_id"))
-    fp = fingerprints(F.col("vulnerability_name"), F.col("asset_id"), F.col("meta"), parts, F.col("_norm"))
+    at = target_identity(F.col("asset_id"), m, parts)
+    staged = staged.withColumns({f"_at_{k}": v for k, v in at.items()})
+    fp = identity_keys(F.col("_norm"), {k: F.col(f"_at_{k}") for k in at}, m)
     return staged.withColumns({f"fp_{k}": fp[k] for k in ("strict", "general", "host_only")}).select(*findings.columns, *FINGERPRINTS)
 
 
