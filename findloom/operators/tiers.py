@@ -98,12 +98,12 @@ def tiered_groups(rows: DataFrame, tiers: tuple[str, ...] = KEYS[:2], veto: str
 
 
 def merge_tiers(findings: DataFrame, use_host_only: bool = False, keep=cut) -> DataFrame:
-    """Findings (with ``FINGERPRINTS``) merged by their keys.
+    """Findings (with ``FINGERPRINTS``) merged by their keys; ``server_key`` is worked out where they don't have it.
 
     Of one group one row is left, as ``merge_groups`` makes it, with the level of the weakest key that
     brought a member in. Host-only matches may join what is not one issue and are off by default.
     """
-    keyed = keep(server_error_key(with_context(findings.drop("ctx"))).drop("ctx"))
+    keyed = findings if "server_key" in findings.columns else keep(server_error_key(with_context(findings.drop("ctx"))).drop("ctx"))
     found = tiered_groups(keyed, KEYS if use_host_only else KEYS[:2], "server_key", keep=keep)
     worst = found.groupBy("root").agg(F.max("tier").alias("worst"))
     level = F.try_element_at(F.array(*map(F.lit, LEVELS)), F.greatest(F.col("worst"), F.lit(0)) + 1)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from findloom import schema
 from findloom.operators import tiers
+from findloom.operators.context import with_context
 from findloom.plans.pipeline import with_fingerprints
 from findloom.plans.tables import spread, table
 from findloom.shared import cut
@@ -30,7 +31,8 @@ def tier_findings(spark, d):
 
 
 def finding_tiers(spark, d):
-    rows = cut(with_fingerprints(tier_findings(spark, d)))
+    # keys of names and targets are the same in both ways of merging
+    rows = cut(tiers.server_error_key(with_context(with_fingerprints(tier_findings(spark, d)))).drop("ctx"))
     merged = [tiers.merge_tiers(rows, wide).withColumn("wide", F.lit(wide)) for wide in (False, True)]
     return merged[0].unionByName(merged[1]).select("wide", "ord", "match_level", "merge_confidence", "duplicate_count", "severity", F.array_join(F.array_sort("found_by"), ",").alias("found_by"))
 
