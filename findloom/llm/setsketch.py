@@ -166,44 +166,54 @@ def _regs(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, REGISTERS)
 
 
-def _linked(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """Of ``pairs(a, b)`` those that the sketches don't rule out and the full shingle sets confirm.
+def _likely(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Of ``pairs(a, b)`` those that sizes and sketches don't rule out; no set moves for the others."""
+    least = least_estimate(percent)
+    side = lambda s: full.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("regs").alias(f"regs_{s}"))
+
+    def run(batches):
+        for t in batches:
+            na, nb = (t.column(c).to_numpy().astype(float) for c in ("n_a", "n_b"))
+            likely = 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
+            if t.num_rows:
+                likely &= estimate(_regs(t.column("regs_a")), _regs(t.column("regs_b")), na, nb) >= least
+            yield t.select(["a", "b"]).filter(pa.array(likely))
+
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "regs_a", "regs_b")
+    return both.mapInArrow(run, "a long, b long")
+
+
+def _linked(found: DataFrame, full: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Of ``found(a, b)`` those that the sketches don't rule out and the full shingle sets confirm.
 
     The sets of all b are sent to their a; an a with many b is dealt to several groups, each of which
     gets the set of a once, so that neither one task nor the traffic grows with its square.
     """
-    per, least = 512, least_estimate(percent)
-    own = full.select(F.col("node").alias("id"), "n", "regs", "hashes")
+    per = 512
+    pairs = scratch.keep(_likely(found, full, percent), "likely")
+    own = full.select(F.col("node").alias("id"), "n", "hashes")
     count = pairs.groupBy("a").agg(F.ceil(F.count("*") / per).cast("int").alias("parts"))
-    heads = count.join(own, F.col("a") == F.col("id")).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "n", "regs", "hashes")
+    heads = count.join(own, F.col("a") == F.col("id")).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "n", "hashes")
     dealt = pairs.join(count, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b")
-    tails = dealt.join(own, F.col("b") == F.col("id")).select("a", "part", "b", "n", "regs", "hashes")
+    tails = dealt.join(own, F.col("b") == F.col("id")).select("a", "part", "b", "n", "hashes")
     together = heads.unionByName(tails).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
 
     def run(batches):
         head: tuple = ()
         for t in batches:
-            a, b, n = t.column("a").to_pylist(), t.column("b").to_pylist(), t.column("n").to_numpy().astype(float)
-            sets, regs = t.column("hashes").to_pylist(), _regs(t.column("regs"))
-            heads, tails = [], []
+            a, b, n = t.column("a").to_pylist(), t.column("b").to_pylist(), t.column("n").to_pylist()
+            sets = t.column("hashes").to_pylist()
+            links: tuple[list, list] = ([], [])
             for i in range(len(a)):
+                own_set = np.frombuffer(sets[i], np.uint64)
                 if b[i] is None:
-                    head = (np.frombuffer(sets[i], np.uint64), n[i], regs[i])
-                else:
-                    heads.append(head)
-                    tails.append(i)
-            found: tuple[list, list] = ([], [])
-            if tails:
-                size = np.array([h[1] for h in heads])
-                likely = estimate(np.stack([h[2] for h in heads]), regs[tails], size, n[tails]) >= least
-                likely &= 100 * np.minimum(size, n[tails]) >= percent * np.maximum(size, n[tails])
-                for j in np.flatnonzero(likely).tolist():
-                    i = tails[j]
-                    common = len(np.intersect1d(heads[j][0], np.frombuffer(sets[i], np.uint64), assume_unique=True))
-                    if 100 * common >= percent * (size[j] + n[i] - common):
-                        found[0].append(a[i])
-                        found[1].append(b[i])
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["a", "b"])
+                    head = (own_set, n[i])
+                    continue
+                common = len(np.intersect1d(head[0], own_set, assume_unique=True))
+                if 100 * common >= percent * (head[1] + n[i] - common):
+                    links[0].append(a[i])
+                    links[1].append(b[i])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in links], names=["a", "b"])
 
     return together.mapInArrow(run, "a long, b long")
 
@@ -305,13 +315,13 @@ def _answers(docs: DataFrame, k: int, percent: int) -> DataFrame:
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     full = scratch.keep(_full_sets(sets.join(wanted, "node").select("node", "rep", "set_id", "n", "regs"), texts, k), "full")
     same = sets.join(scratch.keep(_shared_ids(real), "ids"), "set_id").groupBy("doc_id").agg(F.min("node").alias("a"), F.collect_set("node").alias("all")).select("a", F.explode("all").alias("b")).filter("a != b")
-    links = scratch.keep(_linked(pairs, full, percent).union(same), "links")
+    links = scratch.keep(_linked(pairs, full, percent, scratch).union(same), "links")
     comps = scratch.keep(components(links, scratch), "comps")
     own = members.join(comps, members.node == comps.id, "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
     open_ = scratch.keep(own.join(_mixed(own), "key", "left_semi").join(lead, "key").select(F.col("a").alias("key"), "node", "comp").distinct(), "open")
     scratch.drop(members, lead, pairs, comps)
     left = scratch.keep(_across(open_, full, percent), "left")
-    more = scratch.keep(_linked(left, full, percent), "links")
+    more = scratch.keep(_linked(left, full, percent, scratch), "links")
     comps = scratch.keep(components(links.union(more), scratch), "comps")
     scratch.drop(full, open_, left, links, more)
 
