@@ -20,7 +20,8 @@ full shingle sets of both texts.
 
 Traffic. Texts move once, to those nodes that share a bucket with another; from there on only the
 shingle sets of these nodes move. That join never turns into a broadcast, as its list of nodes grows
-with the corpus.
+with the corpus; a bit map of fixed size is broadcast before it, so that nearly all other texts stay
+where they are.
 
 Bands are as wide as they can be while two sets at the threshold share a bucket but for 1 in
 100,000: 32 bands of 5 registers at 0.8.
@@ -49,6 +50,8 @@ BASE, RATE, TOP = 1.02, 20.0, 2046
 MISSED, ERRORS = 1e-5, 5
 #: Members of one bucket that a task compares with one another at a time.
 BLOCK = 1024
+#: Words of 64 bits in the map of wanted ids, whatever the corpus.
+WORDS = 1 << 18
 
 _LOG = math.log(BASE)
 _STRIDES = np.array([x for x in range(1, REGISTERS) if math.gcd(x, REGISTERS) == 1], np.int64)
@@ -144,6 +147,15 @@ def _sketch_table(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, h long, n_shingles long, set_id binary, regs binary")
 
 
+def _wanted(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """``texts`` but for most rows whose doc_id is none of ``ids(rep)``; a join on the ids has to follow."""
+    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(64 * WORDS))
+    bits = ids.select(spot("rep").alias("spot")).selectExpr("shiftright(spot, 6) as word", "shiftleft(1L, cast(spot & 63 as int)) as bit").groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    own = spot("doc_id")
+    met = texts.join(F.broadcast(bits), F.shiftright(own, 6) == F.col("word"))
+    return met.filter(F.getbit("bits", own.bitwiseAND(F.lit(63)).cast("int")) == 1).select(*texts.columns)
+
+
 def _full_sets(nodes: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     """``nodes(node, rep, set_id, n, regs)`` with their sorted shingles, from the text of the row they stand for."""
 
@@ -158,6 +170,7 @@ def _full_sets(nodes: DataFrame, texts: DataFrame, k: int) -> DataFrame:
                 part = pa.RecordBatch.from_arrays([*(t.column(c).slice(lo, hi - lo) for c in ("node", "n", "regs")), pa.array([x.tobytes() for x in own], pa.binary())], names=["node", "n", "regs", "hashes"])
                 yield part.filter(pa.array(same))
 
+    texts = _wanted(texts, nodes)
     joined = texts.join(nodes.hint("merge"), texts.doc_id == nodes.rep).select("node", "n", "regs", "set_id", "text")
     return joined.mapInArrow(run, "node long, n long, regs binary, hashes binary").dropDuplicates(["node"])
 
@@ -313,13 +326,14 @@ def _answers(docs: DataFrame, k: int, percent: int) -> DataFrame:
     lead = scratch.keep(members.join(score, "node").groupBy("key").agg(F.max(F.struct("score", -F.col("node"))).alias("l")).select("key", (-F.col("l.col2")).alias("a")), "lead")
     pairs = scratch.keep(members.join(lead, "key").filter("node != a").select("a", F.col("node").alias("b")).distinct(), "pairs")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    full = scratch.keep(_full_sets(sets.join(wanted, "node").select("node", "rep", "set_id", "n", "regs"), texts, k), "full")
+    nodes = scratch.keep(sets.join(wanted, "node").select("node", "rep", "set_id", "n", "regs"), "nodes")
+    full = scratch.keep(_full_sets(nodes, texts, k), "full")
     same = sets.join(scratch.keep(_shared_ids(real), "ids"), "set_id").groupBy("doc_id").agg(F.min("node").alias("a"), F.collect_set("node").alias("all")).select("a", F.explode("all").alias("b")).filter("a != b")
     links = scratch.keep(_linked(pairs, full, percent, scratch).union(same), "links")
     comps = scratch.keep(components(links, scratch), "comps")
     own = members.join(comps, members.node == comps.id, "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
     open_ = scratch.keep(own.join(_mixed(own), "key", "left_semi").join(lead, "key").select(F.col("a").alias("key"), "node", "comp").distinct(), "open")
-    scratch.drop(members, lead, pairs, comps)
+    scratch.drop(members, lead, pairs, comps, nodes)
     left = scratch.keep(_across(open_, full, percent), "left")
     more = scratch.keep(_linked(left, full, percent, scratch), "links")
     comps = scratch.keep(components(links.union(more), scratch), "comps")

@@ -14,3 +14,13 @@ def test_sketches_rule_out_before_sets_move(spark):
     full = spark.createDataFrame([(i, len(s), bytearray(regs[i].tobytes())) for i, s in enumerate(sets)], "node long, n long, regs binary")
     pairs = spark.createDataFrame([(0, 1), (0, 2), (0, 3)], "a long, b long")
     assert [tuple(r) for r in setsketch._likely(pairs, full, 80).collect()] == [(0, 1)]
+
+
+def test_texts_that_no_node_stands_for_stay_where_they_are(spark):
+    texts = spark.range(20_000).selectExpr("id as doc_id", "'t' as text", "0L as h").union(spark.sql("SELECT cast(null as long), 't', 0L"))
+    ids = spark.createDataFrame([(-(1 << 62),), *[(i,) for i in range(0, 20_000, 100)]], "rep long")
+    moved = setsketch._wanted(texts, ids)
+    got = [r.doc_id for r in moved.collect()]
+    assert moved.columns == texts.columns and set(range(0, 20_000, 100)) <= set(got)
+    assert len(got) == len(set(got)) < 250
+    assert setsketch._wanted(texts, ids.limit(0)).count() == 0
