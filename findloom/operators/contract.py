@@ -239,9 +239,14 @@ def _entry(name: str, value: Column, there: Column) -> Column:
     return F.when(F.coalesce(there, F.lit(False)), F.create_map(F.lit(name), value)).otherwise(F.expr(_EMPTY))
 
 
+def _found(v: Column, field: str, use) -> Column:
+    """``use(field's value)``, a map, with the field looked up once; an empty map where it is not there."""
+    return _once(_get(v, field), lambda own: F.when(own.isNotNull(), use(own)).otherwise(F.expr(_EMPTY)))
+
+
 def _cleaned(v: Column, field: str, clean) -> Column:
     """A map of the field as ``clean`` leaves it, or of none."""
-    return F.when(_get(v, field).isNotNull(), _once(clean(_get(v, field)), lambda c: _entry(field, _bare(c), c.isNotNull()))).otherwise(F.expr(_EMPTY))
+    return _found(v, field, lambda own: _once(clean(own), lambda c: _entry(field, _bare(c), c.isNotNull())))
 
 
 def _bare(struct: Column) -> Column:
@@ -262,11 +267,11 @@ def sanitize_finding(v: Column) -> Column:
     rebuilt = ("meta", "source_findings", "human_triage", "correlation", "description", "remediation", "asset_id", *ADVISORY)
     parts = [_without(_map(v), (*FORBIDDEN["finding"], *rebuilt)), F.create_map(F.lit("meta"), sanitize_meta(_get(v, "meta")))]
     for f in ("description", "remediation", "asset_id"):
-        text = F.when(_kind(_get(v, f)) == "STRING", F.parse_json(F.to_json(F.struct(redact(_get(v, f).cast("string")).alias("x")))))
-        parts.append(_entry(f, F.coalesce(_get(text, "x"), _get(v, f)), _get(v, f).isNotNull()))
+        text = lambda own: F.when(_kind(own) == "STRING", F.parse_json(F.to_json(F.struct(redact(own.cast("string")).alias("x")))))
+        parts.append(_found(v, f, lambda own, f=f, text=text: F.create_map(F.lit(f), F.coalesce(_get(text(own), "x"), own))))
     # sources that are no list stay as they are
-    sources = F.filter(F.transform(_list(_get(v, "source_findings")), sanitize_source), lambda s: s.isNotNull())
-    parts.append(F.when(_get(v, "source_findings").isNotNull(), F.create_map(F.lit("source_findings"), F.coalesce(_object(sources), _get(v, "source_findings")))).otherwise(F.expr(_EMPTY)))
+    sources = lambda own: _object(F.filter(F.transform(_list(own), sanitize_source), lambda s: s.isNotNull()))
+    parts.append(_found(v, "source_findings", lambda own: F.create_map(F.lit("source_findings"), F.coalesce(sources(own), own))))
     parts += [_cleaned(v, f, clean) for f, clean in (("human_triage", human_triage), ("correlation", correlation))]
     status = _get(v, "ai_analysis_status")
     answers = {"applicability": applicability, "ai_remediation": remediation, "ai_priority": priority, "ai_summary": summary}
